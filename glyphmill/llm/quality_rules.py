@@ -16,12 +16,16 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SLOTS, ADD, TRUSTED = 16384, 1.0, 20_000
 #: The lowest score that is kept, and how much it gives way for a target whose slots hold few n-grams: ALLOW / sqrt(n-grams a slot).
-FLOOR, ALLOW = -0.06, 0.3
+FLOOR, ALLOW = -0.045, 0.2
+#: How many different repeated windows of a text are looked up one by one.
+FEW = 16
 
 
 def _let(value: Column, use) -> Column:
@@ -29,47 +33,73 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _words() -> Column:
-    return F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def _spaced() -> Column:
+    """The text with every white-space character turned into a blank."""
+    out = F.coalesce("text", F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
+def _words(spaced: Column) -> Column:
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def _n_grams(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row for each word with its slot and that of the pair it begins; the last word's pair is itself and nothing."""
+    pairs = docs.select(*keep, _words(_spaced()).alias("w")).select(*keep, F.inline(F.arrays_zip(F.col("w").alias("one"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("two"))))
+    return pairs.select(*keep, F.pmod(F.xxhash64("one"), F.lit(SLOTS)).alias("slot"), F.pmod(F.xxhash64("one", "two"), F.lit(SLOTS)).alias("pair"))
 
 
-def _hashes(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _repeated() -> Column:
+    """How many words stand in 3-word windows that occur at least twice, from the windows' hashes.
 
+    A text with as many distinct windows as windows is done at once. With at most FEW different repeated windows, their
+    places are looked up. With more, the hash's upper bits and the place, in as many bits as places need, become one
+    number, so that equal windows meet in one sort of numbers.
+    """
+    zero, three = F.lit(0).cast("long"), F.lit(3).cast("long")
+    windows = F.transform(F.slice("words", 1, F.size("words") - 2), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
 
-def _slots(h: Column) -> Column:
-    """The slots of all single words, then of all pairs."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(SLOTS)))
-    return F.when(F.size(h) > 1, F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(SLOTS))), pairs)).otherwise(F.transform(h, lambda x: F.pmod(x, F.lit(SLOTS))))
+    def packed(w):
+        low = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.size(w) + 1)).cast("int")) - 1
+        return _let(low, lambda low: _let(F.sort_array(F.transform(w, lambda h, i: (h - h.bitwiseAND(low)) + i)), lambda s: found(s, low)))
 
+    def found(s, low):
+        same = lambda x, y: F.coalesce(x.bitwiseXOR(y).between(zero, low), F.lit(False))
+        twice = F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1)))
+        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
 
-def _repeated(h: Column) -> Column:
-    """How many words stand in 3-word windows whose hash occurs at least twice."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("w"), i.alias("i")))
+    def few(w, again):
+        return F.filter(F.transform(w, lambda h, i: F.when(F.array_contains(again, h), i.cast("long"))), lambda x: x.isNotNull())
 
-    def covered(s):
-        twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["w"] == x["w"]) | (F.get(s, k + 1)["w"] == x["w"]))
-        return _let(F.array_sort(F.transform(twice, lambda x: x["i"])), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
+    def covered(w):
+        again = _let(F.sort_array(w), lambda s: F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k + 1))))
+        places = _let(again, lambda d: F.when(F.size(d) <= FEW, few(w, d)).otherwise(packed(w)))
+        return _let(places, lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(three, F.coalesce(F.get(p, k + 1) - x, three))), zero, lambda a, x: a + x))
 
-    return F.when(F.size(h) >= 4, _let(F.array_sort(windows), covered)).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size("words") >= 4, _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), zero).otherwise(covered(w)))).otherwise(zero)
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """docs with words, their hashes, and the base columns."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    told = docs.withColumn("words", F.coalesce(_words(), F.array().cast("array<string>")))
-    told = told.withColumn("h", _hashes(F.col("words"))).withColumn("n_words", F.size("words").cast("long"))
-    told = told.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    told = told.withColumn("n_symbols", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^#*$%&|<>]+", "")).cast("long"))
+    """docs with the base columns."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+    told = docs.withColumn("spaced", _spaced())
+    told = told.withColumn("words", _words(F.col("spaced"))).withColumn("n_words", F.size("words").cast("long"))
+    blanks = F.octet_length("spaced") - F.octet_length(F.replace("spaced", F.lit(" "), F.lit("")))
+    told = told.withColumn("word_chars", (F.length("spaced") - blanks).cast("long"))
+    plain = F.col("spaced")
+    for c in "#*$%&|<>":
+        plain = F.replace(plain, F.lit(c), F.lit(""))
+    told = told.withColumn("n_symbols", (F.octet_length("spaced") - F.octet_length(plain)).cast("long"))
     told = told.withColumn("n_dup_lines", _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    told = told.withColumn("n_repeat_words", _repeated(F.col("h")))
-    return told.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    told = told.withColumn("n_repeat_words", _repeated())
+    return told.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("spaced")
 
 
 def slot_counts(docs: DataFrame) -> DataFrame:
     """(slot, n) over all n-grams of docs."""
-    h = docs.select(_hashes(F.coalesce(_words(), F.array().cast("array<string>"))).alias("h"))
-    return h.select(F.explode(_slots(F.col("h"))).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+    return _n_grams(docs).select(F.explode(F.array("slot", "pair")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -80,17 +110,22 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base columns, score and kept for each row of docs."""
     spark = docs.sparkSession
+    ws = C.Workspace(spark)
     docs = docs.select("doc_id", "text")
     trusted = docs.join(F.broadcast(trusted_ids(labels)), "doc_id", "left_semi")  # at most TRUSTED bigints
     every = spark.range(SLOTS).select(F.col("id").alias("slot"))
     both = every.join(slot_counts(docs).withColumnRenamed("n", "raw"), "slot", "left").join(slot_counts(trusted).withColumnRenamed("n", "target"), "slot", "left").na.fill(0)
-    sums = both.agg(F.array_sort(F.collect_list(F.struct("slot", "raw", "target"))).alias("s"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    ratio = lambda x: F.log((x["target"] + ADD) / (F.col("n_target") + ADD * SLOTS)) - F.log((x["raw"] + ADD) / (F.col("n_raw") + ADD * SLOTS))
-    # SLOTS doubles, worked out once
-    table = sums.select(F.when(F.col("n_target") > 0, F.transform("s", ratio)).otherwise(F.transform("s", lambda x: F.lit(0.0))).alias("r"))
-    floor = sums.select(F.coalesce(FLOOR - ALLOW * F.sqrt(F.try_divide(F.lit(float(SLOTS)), F.col("n_target"))), F.lit(FLOOR))).scalar()
-    told = base_counts(docs).withColumn("ratios", table.scalar())
-    total = F.aggregate(_slots(F.col("h")), F.lit(0.0), lambda a, x: a + F.get(F.col("ratios"), x.cast("int")))
-    told = told.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)))
+    both = both.select("slot", *(F.log((F.col(c) + ADD) / (F.sum(c).over(Window.partitionBy()) + ADD * SLOTS)).alias(c) for c in ("raw", "target")), F.sum("target").over(Window.partitionBy()).alias("all"))
+    table = ws.store(both.select("slot", F.when(F.col("all") > 0, F.col("target") - F.col("raw")).otherwise(0.0).alias("ratio"), "all"), "ratios")  # SLOTS rows
+    n_target = table.agg(F.max("all")).first()[0] or 0
+    floor = FLOOR - (ALLOW * (SLOTS / n_target) ** 0.5 if n_target else 0)
+    # rows with equal keys are equal texts, whose mean is the same over one copy or all
+    key = (F.col("doc_id"), F.xxhash64("text").alias("mark"))
+    one, two = F.broadcast(table.select("slot", "ratio")), F.broadcast(table.select(F.col("slot").alias("pair"), F.col("ratio").alias("pair_ratio")))
+    scored = _n_grams(docs.select("doc_id", key[1], "text"), "doc_id", "mark").join(one, "slot").join(two, "pair")
+    scored = scored.groupBy("doc_id", "mark").agg((F.avg(F.col("ratio") + F.col("pair_ratio")) / 2).alias("score"))
+    told = base_counts(docs.select("doc_id", key[1], "text")).drop("text", "words")
+    scored = scored.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.round("score", 9).alias("score"))
+    told = told.join(scored, told.doc_id.eqNullSafe(scored.d) & (told.mark == scored.m), "left")
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= floor)
-    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("score", 9).alias("score"))
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
