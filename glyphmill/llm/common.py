@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.shipping import ship
+
 #: A word is a longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The largest id table that may be broadcast: 2 million bigints are about 32 MB as a hash relation.
@@ -31,6 +33,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
             root = tempfile.mkdtemp(prefix="glyphmill-")

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.shipping import ship
+
 from . import common as C
 
 PER_LANGUAGE, LANDMARKS, PIECES, RIDGE, ALPHABET = 400, 384, 6, 1e-3, 62
@@ -158,6 +160,7 @@ def learn(docs: DataFrame):
 
 def predict(docs: DataFrame, model) -> DataFrame:
     """doc_id, lang_pred, score and lead for each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # _GRAMS rows of one float for each language
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     return plain.mapInArrow(lambda it: _predict(it, held), "doc_id long, lang_pred string, score double, lead double")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, quality_rules, sharding
+from . import html_extract, language_id, lm_quality, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, vector_dedup
 from .common import table
 
 
@@ -24,5 +25,42 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op6_mix_sources, op7_histogram_shards, op9_quality_rules)}
-ORACLES = {"op6_mix_sources": mixing.ORACLE}
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = lm_scoring.stupid_backoff(table(spark, sf_dir, "documents"))
+    return told.withColumn("log10_score", F.round("log10_score", 4)).withColumn("log10_per_word", F.round("log10_per_word", 6))
+
+
+def op10_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_minhash_near_dedup,
+    op2_kneser_ney_quality,
+    op3_string_kernel_language,
+    op4_template_extraction,
+    op5_best_fit_packing,
+    op6_mix_sources,
+    op7_histogram_shards,
+    op8_stupid_backoff,
+    op9_quality_rules,
+    op10_spherical_cap_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op6_mix_sources": mixing.ORACLE, "op8_stupid_backoff": lm_scoring.ORACLE}
