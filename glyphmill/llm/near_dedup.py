@@ -8,8 +8,8 @@ are candidates. With 48 keys of 5 registers, a pair at similarity 0.75 is missed
 How links are found without listing the pairs of a group:
 
 1. Documents with equal sets are one class; the class's smallest doc_id stands for it.
-2. In each key's group every member is compared with the group's hub only (smallest id in the first round, smallest
-   hash in later ones). Those that link form components.
+2. In each key's group every member is compared with the group's hub only (smallest id in the first round, which looks
+   at the first few keys; smallest hash in later ones). Those that link form components.
 3. Groups that still span several components after the hub rounds are compared block against block, with the
    registers alone; only pairs in different components whose estimate allows the threshold come out, for the check.
 
@@ -31,8 +31,10 @@ from . import common as C
 
 REGISTERS, BAND = 240, 5
 BASE, RATE, TOP = 1.02, 20.0, 1500
-#: A pair is checked if the likelihood puts its similarity at this or more; 0.75 lies five deviations above it.
-ESTIMATE = 0.6
+#: A pair is checked if the likelihood puts its similarity at this or more; 0.75 lies more than three deviations above it.
+ESTIMATE = 0.65
+#: The first round looks at the groups of so many keys; it connects most copies, so that later rounds compare few pairs.
+FIRST_BANDS = 6
 HUB_ROUNDS = 3
 BLOCK = 256
 
@@ -152,13 +154,13 @@ def near_components(docs: DataFrame, threshold: int = 75, width: int = 5) -> Dat
 
     step = 2 * BAND
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * step + 1, F.lit(step))))
-    banded = reps.select("id", F.explode(keys).alias("key"))
+    banded = reps.select("id", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
     groups = ws.store(banded.join(shared, "key"), "groups")
 
     links, labels = None, None
     for turn in range(HUB_ROUNDS + 1):
-        open_ = groups if labels is None else _open(ws, groups, labels)
+        open_ = groups.filter(F.col("band") < FIRST_BANDS) if labels is None else _open(ws, groups, labels)
         if turn and not open_.limit(1).count():
             break
         if turn < HUB_ROUNDS:
