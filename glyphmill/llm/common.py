@@ -58,6 +58,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_id():
+    """doc_id; for a row without one, a number above all real ids from its text, so that a stage can name the row."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1)))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose own_id is not in the stored table gone(doc_id)."""
+    return docs.withColumn("_own", own_id()).join(by_size(gone.select(F.col("doc_id").alias("_own")), gone.count()), "_own", "left_anti").select(docs.columns)
+
+
 def by_size(ids: DataFrame, rows: int) -> DataFrame:
     """ids with a broadcast hint if it has few enough rows (counted by the caller); else as it is, for a shuffle join."""
     return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids

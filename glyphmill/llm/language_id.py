@@ -175,6 +175,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language can be told: not ``und``, and the best language leads by MARGIN."""
     ws = C.Workspace(docs.sparkSession)
-    told = predict(docs, learn(docs))
-    gone = ws.store(told.filter((F.col("lang_pred") == "und") | (F.col("lead") < MARGIN)).select("doc_id").filter("doc_id is not null").distinct(), "rejected")
-    return docs.join(C.by_size(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    told = predict(docs.withColumn("doc_id", C.own_id()), learn(docs))
+    gone = ws.store(told.filter((F.col("lang_pred") == "und") | (F.col("lead") < MARGIN)).select("doc_id").distinct(), "rejected")
+    return C.without(docs, gone)

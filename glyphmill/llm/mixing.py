@@ -70,8 +70,8 @@ def plan(docs: DataFrame, ws: C.Workspace | None = None) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; documents without words are not taken."""
     ws = C.Workspace(docs.sparkSession)
-    picks = ws.store(plan(docs, ws).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies")), "picks")
-    taken = docs.join(C.by_size(picks, picks.count()), F.col("doc_id") == F.col("_id"))
+    picks = ws.store(plan(docs.withColumn("doc_id", C.own_id()), ws).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies")), "picks")
+    taken = docs.withColumn("_id", C.own_id()).join(C.by_size(picks, picks.count()), "_id")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 

@@ -167,7 +167,7 @@ def near_components(docs: DataFrame, threshold: int = 75, width: int = 5) -> Dat
             found = _hub_pairs(open_, reps, turn)
         else:
             found = _all_pairs(ws, open_, reps)
-        new = ws.store(_linked(ws, found.distinct(), plain, threshold, width), "links")
+        new = _linked(ws, found.distinct(), plain, threshold, width)
         links = new if links is None else links.unionByName(new)
         labels = C.components(ws, links)
     here = labels.select(F.col("node").alias("id"), F.col("component").alias("top"))
@@ -210,15 +210,16 @@ def _linked(ws, pairs, plain, threshold, width):
     texts = plain.join(C.by_size(ids, ids.count()), "doc_id", "left_semi")
     sets = ws.store(texts.mapInArrow(lambda it: _sets(it, width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     first, other = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
-    return pairs.join(first, "a").join(other, "b").mapInArrow(lambda it: _verify(it, threshold), "a long, b long")
+    links = ws.store(pairs.join(first, "a").join(other, "b").mapInArrow(lambda it: _verify(it, threshold), "a long, b long"), "links")
+    ws.release(pairs, ids, sets)
+    return links
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs of which near_components keeps the document: one of each group, the smallest doc_id.
 
-    Rows that repeat a doc_id are one document and stay or go together; rows with a null doc_id stay.
+    Rows that repeat a doc_id are one document and stay or go together. A row with a null doc_id takes part under a number
+    above all ids, made from its text.
     """
-    gone = near_components(docs).filter("not kept").select("doc_id").filter("doc_id is not null").distinct()
-    ws = C.Workspace(docs.sparkSession)
-    gone = ws.store(gone, "dropped")
-    return docs.join(C.by_size(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    gone = near_components(docs.withColumn("doc_id", C.own_id())).filter("not kept").select("doc_id").distinct()
+    return C.without(docs, C.Workspace(docs.sparkSession).store(gone, "dropped"))
