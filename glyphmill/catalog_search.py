@@ -77,7 +77,7 @@ def search_set_class(spark, sf_dir):
     return _hits(spark, sf_dir, "[tw]?<loop>*").select(*HIT)
 
 
-@query(f"with {LOCI_SQL} select page, num, cast(len(regexp_extract_all(line, 'th,?e[.,]?a,?n')) as bigint) as hits from loci where regexp_matches(line, 'th,?e[.,]?a,?n')")
+@query(f"with {LOCI_SQL} select page, num, cast(len(regexp_extract_all(line, 't,?h,?e[.,]?a,?n')) as bigint) as hits from loci where regexp_matches(line, 't,?h,?e[.,]?a,?n')")
 def search_join_either(spark, sf_dir):
     return _hits(spark, sf_dir, "the~an", Reading()).groupBy("page", "num").agg(F.count("*").alias("hits"))
 
