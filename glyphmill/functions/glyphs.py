@@ -152,13 +152,13 @@ def within(spark: SparkSession, seconds: float, action):
     import threading
     import uuid
 
-    group, late = uuid.uuid4().hex, threading.Event()
+    sc, group, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(group)
+        sc.cancelJobGroup(group)
 
-    spark.addTag(group)
+    sc.setJobGroup(group, "search", interruptOnCancel=True)
     timer = threading.Timer(seconds, stop)
     timer.start()
     try:
@@ -169,4 +169,4 @@ def within(spark: SparkSession, seconds: float, action):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(group)
+        sc.setLocalProperty("spark.jobGroup.id", None)
