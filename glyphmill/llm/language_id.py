@@ -29,8 +29,9 @@ from . import common as C
 
 PER_LANGUAGE, LANDMARKS, PIECES, RIDGE, ALPHABET = 400, 384, 6, 1e-3, 62
 FOLDS = 5
-#: The pipeline rejects a text whose best language leads the next by less than this.
-MARGIN = 0.02
+#: The pipeline rejects a text that sets the best and the worst language apart by less than this: it is in none of them.
+#: A text in two of the languages stays.
+SPREAD = 0.1
 
 _BLANK, _RARE, _BASE = 0, 63, 64
 _GRAMS = _BASE + _BASE**2 + _BASE**3
@@ -135,11 +136,12 @@ def _predict(batches, model):
             best = scores.argmax(axis=1)
             ordered = np.sort(scores, axis=1)
             lead = ordered[:, -1] - ordered[:, -2] if scores.shape[1] > 1 else np.ones(len(sets))
+            spread = ordered[:, -1] - ordered[:, 0] if scores.shape[1] > 1 else np.ones(len(sets))
             und = (sizes == 0) | (matrix.shape[1] == 0)
             score = np.where(und, 0.0, np.clip((1 + np.tanh(lead)) / 2, 0, 1))
             lang = ["und" if u else names[b] for u, b in zip(und, best, strict=True)]
             cols = [part.column(c) for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score), pa.array(np.where(und, 0.0, lead))], [*(c for c in part.schema.names if c != "text"), "lang_pred", "score", "lead"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score), pa.array(np.where(und, 0.0, spread))], [*(c for c in part.schema.names if c != "text"), "lang_pred", "score", "spread"])
 
 
 def held_out():
@@ -159,11 +161,11 @@ def learn(docs: DataFrame):
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
-    """doc_id, lang_pred, score and lead for each row of docs(doc_id, text)."""
+    """doc_id, lang_pred, score and spread for each row of docs(doc_id, text)."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # _GRAMS rows of one float for each language
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return plain.mapInArrow(lambda it: _predict(it, held), "doc_id long, lang_pred string, score double, lead double")
+    return plain.mapInArrow(lambda it: _predict(it, held), "doc_id long, lang_pred string, score double, spread double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -173,8 +175,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language can be told: not ``und``, and the best language leads by MARGIN."""
+    """The rows of docs whose language can be told: not ``und``, and SPREAD between languages."""
     ws = C.Workspace(docs.sparkSession)
     told = predict(docs.withColumn("doc_id", C.own_id()), learn(docs))
-    gone = ws.store(told.filter((F.col("lang_pred") == "und") | (F.col("lead") < MARGIN)).select("doc_id").distinct(), "rejected")
+    gone = ws.store(told.filter((F.col("lang_pred") == "und") | (F.col("spread") < SPREAD)).select("doc_id").distinct(), "rejected")
     return C.without(docs, gone)

@@ -223,3 +223,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     gone = near_components(docs.withColumn("doc_id", C.own_id())).filter("not kept").select("doc_id").distinct()
     return C.without(docs, C.Workspace(docs.sparkSession).store(gone, "dropped"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+e as (select x, y from l union all select y, x from l),
+r(a, b) as (select doc_id, doc_id from documents union select a, y from r join e on b = x)
+select d.doc_id, coalesce(n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) c using (doc_id)
+"""

@@ -63,4 +63,4 @@ _ALL = (
     op10_spherical_cap_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op6_mix_sources": mixing.ORACLE, "op8_stupid_backoff": lm_scoring.ORACLE}
+ORACLES = {"op1_minhash_near_dedup": near_dedup.ORACLE, "op10_spherical_cap_dedup": vector_dedup.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_stupid_backoff": lm_scoring.ORACLE}

@@ -143,3 +143,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     known = known.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "low").alias("component_id"))
     out = rows.join(known, F.col("sound") & (rows.label == known.l) & (rows.v == known.w), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as v from embeddings),
+u as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as n from v where label is not null and v is not null and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+e as (select a.vec_id as x, b.vec_id as y from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+r(a, b) as (select vec_id, vec_id from v union select a, y from r join e on b = x)
+select vec_id, coalesce(k.n, 0) as n_links, component_id, vec_id = component_id as kept
+from (select a as vec_id, min(b) as component_id from r group by a) left join (select x as vec_id, count(*) as n from e group by x) k using (vec_id)
+"""
