@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: How DuckDB says the same, for oracles.
+#: What counts as a letter, and what the oracles count as one.
+LETTERS, SQL_LETTERS = r"\p{L}\p{M}", "a-z"
+#: How DuckDB says the same for English documents and SQL_LETTERS, for oracles.
 LOCI_SQL = r"""
 loci as (
   select page, num, line, kind, num = 0 as ps, cast(page as varchar) || '.' || cast(num as varchar) as locus_id from (
@@ -29,23 +31,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def normalise(raw):
+def normalise(raw, letters: str = LETTERS):
     """A raw line in the line encoding: of a run of separators the last counts, none stand at the ends."""
-    bare = F.regexp_replace(F.lower(raw), "[^a-z, ]", "")
+    bare = F.regexp_replace(F.lower(raw), f"[^{letters}, ]", "")
     return F.btrim(F.regexp_replace(F.replace(F.replace(bare, F.lit(", "), F.lit(",")), F.lit(" "), F.lit(".")), "[.,]*([.,])", "$1"), F.lit(".,"))
 
 
-def loci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page, num, line, kind, ps, locus_id: a row for each line of the English documents."""
-    raw = documents(spark, sf_dir).filter("lang = 'en'").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("num", "raw"))
+def _of(docs: DataFrame, lang: str | None) -> DataFrame:
+    return docs if lang is None else docs.filter(F.col("lang") == lang)
+
+
+def loci(spark: SparkSession, sf_dir: str, lang: str | None = None, letters: str = LETTERS) -> DataFrame:
+    """page, num, line, kind, ps, locus_id: a row for each line of the documents, or of those in lang."""
+    raw = _of(documents(spark, sf_dir), lang).select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("num", "raw"))
     kind = F.when(F.contains("raw", F.lit("|")), "L").otherwise("P")
-    return raw.select("page", "num", normalise(F.col("raw")).alias("line"), kind.alias("kind"), (F.col("num") == 0).alias("ps"), F.concat_ws(".", "page", "num").alias("locus_id"))
+    return raw.select("page", "num", normalise(F.col("raw"), letters).alias("line"), kind.alias("kind"), (F.col("num") == 0).alias("ps"), F.concat_ws(".", "page", "num").alias("locus_id"))
+
+
+def sql_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loci of LOCI_SQL: English documents, SQL_LETTERS."""
+    return loci(spark, sf_dir, "en", SQL_LETTERS)
 
 
-def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_facts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """page, scribe, section, lang, quire: what is known of a page, – where nothing is."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = documents(spark, sf_dir).filter("lang = 'en'").select("doc_id", "source", "n_chars")
+    docs = _of(documents(spark, sf_dir), lang).select("doc_id", "source", "n_chars")
     known = docs.join(labels, "doc_id", "left")
     section = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").otherwise("–")
     lang = F.when(F.col("toxic") == 1, "B").when(F.col("toxic") == 0, "A").otherwise("–")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.sources import sinks
+from glyphmill.sources import corpus, sinks
 from glyphmill.sources import transcripts as R
 
 FILE = """#=IVTFF Eva- 2.0
@@ -91,3 +91,14 @@ def test_exports(spark, tmp_path):
     out = [r.value for r in sinks.transcription(loci).orderBy("row").collect()]
     assert out == ["<f1>", "<f1.0,@P0>         <%>dy.qo", "<f1.1,+P0>         ol<$>", "<f2>", "<f2.0,@L0>         ar"]
     assert sinks.file_name("Qok* A!").startswith("search-qok-a-") and "| a |" in sinks.markdown([{"a": 1}], ["a"])
+
+
+def test_lines_of_every_language(spark, tmp_path):
+    d = [(1, "The end, é1\nB|c", "en", "s", 10), (2, "Größe, años", "de", None, 10), (3, "и так", None, "s", 10)]
+    spark.createDataFrame(d, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r.page, r.num): (r.line, r.kind) for r in corpus.loci(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): ("the.end,é", "P"), (1, 1): ("bc", "L"), (2, 0): ("größe,años", "P"), (3, 0): ("и.так", "P")}
+    assert {r.page for r in corpus.page_facts(spark, str(tmp_path)).collect()} == {1, 2, 3}
+    assert [r.page for r in corpus.loci(spark, str(tmp_path), "de").collect()] == [2] == [r.page for r in corpus.page_facts(spark, str(tmp_path), "de").collect()]
+    assert {(r.num, r.line) for r in corpus.sql_loci(spark, str(tmp_path)).collect()} == {(0, "the.end"), (1, "bc")}
