@@ -103,10 +103,10 @@ ALPHABET = V.Alphabet({**{chr(65 + i) + "1": chr(97 + i) for i in range(24)}, "A
 
 
 def _witness_lines(spark, sf_dir):
-    """Three spellings of every benchmark passage's start of 40 letters: as it stands, without every fifth letter, with some swapped."""
+    """Three spellings of every benchmark passage: as it stands, without every fifth letter, with some swapped."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     code = lambda c: F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x == " ", ".").when(x == "", "").otherwise(F.concat(F.upper(x), F.lit("1")))), "")
-    bare = F.substring(F.regexp_replace(F.lower("text"), "[^a-x ]", ""), 1, 40)
+    bare = F.regexp_replace(F.lower("text"), "[^a-x ]", "")
     ways = F.array(F.struct(F.lit("ZL").alias("w"), bare.alias("t")), F.struct(F.lit("GC").alias("w"), F.regexp_replace(bare, "(....).", "$1").alias("t")), F.struct(F.lit("IT").alias("w"), F.translate(bare, "oe", "ao").alias("t")))
     return b.select(F.col("item_id").cast("string").alias("locus"), F.explode(ways).alias("x")).select("locus", F.col("x.w").alias("witness"), code(F.col("x.t")).alias("text"))
 
