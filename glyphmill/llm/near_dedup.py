@@ -3,7 +3,8 @@
 Each document's set of word shingles becomes REGISTERS registers. Register i is floor(1 - log_BASE(e_i)), cut to
 0..TOP, where e_i is the least of exponential(RATE) variables, one for each shingle, drawn from its hash. Two sets'
 registers agree about as often as their shingles do. BAND registers in a row make a key; documents that share a key
-are candidates. With 48 keys of 5 registers, a pair at similarity 0.75 is missed with probability 2e-6.
+are candidates. With 48 keys of 5 registers, a pair at similarity 0.75 shares none with probability 2.3e-6, and its
+estimate is too low with at most 1e-7; it is missed with probability 2.4e-6 in all.
 
 How links are found without listing the pairs of a group:
 
@@ -31,8 +32,8 @@ from . import common as C
 
 REGISTERS, BAND = 240, 5
 BASE, RATE, TOP = 1.02, 20.0, 1500
-#: A pair is checked if the likelihood puts its similarity at this or more; 0.75 lies more than three deviations above it.
-ESTIMATE = 0.65
+#: A pair is checked if the likelihood puts its similarity at this or more; at 0.75 it falls below with probability 1e-7.
+ESTIMATE = 0.6
 #: The first round looks at the groups of so many keys; it connects most copies, so that later rounds compare few pairs.
 FIRST_BANDS = 6
 HUB_ROUNDS = 3

@@ -112,6 +112,22 @@ def test_estimate_is_near_the_truth():
     assert (np.maximum(near_dedup.registers(a), near_dedup.registers(b)) == near_dedup.registers(x[:900])).all()
 
 
+def test_estimate_loses_no_pair_at_the_threshold():
+    size, total = near_dedup.REGISTERS, 0
+    p = lambda z: -np.log1p(-z * (near_dedup.BASE - 1) / near_dedup.BASE) / np.log(near_dedup.BASE)
+    either = p(0.5 - 0.5 * 0.75)  # of sets of one size, how often one's register is above the other's
+    log_n = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size + 1)))])
+    for more in range(size + 1):
+        less = np.arange(size + 1 - more)
+        weight = np.exp(log_n[size] - log_n[more] - log_n[less] - log_n[size - more - less] + (more + less) * np.log(either) + (size - more - less) * np.log(1 - 2 * either))
+        less, weight = less[weight > 1e-12], weight[weight > 1e-12]
+        if len(less):
+            k = np.arange(size)[None]
+            x, y = (k < more) * np.ones((len(less), 1), int), ((k >= more) & (k < more + less[:, None])).astype(int)
+            total += weight[near_dedup.estimate(x, y, np.full(len(less), 500.0), np.full(len(less), 500.0)) < near_dedup.ESTIMATE].sum()
+    assert total < 1e-6
+
+
 def test_word_hashes_know_words_and_bounds():
     import pyarrow as pa
 
