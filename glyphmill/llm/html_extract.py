@@ -1,6 +1,6 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: its opening tags, each with its path of tags and classes, and its short text nodes.
+A page is a sequence of tokens: its opening tags, each with its path of tags and classes, and hashes of its text nodes.
 A token's occurrence vector is its count on every page of the host. Tokens with equal vectors form a class. The vector
 is kept as a sum of count * hash(page), which partitions can add up, so no host's pages ever meet in one task. The class
 of the page itself (once on every page) is the host's template; its paths nest, and what lies between its tokens are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FEW, MOST, SHORT = 8, 0.6, 120
+FEW, MOST = 8, 0.6
 #: Host templates that may be broadcast: a row is a path and a bounded list of text hashes, about 1 kB.
 BROADCAST_HOSTS = 20_000
 
@@ -135,7 +135,7 @@ def _inventory(batches):
             for t in tags:
                 seen.setdefault((host, t, 1), [0, 0])[0] += 1
             for path, _, beside, link, text in nodes:
-                if len(text) <= SHORT and text.strip():
+                if text.strip():
                     seen.setdefault((host, str(_hash(path, text.strip())), 2), [0, 0])[0] += 1
                 if not beside and not link:
                     while path:
@@ -184,7 +184,7 @@ def main_text(page: str | None, root: str | None, texts: frozenset[int] = frozen
         root = found[0] if found else next((t for t in tags if re.search(r"(^|/)body(\.[^/]*)?$", t)), "")
     inside = [x for x in nodes if not x[2] and (not root or x[0] == root or x[0].startswith(root + "/"))]
     if texts:
-        own = {x[1] for x in inside if x[4].strip() and (len(x[4]) > SHORT or _hash(x[0], x[4].strip()) not in texts)}
+        own = {x[1] for x in inside if x[4].strip() and _hash(x[0], x[4].strip()) not in texts}
         inside = [x for x in inside if x[1] in own]  # a block of nothing but template text goes
     return "\n".join(blocks(inside))
 

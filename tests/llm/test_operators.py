@@ -342,6 +342,13 @@ def test_equal_vectors_make_classes(spark):
     assert html_extract._hash("html/body/footer", "© site") in told.texts
 
 
+def test_long_template_text_goes(spark):
+    notice = "Every reader is asked to keep to the rules of this house. " * 5
+    page = "<html><body><article><p>Text {i} of its own.</p><p>" + notice + "</p></article></body></html>"
+    d = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i=i)) for i in range(10)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(d).collect()} == {i: f"Text {i} of its own." for i in range(10)}
+
+
 def test_packing_keeps_every_rule(spark, docs, empty):
     rows = packing.pack(docs).collect()
     texts = [(r.doc_id, r.source, r.text) for r in docs.collect()]
