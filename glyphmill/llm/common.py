@@ -50,8 +50,15 @@ class Workspace:
     def release(self, *stored: DataFrame) -> None:
         """Deletes stored tables that no later plan reads."""
         for df in stored:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._glyphmill_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._glyphmill_path)
+
+    def close(self) -> None:
+        """Deletes all tables of this workspace."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +70,18 @@ def own_id():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.xxhash64("text").bitwiseAND(F.lit(2**61 - 1)))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it none of docs' columns (Spark's names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose own_id is not in the stored table gone(doc_id)."""
-    return docs.withColumn("_own", own_id()).join(by_size(gone.select(F.col("doc_id").alias("_own")), gone.count()), "_own", "left_anti").select(docs.columns)
+    """The rows of docs whose own_id is not in the stored table gone(doc_id); all columns stay as they are."""
+    own = free_name(docs, "own_id")
+    return docs.withColumn(own, own_id()).join(by_size(gone.select(F.col("doc_id").alias(own)), gone.count()), own, "left_anti").select(docs.columns)
 
 
 def by_size(ids: DataFrame, rows: int) -> DataFrame:
@@ -73,6 +89,22 @@ def by_size(ids: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
 
 
+def trimmed(batches):
+    """The batches of a task; at their end the worker, which lives on, gives freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # only glibc has it
+            pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))

@@ -83,8 +83,9 @@ def test_near_components_equal_brute_force(docs, empty):
     assert [r.text for r in kept.filter("doc_id is null").collect()] == [None]  # the other row without an id copies document 0
 
 
-def test_block_rounds_find_what_hubs_miss(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", 1)
+def test_second_round_finds_what_the_first_misses(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FIRST_BANDS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
     rng = random.Random(5)
     w = prose(rng, 100).split(" ")
     chain = []
@@ -99,6 +100,60 @@ def test_block_rounds_find_what_hubs_miss(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+class Counted(common.Workspace):
+    """A workspace that remembers the largest number of rows of each table's name."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.rows = {}
+
+    def store(self, df, name):
+        out = super().store(df, name)
+        self.rows[name] = max(self.rows.get(name, 0), out.count())
+        return out
+
+
+def near_copies(n, edits):
+    """n copies of one text, each with so many words of its own."""
+    rng = random.Random(8)
+    base, out = prose(rng, 150).split(" "), []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(len(w)), edits):
+            w[k] = f"own{i}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_rows_of_a_group_of_near_copies_grow_linearly(spark):
+    made = {}
+    for n in (1250, 5000):
+        ws = Counted(spark)
+        got = near_dedup.near_components(spark.createDataFrame(near_copies(n, 2), "doc_id long, text string"), ws=ws)
+        assert got.filter("component_id = 0").count() == n
+        made[n] = ws.rows
+    assert made[5000]["links"] < 6 * 5000
+    for name, rows in made[5000].items():
+        assert rows <= 5 * max(made[1250][name], 400), (name, made)
+
+
+def test_pairs_below_the_threshold_are_not_emitted(spark):
+    """Copies of which hardly any two link: all pairs are looked at, none comes out of a block."""
+    ws = Counted(spark)
+    rows = near_copies(600, 9)
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), ws=ws).collect()
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if label[a] != label[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == label
+    assert ws.rows["links"] < len(rows) * near_dedup.FIRST_BANDS
+
+
 def test_estimate_is_near_the_truth():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 1200, dtype=np.uint64)
