@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,16 @@ _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 class Workspace:
     """Tables written to the folder that driver and executors share (spark.checkpoint.dir), so lineage ends there.
 
-    A folder of this process's own is set only where that setting is missing, as in tests.
+    Where that setting is missing, a local master gets a folder of its own, as in tests; a cluster gets an error, since
+    its machines would each write to a folder that the others don't see.
     """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="glyphmill-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
@@ -121,6 +125,19 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def parts(batch, limit: int = 1_000_000):
+    """The batch in slices of about limit bytes of its column text, of a row at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        stop = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + limit, "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def byte_slices(column, limit: int = 2_000_000):
     """Cuts an Arrow string column into (first row, bytes, row offsets) of about limit bytes; a null has no bytes."""
     import pyarrow as pa

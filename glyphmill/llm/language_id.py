@@ -123,9 +123,8 @@ def _predict(batches, model):
 
     names, table, matrix = model.value
     mark = np.zeros(_GRAMS, np.int32)
-    for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
+    for batch in C.trimmed(batches):
+        for part in C.parts(batch, 500_000):
             sets = [grams(t or "", table, mark) for t in part.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             scores = np.zeros((len(sets), max(len(names), 1)))
