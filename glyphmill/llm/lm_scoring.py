@@ -24,61 +24,12 @@ from pyspark.sql import functions as F
 from glyphmill.functions.shipping import ship
 
 from . import common as C
+from . import packed as P
 
 ORDER, LEAST, BACK = 3, 2, 0.4
 CHUNK, SHARD_ENTRIES = 12_000_000, 4_000_000
 
 
-def _squeezed(data: bytes, level: int = 1) -> bytes:
-    """data compressed, after its length."""
-    import pyarrow as pa
-
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
-
-
-def _unsqueezed(data: bytes) -> bytes:
-    import pyarrow as pa
-
-    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of x, place by place, so that compression meets runs of zeros."""
-    return _squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def _unplanes(b: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(_unsqueezed(b), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
-
-
-def _bundle(batches):
-    """Rows (chunk, ids, sizes, texts): what a batch has for a chunk, with its texts compressed together."""
-    import pyarrow as pa
-
-    for batch in batches:
-        chunk = batch.column("chunk").to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        rows = batch.take(pa.array(order))
-        names, at = np.unique(chunk[order], return_index=True)
-        cells: list[tuple] = []
-        for name, a, b in zip(names, at, [*at[1:], len(order)], strict=True):
-            texts = [t.encode() for t in rows.column("text").slice(a, b - a).to_pylist()]
-            cells.append((int(name), rows.column("doc_id").slice(a, b - a).to_pylist(), [len(t) for t in texts], _squeezed(b"".join(texts), 3)))
-        cols = list(zip(*cells, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.binary())], ["chunk", "ids", "sizes", "texts"])
-
-
-def _unbundle(group):
-    """A chunk's texts as one Arrow column, and its ids."""
-    import pyarrow as pa
-
-    sizes = np.concatenate([np.zeros(1, np.int64), *(np.array(x, np.int64) for x in group.column("sizes").to_pylist())])
-    data = b"".join(map(_unsqueezed, group.column("texts").to_pylist()))
-    off = np.cumsum(sizes)
-    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off.tobytes()), pa.py_buffer(data)), pa.array([i for x in group.column("ids").to_pylist() for i in x], pa.int64())
-
-
 def _n_grams(column) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each order the n-gram hashes of all texts and the place of their last word; and each text's first word."""
     words, sizes = [], []
@@ -104,13 +55,13 @@ def _ask(group, bits):
 
     chunk = group.column("chunk")[0].as_py()
     rows: list[tuple] = []
-    grams, _, _ = _n_grams(_unbundle(group)[0])
+    grams, _, _ = _n_grams(P.unbundle(group)[0])
     for k, g in enumerate(grams, 1):
         names, n = np.unique(g, return_counts=True)
         cuts = np.searchsorted(names, np.arange(1, 2**bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
         for s, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(names)], strict=True)):
             if b > a:
-                rows.append((chunk, k, s, _planes(np.diff(names[a:b], prepend=np.uint64(0))), _planes(n[a:b].astype(np.uint32))))
+                rows.append((chunk, k, s, P.planes(np.diff(names[a:b], prepend=np.uint64(0))), P.planes(n[a:b].astype(np.uint32))))
     cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
     return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["chunk", "n", "shard", "names", "counts"])
 
@@ -119,12 +70,12 @@ def _answer(group):
     """A shard's totals for every message, in the message's order."""
     import pyarrow as pa
 
-    names = [np.cumsum(_unplanes(b, np.uint64), dtype=np.uint64) for b in group.column("names").to_pylist()]
-    counts = [_unplanes(b, np.uint32) for b in group.column("counts").to_pylist()]
+    names = [np.cumsum(P.unplanes(b, np.uint64), dtype=np.uint64) for b in group.column("names").to_pylist()]
+    counts = [P.unplanes(b, np.uint32) for b in group.column("counts").to_pylist()]
     _, at = np.unique(np.concatenate(names), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts))
     ends = np.cumsum([len(x) for x in names])
-    told = [_planes(x.astype(np.uint64)) for x in np.split(total[at], ends[:-1])]
+    told = [P.planes(x.astype(np.uint64)) for x in np.split(total[at], ends[:-1])]
     return pa.table([group.column("chunk"), group.column("n"), group.column("shard"), pa.array(told, pa.binary())], ["chunk", "n", "shard", "totals"])
 
 
@@ -132,12 +83,12 @@ def _score(docs, answers, size):
     """The chunk's documents with their scores."""
     import pyarrow as pa
 
-    texts, ids = _unbundle(docs)
+    texts, ids, _ = P.unbundle(docs)
     grams, ends, first = _n_grams(texts)
     rows = sorted(zip(answers.column("n").to_pylist(), answers.column("shard").to_pylist(), answers.column("totals").to_pylist(), strict=True), key=lambda r: r[:2])
     count = []  # of the n-gram of each order that ends at each word; 0 where there is none
     for k, (g, at) in enumerate(zip(grams, ends, strict=True), 1):
-        told = [_unplanes(t, np.uint64) for n, _, t in rows if n == k]
+        told = [P.unplanes(t, np.uint64) for n, _, t in rows if n == k]
         total = np.concatenate(told) if told else np.zeros(0, np.uint64)
         full = np.zeros(first[-1], float)
         if len(g):
@@ -164,8 +115,7 @@ def stupid_backoff(docs: DataFrame) -> DataFrame:
     size, words = size or 0, words or 0
     chunks = max(1, -(-size // CHUNK))
     bits = max(0, int(np.ceil(np.log2(max(1, words / SHARD_ENTRIES)))))
-    dealt = plain.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    dealt = dealt.mapInArrow(_bundle, "chunk long, ids array<long>, sizes array<int>, texts binary").repartition("chunk")
+    dealt = P.deal(plain.withColumn("tag", F.lit(None).cast("string")), chunks)
     asked = dealt.groupBy("chunk").applyInArrow(lambda g: _ask(g, bits), "chunk long, n int, shard int, names binary, counts binary")
     told = asked.groupBy("n", "shard").applyInArrow(_answer, "chunk long, n int, shard int, totals binary")
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, a: _score(d, a, words), "doc_id long, n_words long, n_trigram long, n_bigram long, log10_score double, log10_per_word double")

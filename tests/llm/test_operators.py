@@ -340,20 +340,63 @@ def test_grams_are_distinct_and_whole():
     assert not len(language_id.grams("1 2", table, mark))
 
 
-def test_kneser_ney_sums_to_one():
+def direct_kneser_ney(texts, points):
+    """p(last symbol | ORDER - 1 before it) by the textbook's recursion over plain counters."""
+    from collections import Counter
+
+    order, other, edge = lm_quality.ORDER, lm_quality._OTHER, lm_quality._EDGE
+    place = {p: i + 2 for i, p in enumerate(points)}
+    levels = {order: Counter()}
+    for t in texts:
+        s = [edge] * (order - 1) + [place.get(ord(c), other) for c in t]
+        levels[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off = {}
+    for k, c in levels.items():
+        n = Counter(c.values())
+        if min(n[i] for i in (1, 2, 3, 4)):
+            y = n[1] / (n[1] + 2 * n[2])
+            off[k] = [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) for i in (1, 2, 3)]
+        else:
+            off[k] = [0, 0.5, 0.75, 0.9]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 2.0**-lm_quality._BITS
+        after = [n for h, n in levels[k].items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        free = sum(off[k][min(n, 3)] for n in after)
+        n = levels[k][g]
+        return (max(n - off[k][min(n, 3)], 0) + free * p(g[1:])) / sum(after)
+
+    return p, place
+
+
+def test_entropies_equal_direct_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(lm_quality, "PIECE", 70)  # longer texts are scored in pieces
+    monkeypatch.setattr(lm_quality, "CHUNK", 400)
     rng = random.Random(4)
-    texts = [prose(rng, 200, "abc") for _ in range(5)]
-    table = lm_quality.symbol_table(texts)
-    g, _ = lm_quality.codes(texts, table)
-    names, n = np.unique(g, return_counts=True)
-    model = lm_quality.shards(lm_quality.kneser_ney(names, n))
-    heads = {int(x) >> 7 for x in names[:40]}
-    for h in heads:
-        every = (h << 7) + np.arange(128)
-        assert np.exp2(lm_quality.log_p(every, model)).sum() == pytest.approx(1, abs=0.02)
-    got = dict(zip(names.tolist(), lm_quality.log_p(names, model).tolist()))
-    top = lm_quality.kneser_ney(names, n)[-1]
-    assert all(got[int(k)] == pytest.approx(p, abs=1e-5) for k, p in zip(top[0], top[1]))
+    texts = [prose(rng, 30, "abcdé") for _ in range(24)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100, "abc zz \U0001f600 " * 30, None), (101, "a", "en"), (102, None, "en"), (103, "", "en")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    learnt = [r.text for r in lm_quality.sample(plain, lab).collect()]
+    assert 0 < len(learnt) < 20
+    count = {}
+    for c in "".join(learnt):
+        count[ord(c)] = count.get(ord(c), 0) + 1
+    p, place = direct_kneser_ney(learnt, sorted(count, key=lambda c: (-count[c], c)))
+    got = {r.doc_id: r for r in lm_quality.entropies(common.Workspace(spark), plain, lab).collect()}
+    assert len(got) == len(rows) and got[102].entropy is None and got[103].entropy is None
+    for i, t, _ in rows[18:26]:
+        s = [0] * 4 + [place.get(ord(c), 1) for c in t]
+        bits = -sum(math.log2(p(tuple(s[k : k + 5]))) for k in range(len(t))) / len(t)
+        assert got[i].n_chars_scored == len(t) and got[i].entropy == pytest.approx(bits, abs=2e-4), i
+    for head in ((0, 0, 0, 0), (2, 3, 4, 2)):
+        assert sum(p((*head, x)) for x in range(2**lm_quality._BITS)) == pytest.approx(1, abs=1e-6)
 
 
 def test_quality_keeps_prose_and_drops_noise(spark, empty):
