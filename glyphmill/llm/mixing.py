@@ -41,11 +41,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), found * F.col("weight")), F.lit(0.0)).alias("target"))
 
 
-def plan(docs: DataFrame, ws: C.Workspace | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and the row's copies, for each row of docs."""
+def plan(docs: DataFrame, ws: C.Workspace | None = None, joint: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and the row's copies, for each row of docs; joint: for each doc_id of a source."""
     ws = ws or C.Workspace(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long")
     slim = docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))).alias("lot"))
+    if joint:
+        slim = slim.groupBy("doc_id", "source").agg(F.sum("size").alias("size"), F.first("lot").alias("lot"))
     slim = ws.store(slim, "sizes")
     goal = targets(slim)
     counts = slim.groupBy("source").agg(F.count("*").alias("n"))
@@ -68,11 +70,15 @@ def plan(docs: DataFrame, ws: C.Workspace | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; documents without words are not taken."""
+    """The rows of docs, each as often as the mix takes it; documents without words are not taken. All columns stay.
+
+    Rows that repeat a doc_id are planned as one document of their joint size, and taken together.
+    """
     ws = C.Workspace(docs.sparkSession)
-    picks = ws.store(plan(docs.withColumn("doc_id", C.own_id()), ws).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies")), "picks")
-    taken = docs.withColumn("_id", C.own_id()).join(C.by_size(picks, picks.count()), "_id")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    own, times = C.free_name(docs, "own_id"), C.free_name(docs, "own_copies")
+    picks = ws.store(plan(docs.withColumn("doc_id", C.own_id()), ws, joint=True).filter("taken > 0").select(F.col("doc_id").alias(own), F.col("source").alias("s"), F.col("copies").alias(times)), "picks")
+    taken = docs.withColumn(own, C.own_id()).alias("d").join(C.by_size(picks, picks.count()).alias("p"), (F.col(f"d.{own}") == F.col(f"p.{own}")) & F.col("d.source").eqNullSafe(F.col("p.s")))
+    return taken.select("d.*", f"p.{times}", F.explode(F.sequence(F.lit(1), F.col(f"p.{times}"))).alias(f"{times}_")).select(docs.columns)
 
 
 ORACLE = r"""
