@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.shipping import ship
@@ -16,6 +16,8 @@ from glyphmill.functions.shipping import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: The largest id table that may be broadcast: 2 million bigints are about 32 MB as a hash relation.
 BROADCAST_ROWS = 2_000_000
+#: The most bytes of an Arrow batch, set where the session has Spark's default of 64 MB.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -42,6 +44,9 @@ class Workspace:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="glyphmill-")
             spark.conf.set("spark.checkpoint.dir", root)
+        # Arrow batches to Python workers are bounded by bytes as well as by rows; the setting changes no result
+        if spark.conf.get(BATCH_SETTING) in ("67108864b", "64MB", "67108864"):
+            spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         self.spark, self.root = spark, f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
@@ -93,20 +98,39 @@ def by_size(ids: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
 
 
-def trimmed(batches):
-    """The batches of a task; at their end the worker, which lives on, gives freed memory back to the system."""
+def drawn(rows: DataFrame, each: int, languages: int) -> DataFrame:
+    """Of rows(doc_id, lang, text, lot) at most each documents of every one of the commonest languages, those of least lot.
+
+    lot is a hash of doc_id. A cut of the lots that leaves about four times as many goes first, so that no language's
+    rows meet in one task.
+    """
+    common = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("docs")).orderBy(F.desc("docs"), "lang").limit(languages).select(F.col("lang").alias("of"), "docs")
+    part = F.pmod(F.xxhash64("lot"), F.lit(2**30)) / 2.0**30
+    few = rows.join(F.broadcast(common), F.col("lang").eqNullSafe(F.col("of"))).withColumn("part", part)  # one row a language
+    few = few.filter(F.col("part") * F.col("docs") <= 4 * each + 40).dropDuplicates(["doc_id", "lang"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "doc_id"))
+    return few.withColumn("place", place).filter(F.col("place") <= each).drop("of", "docs", "part", "place")
+
+
+def trim() -> None:
+    """Gives the worker's freed memory back to the system; the worker lives on."""
     import ctypes
 
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only glibc has it
+        pass
+
+
+def trimmed(batches):
+    """The batches of a task, and trim() at their end."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # only glibc has it
-            pass
+        trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

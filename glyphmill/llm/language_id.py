@@ -21,7 +21,7 @@ the language whose code sorts first. A null doc_id is not held out and is not le
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.shipping import ship
@@ -159,12 +159,10 @@ def held_out():
 def learn(docs: DataFrame):
     """The model from docs(doc_id, text, lang), without the rows that are held out."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
     lot = F.xxhash64("doc_id", F.lit("language"))
     at = F.pmod(lot, F.greatest(F.length("text") - LEARN_CHARS, F.lit(0)) + 1) + 1
-    drawn = rows.join(F.broadcast(common), "lang", "left_semi").select("doc_id", "lang", F.substring("text", at, F.lit(LEARN_CHARS)).alias("text"), lot.alias("lot"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id", "text"))
-    found = drawn.withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE).orderBy("lot", "doc_id", "lang", "text").collect()  # LANGUAGES * PER_LANGUAGE stretches
+    rows = rows.select("doc_id", "lang", F.substring("text", at, F.lit(LEARN_CHARS)).alias("text"), lot.alias("lot"))
+    found = C.drawn(rows, PER_LANGUAGE, LANGUAGES).orderBy("lot", "doc_id", "lang").collect()  # LANGUAGES * PER_LANGUAGE stretches
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 
