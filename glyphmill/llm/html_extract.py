@@ -1,19 +1,32 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: its opening tags, each with its path of tags and classes, and hashes of its text nodes.
-A token's occurrence vector is its count on every page of the host. Tokens with equal vectors form a class. The vector
-is kept as a sum of count * hash(page), which partitions can add up, so no host's pages ever meet in one task. The class
-of the page itself (once on every page) is the host's template; its paths nest, and what lies between its tokens are
-slots. Texts in that class are template text: a block of nothing else, the same on every page of the host, is dropped.
-Among the template's containers the main slot is the deepest that holds most of the host's free text, where links, menus
-and the like don't count; an article or main element goes before others. A page's text is what stands in that slot, without nested menus, notices, forms, comments and so on.
+A page is a sequence of tokens: its opening tags, each with the path of elements that leads to it, and its text nodes,
+each with its path and a hash. A token's occurrence vector is its count on every page of the host; it is kept as a sum of
+count * hash(page), which partitions can add up, so no host's pages ever meet in one task. Tokens with equal vectors form
+a class. Every page is parsed once; what later steps need of it is stored.
 
-A host with under FEW distinct pages takes the template of all hosts together. A page that lacks its host's main slot
-falls back to its own article, main or body element.
+1. The class of the page itself, once on every page, is the host's root template. Its texts are template text if the
+   class is no accident: a text that a share q of pages has anyway (measured on the hosts that don't have it throughout,
+   CHANCE at least) is on all n pages of a host with probability q ** n, which must be at most ACCIDENT.
+2. The containers of that class nest by their paths, and what lies between them are slots. Free text is what is neither
+   a text of that class nor a link's. The main slot is reached from the top by going into the container that holds MOST of the
+   free text, summed over the host's pages, as long as there is one. Headings that stand before it, beside the
+   containers that lead to it, belong to it.
+3. Classes of tag tokens that repeat on a page and nest in the main slot are records: RECORD or more tokens of one vector,
+   one inside the other, in a container; reader comments and lists of teasers look so, paragraphs don't. They go.
+4. A page's text is what is left in the main slot, without blocks of nothing but template text, and without elements
+   inside the slot that HTML or a class name marks as menu, form, notice, comments and the like. The names never choose
+   the slot.
+
+A page whose main slot holds nothing but template text keeps it. A host with one distinct page has no vectors: of the
+main slots of the ROOTS hosts with most pages, and of all hosts taken together, the page takes the deepest that it has.
+So does a page that lacks its host's main slot. If there is none, step 2 goes over the page alone.
 
 Defined results: null, empty and markup-only pages have empty text and 0 characters. A null url is a host of its own.
 Repeated rows give repeated rows. Extra columns are ignored. An empty table gives an empty result. Texts within a block
-are joined as they stand; white space in it becomes one space; a line break element counts as white space.
+are joined as they stand; white space in it becomes one space; a line break element counts as white space. Time and
+memory of a page are linear in its length: elements nested deeper than DEPTH share the path of their ancestor there, and
+of a container's like siblings those from SIBLINGS on share one.
 """
 
 from __future__ import annotations
@@ -26,9 +39,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FEW, MOST = 8, 0.6
-#: Host templates that may be broadcast: a row is a path and a bounded list of text hashes, about 1 kB.
-BROADCAST_HOSTS = 20_000
+MOST, RECORD = 0.6, 3
+CHANCE, ACCIDENT = 0.03, 1e-6
+DEPTH, SIBLINGS, ROOTS = 48, 40, 200
+#: Host templates that may be broadcast: rows, and bytes of their lists.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 16_000_000
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -36,169 +51,266 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+_ORDINAL = re.compile(r":\d+")
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe svg textarea title".split())
-_ASIDE = frozenset("nav header footer aside form button select dialog menu head".split())
+_ASIDE = frozenset("nav footer aside form button select dialog menu head".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figure figcaption caption address hr ul ol dl".split())
 # Words in a class, id or role that mark a part as not the article.
 _MARKS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer "
-    "form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies "
+    "form login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies "
     "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[str, int, bool, bool, str]]]:
-    """Paths of opening tags, and text nodes as (path, block, beside the article, link, text)."""
-    tags: list[str] = []
-    nodes: list[tuple[str, int, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # (element, path, beside)
-    block, at, end = 0, 0, len(page)
-
-    def text(a: int, b: int) -> None:
-        if b > a and (t := page[a:b]).strip():
-            path, beside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            nodes.append((path, block, beside, any(e == "a" for e, _, _ in stack), entities.unescape(t)))
-        elif b > a and nodes and nodes[-1][1] == block:
-            nodes.append((*nodes[-1][:4], " "))
-
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
-            text(at, end)
-            break
-        text(at, m.start())
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closes, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if name not in _INLINE:
-            block += 1
-        if closes:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-            continue
-        if name == "br" and nodes and nodes[-1][1] == block:
-            nodes.append((*nodes[-1][:4], " "))
-        if name not in _INLINE:  # a block ends an open paragraph, an item the item before
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == name == "li":
-                    del stack[k:]
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
+class Page:
+    """What one pass over a page's markup finds.
+
+    tags: counts of the paths of opening tags. nodes: (path, block, link, text) of each text node. In a path, a
+    container is followed by its number among like siblings, and a marked element by an exclamation mark.
+    """
+
+    def __init__(self, page: str):
+        self.tags: dict[str, int] = {}
+        self.nodes: list[tuple[str, int, bool, str]] = []
+        self._block, self._links, self._open = 0, 0, {}
+        # (element, path, children seen by name, place of the paragraph and item that a block ends; -1 for none)
+        self._stack: list[tuple[str, str, dict, int, int]] = [("", "", {}, -1, -1)]
+        self._articles = 0
+        at, end = 0, len(page)
+        while at < end:
+            m = _TAG.search(page, at)
+            self._text(page, at, m.start() if m else end)
+            if not m:
+                break
+            at = m.end()
+            name = (m[2] or m[5] or "").lower()
+            if not name:
+                continue
+            if name not in _INLINE:
+                self._block += 1
+            if m[1] or m[4]:
+                if self._open.get(name):
+                    while self._pop() != name:
+                        pass
+                continue
+            attributes = m[3] or m[6] or ""
+            if name == "br" and self.nodes and self.nodes[-1][1] == self._block:
+                self.nodes.append((*self.nodes[-1][:3], " "))
+            if name not in _INLINE:
+                _, _, _, paragraph, item = self._stack[-1]
+                place = paragraph if paragraph >= 0 else item if name == "li" else -1
+                while 0 <= place < len(self._stack):
+                    self._pop()
+            path = self._path(name, attributes)
+            self.tags[path] = self.tags.get(path, 0) + 1
+            if name in _RAW:
+                m = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
+                at = m.end() if m else end
+            elif name not in _VOID and not attributes.rstrip().endswith("/"):
+                self._push(name, path)
+
+    def _text(self, page, a, b):
+        if b > a and page[a:b].strip():
+            self.nodes.append((self._stack[-1][1], self._block, self._links > 0, entities.unescape(page[a:b])))
+        elif b > a and self.nodes and self.nodes[-1][1] == self._block:
+            self.nodes.append((*self.nodes[-1][:3], " "))
+
+    def _path(self, name, attributes):
+        _, path, children, _, _ = self._stack[-1]
         kinds = [w for x in _CLASS.findall(attributes) for w in re.split(r"[\s_-]+", "".join(x).lower()) if w]
-        inside = any(e in ("article", "main") for e, _, _ in stack)
-        beside = bool(stack and stack[-1][2]) or (name in _ASIDE and not (name == "header" and inside)) or name in _RAW or any(w in _MARKS for w in kinds)
-        path = (stack[-1][1] + "/" if stack else "") + name + ("." + kinds[0] if kinds else "")
-        tags.append(path)
-        if name in _RAW:
-            m = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = m.end() if m else end
-        elif name not in _VOID and not attributes.rstrip().endswith("/"):
-            stack.append((name, path, beside))
-    return tags, nodes
-
-
-def blocks(nodes) -> list[str]:
-    """Text nodes joined by block, with white space as one space."""
-    out: list[str] = []
+        if len(self._stack) > DEPTH:
+            return path
+        step = name + ("." + kinds[0].replace("/", "").replace(":", "") if kinds else "")
+        if name not in _INLINE and name not in _CONTENT:
+            children[step] = children.get(step, 0) + 1
+            step += f":{min(children[step], SIBLINGS)}"
+        if name in _ASIDE or (name == "header" and not self._articles) or any(w in _MARKS for w in kinds):
+            step += "!"
+        return f"{path}/{step}" if path else step
+
+    def _push(self, name, path):
+        _, _, _, paragraph, item = self._stack[-1]
+        here = len(self._stack)
+        if name not in _INLINE:
+            paragraph, item = (here if name == "p" else -1), (here if name == "li" else -1)
+        self._stack.append((name, path, {}, paragraph, item))
+        self._open[name] = self._open.get(name, 0) + 1
+        self._links += name == "a"
+        self._articles += name in ("article", "main")
+
+    def _pop(self):
+        name = self._stack.pop()[0]
+        self._open[name] -= 1
+        self._links -= name == "a"
+        self._articles -= name in ("article", "main")
+        return name
+
+
+def _container(path: str) -> bool:
+    """Whether the path ends in an element that may hold blocks: only those are numbered."""
+    return ":" in path.rpartition("/")[2]
+
+
+def descend(free: dict[str, int], containers) -> str:
+    """The main slot: the deepest container reached by going where MOST of the free text is. free: characters by path."""
+    inside: dict[str, int] = {}
+    for path, n in free.items():
+        while path:
+            inside[path] = inside.get(path, 0) + n
+            path = path.rpartition("/")[0]
+    total = sum(free.values())
+    fit = [p for p in containers if total and inside.get(p, 0) >= MOST * total]
+    return max(fit, key=lambda p: (p.count("/"), p), default="")
+
+
+def _heading(path: str, root: str) -> bool:
+    """Whether path is a heading beside the containers that lead to root."""
+    above, _, last = path.rpartition("/")
+    return bool(re.match(r"h[1-6]\b", last)) and (root == above or root.startswith(above + "/"))
+
+
+def main_text(nodes, root: str, texts=frozenset(), records=()) -> str:
+    """Blocks of the nodes (path, block, text, hash) in slot root."""
+    first = next((k for k, x in enumerate(nodes) if x[0] == root or x[0].startswith(root + "/")), len(nodes)) if root else 0
+    known: dict[str, bool] = {}
+    inside = []
+    for k, x in enumerate(nodes):
+        path = x[0]
+        if path not in known:
+            below = path[len(root) :] if not root or path == root or path.startswith(root + "/") else None
+            shape = _ORDINAL.sub("", path)
+            known[path] = below is not None and "!" not in below and not any(shape == r or shape.startswith(r + "/") for r in records)
+        if known[path] or (k < first and "!" not in path and _heading(path, root)):
+            inside.append(x)
+    if texts:
+        own = {x[1] for x in inside if x[2].strip() and x[3] not in texts}
+        inside = [x for x in inside if x[1] in own] if own else inside  # a block of nothing but template text goes
+    out: list[list[str]] = []
     last = None
-    for _, block, _, _, text in nodes:
-        if block == last:
-            out[-1] += text
-        else:
-            out.append(text)
+    for _, block, text, _ in inside:
+        if block != last:
+            out.append([])
+        out[-1].append(text)
         last = block
-    return [t for t in (" ".join(x.split()) for x in out) if t]
+    return "\n".join(t for t in (" ".join("".join(x).split()) for x in out) if t)
 
 
-def _hash(*parts: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest("\x00".join(parts)) - 2**63
+_PARSED = "kind int, host string, page_id long, url string, steps array<string>, once array<string>, node array<int>, block array<int>, free array<boolean>, text array<string>, hash array<long>, token string, mark long, fp long, n long, chars long"
 
 
-def _inventory(batches):
-    """(host, token, kind, fp, n, free): kind 0 pages, 1 tag paths, 2 texts. fp is a share of the occurrence vector."""
+def _parse(batches):
+    """Rows _PARSED of kind 0, a page's text nodes, and of an Arrow batch's tokens, added up: 1 pages, 2 tag paths, 3 texts, 4 paths without numbers."""
     import pyarrow as pa
+    import xxhash
 
-    for batch in batches:
+    names = [x.split()[0] for x in _PARSED.split(", ")]
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), *[pa.list_(t) for t in (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64())], pa.string(), *[pa.int64()] * 4]
+
+    def rows(found):
+        cols = list(zip(*found, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    for batch in C.trimmed(batches):
         held: dict[tuple, list[int]] = {}
-        for host, page, key in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            tags, nodes = parse(page)
-            seen: dict[tuple, list[int]] = {(host, "", 0): [1, 0]}
-            for t in tags:
-                seen.setdefault((host, t, 1), [0, 0])[0] += 1
-            for path, _, beside, link, text in nodes:
-                if text.strip():
-                    seen.setdefault((host, str(_hash(path, text.strip())), 2), [0, 0])[0] += 1
-                if not beside and not link:
-                    while path:
-                        if (host, path, 1) in seen:
-                            seen[host, path, 1][1] += len(text)
-                        path = path.rpartition("/")[0]
-            for name, (n, free) in seen.items():
+        pages, size = [], 0
+        for page_id, url, host, html, key in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html", "key")), strict=True):
+            page = Page(html or "")
+            paths = {p: k for k, p in enumerate(dict.fromkeys(x[0] for x in page.nodes))}
+            hashes = [xxhash.xxh64_intdigest(f"{p}\0{t.strip()}") - 2**63 if t.strip() else 0 for p, _, _, t in page.nodes]
+            once = [p for p, n in page.tags.items() if n == 1 and _container(p)]
+            pages.append((0, host, page_id, url, list(paths), once, [paths[x[0]] for x in page.nodes], [x[1] for x in page.nodes], [not x[2] for x in page.nodes], [x[3] for x in page.nodes], hashes, None, None, None if html is None else key, None, None))
+            size += len(html or "")
+            if html is None:
+                continue
+            seen: dict[tuple, list[int]] = {(1, host, "", 0): [1, 0]}
+            for p, n in page.tags.items():
+                seen.setdefault((2, host, p, 0), [0, 0])[0] += n
+                seen.setdefault((4, host, _ORDINAL.sub("", p), 0), [0, 0])[0] += n
+            for (p, _, link, t), h in zip(page.nodes, hashes, strict=True):
+                if h:
+                    x = seen.setdefault((3, host, p, h), [0, 0])
+                    x[0] += 1
+                    x[1] += 0 if link else len(t)
+            for name, (n, chars) in seen.items():
                 x = held.setdefault(name, [0, 0, 0])
                 x[0] = (x[0] + n * key) & (2**62 - 1)
-                x[1] += 1
-                x[2] += free
-        cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "token", "kind", "fp", "n", "free"])
+                x[1] += n
+                x[2] += chars
+            if size > 2_000_000:
+                yield rows(pages)
+                pages, size = [], 0
+        yield rows(pages)
+        yield rows([(kind, host, None, None, *[None] * 7, token, mark, *x) for (kind, host, token, mark), x in held.items()])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, root, texts, different pages): the main slot's path and the template's texts; host '' stands for all hosts together."""
-    keyed = pages.filter("html is not null").withColumn("key", F.shiftrightunsigned(F.xxhash64("html"), 3))
-    told = keyed.select("host", "html", "key").mapInArrow(_inventory, "host string, token string, kind int, fp long, n long, free long")
+def templates(ws: C.Workspace, parsed: DataFrame) -> DataFrame:
+    """(host, root, texts, records): a host's main slot, template texts and records; host '' stands for all hosts together."""
+    tokens = parsed.filter("kind > 0").select("kind", "host", "token", "mark", "fp", "n", "chars")
     # sums wrap in decimal space; taken modulo 2^62
-    total = (F.expr("cast(sum(cast(fp as decimal(38,0))) % 4611686018427387904 as bigint)").alias("fp"), F.sum("n").alias("n"), F.sum("free").alias("free"))
-    by_host = C.Workspace(pages.sparkSession).store(told.groupBy("host", "token", "kind").agg(*total), "tokens")
-    everywhere = by_host.groupBy("token", "kind").agg(*total).select(F.lit("").alias("host"), "token", "kind", "fp", "n", "free")
-    both = by_host.unionByName(everywhere)
-    whole = both.filter("kind = 0").select("host", F.col("fp").alias("page_fp"), F.col("n").alias("pages"))
-    body = both.join(whole, "host").filter("kind > 0 and n >= 0.5 * pages")  # so a host keeps at most twice the tokens of a page
-    top = body.filter("kind = 1").groupBy("host").agg(F.max("free").alias("most"))
-    ranked = body.join(top, "host").filter(F.col("kind") == 1)
-    depth = F.size(F.split("token", "/"))
-    named = F.col("token").rlike(r"(^|/)(article|main)[^/]*$")
-    fit = F.when((F.col("free") > 0) & (F.col("free") >= F.when(named, 0.3).otherwise(MOST) * F.col("most")), F.struct(named.alias("named"), F.when(named, -depth).otherwise(depth).alias("depth"), "token"))
-    roots = ranked.groupBy("host").agg(F.max(fit)["token"].alias("root"))
-    texts = body.filter((F.col("kind") == 2) & (F.col("fp") == F.col("page_fp"))).groupBy("host").agg(F.collect_list(F.col("token").cast("long")).alias("texts"))
-    different = keyed.groupBy("host").agg(F.approx_count_distinct("key").alias("different"))
-    whole = whole.join(different, "host", "left")
-    return whole.join(roots, "host", "left").join(texts, "host", "left").select("host", "root", "texts", "different")
-
-
-def main_text(page: str | None, root: str | None, texts: frozenset[int] = frozenset()) -> str:
-    """The page's text in slot root, or in its own article, main or body if it has no such slot."""
-    if not page:
-        return ""
-    tags, nodes = parse(page)
-    if root is None or root not in tags:
-        found = [t for t in tags if re.search(r"(^|/)(article|main)(\.[^/]*)?$", t)]
-        root = found[0] if found else next((t for t in tags if re.search(r"(^|/)body(\.[^/]*)?$", t)), "")
-    inside = [x for x in nodes if not x[2] and (not root or x[0] == root or x[0].startswith(root + "/"))]
-    if texts:
-        own = {x[1] for x in inside if x[4].strip() and _hash(x[0], x[4].strip()) not in texts}
-        inside = [x for x in inside if x[1] in own]  # a block of nothing but template text goes
-    return "\n".join(blocks(inside))
+    total = (F.expr("cast(sum(cast(fp as decimal(38,0))) % 4611686018427387904 as bigint)").alias("fp"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    by_host = ws.store(tokens.groupBy("kind", "host", "token", "mark").agg(*total), "tokens")
+    # vectors need two different pages; a host with fewer is left to the template of all hosts
+    single = ws.store(parsed.filter("kind = 0").groupBy("host").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("high is null or low = high").select("host"), "single")
+    everywhere = by_host.groupBy("kind", "token", "mark").agg(*total).withColumn("host", F.lit(""))
+    both = by_host.join(single, "host", "left_anti").unionByName(everywhere)
+    whole = both.filter("kind = 1").select("host", F.col("fp").alias("page_fp"), F.col("n").alias("pages"))
+    both = both.filter("kind > 1").join(whole, "host")
+
+    each = both.filter("kind = 3 and host <> ''").withColumn("all", F.col("fp") == F.col("page_fp"))
+    corpus = whole.filter("host <> ''").agg(F.sum("pages")).first()[0] or 0
+    shared = each.groupBy("token", "mark").agg(F.sum(F.when(~F.col("all"), F.col("n")).otherwise(0)).alias("some"), F.sum(F.when(F.col("all"), F.col("pages")).otherwise(0)).alias("of_all"))
+    on_all = both.filter("kind = 3 and fp = page_fp").join(shared, ["token", "mark"], "left").na.fill(0, ["some", "of_all"])
+    anyway = (F.col("some") + CHANCE) / (F.lit(corpus) - F.col("of_all") + 1)
+    known = F.pow(F.least(F.greatest(anyway, F.lit(CHANCE)), F.lit(1.0)), F.col("pages")) <= ACCIDENT
+    fixed = ws.store(on_all.filter(known).select("host", "token", "mark"), "fixed")
+
+    # a text that is once on every page is no free text, be it by accident or not
+    free = both.filter("kind = 3 and chars > 0 and fp <> page_fp").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
+    once = both.filter("kind = 2 and fp = page_fp").select("host", "token", "pages").filter(F.element_at(F.split("token", "/"), -1).contains(":"))
+    # free text of a container is that of all paths below it; a path has at most DEPTH ancestors
+    steps = F.split("token", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    inside = free.select("host", F.explode(above).alias("token"), "chars").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
+    sums = free.groupBy("host").agg(F.sum("chars").alias("total"))
+    roots = once.join(inside, ["host", "token"]).join(sums, "host").filter(F.col("chars") >= MOST * F.col("total"))
+    roots = ws.store(roots.groupBy("host").agg(F.max(F.struct(F.size(steps).alias("depth"), "token", "pages")).alias("r")).select("host", F.col("r.token").alias("root"), "r.depth", "r.pages"), "roots")
+    texts = fixed.join(roots, "host").filter(F.col("token").startswith(F.col("root"))).groupBy("host").agg(F.collect_list("mark").alias("texts"))
+
+    # records: classes of paths without numbers, more often than pages, RECORD tokens inside the first of them
+    repeated = both.filter("kind = 4 and n > pages").join(roots, "host").filter(F.startswith("token", F.regexp_replace("root", r":\d+", "")))
+    classes = repeated.groupBy("host", "fp").agg(F.min(F.struct(F.length("token"), "token")).alias("first"), F.count("*").alias("tokens"), F.collect_list("token").alias("all"))
+    top = F.col("first.token")
+    nested = F.size(F.filter("all", lambda x: F.startswith(x, F.concat(top, F.lit("/"))))) >= RECORD - 1
+    last = F.regexp_extract(top, r"([a-z0-9]+)[^/]*$", 1)
+    records = classes.filter((F.col("tokens") >= RECORD) & nested & ~last.isin(sorted(_CONTENT - {"li"} | _INLINE))).groupBy("host").agg(F.collect_list(top).alias("records"))
+    return roots.join(texts, "host", "left").join(records, "host", "left").select("host", "root", "depth", "pages", "texts", "records")
 
 
-def _extract(batches):
+def _extract(batches, elsewhere):
     import pyarrow as pa
 
-    for batch in batches:
-        known: dict[str, frozenset] = {}
+    for batch in C.trimmed(batches):
+        known: dict[str, tuple] = {}
         out = []
-        for host, page, root, texts in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "root", "texts")), strict=True):
+        cols = ("host", "steps", "once", "node", "block", "free", "text", "hash", "root", "texts", "records")
+        for host, steps, once, node, block, free, text, marks, root, texts, records in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
             if host not in known:
-                known[host] = frozenset(texts or ())
-            out.append(main_text(page, root, known[host]))
+                known[host] = frozenset(texts or ()), tuple(records or ())
+            nodes = [(steps[p], b, t, h) for p, b, t, h in zip(node, block, text, marks, strict=True)]
+            if root and root in once:
+                out.append(main_text(nodes, root, *known[host]))
+                continue
+            root = next((r for r in elsewhere if r in once), None)
+            if root is None:
+                own: dict[str, int] = {}
+                for x, f in zip(nodes, free, strict=True):
+                    own[x[0]] = own.get(x[0], 0) + (len(x[2].strip()) if f else 0)
+                root = descend(own, once)
+            out.append(main_text(nodes, root))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -206,12 +318,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages(page_id, url, html)."""
     ws = C.Workspace(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("?"))
-    rows = pages.select("page_id", "url", "html", F.when(host == "", "?").otherwise(host).alias("host"))
-    known = ws.store(templates(rows), "templates")
-    shared = known.filter("host = ''").select(F.col("root").alias("any_root"))
-    own = known.filter(F.col("host") != "").withColumn("any_root", F.lit((shared.first() or [None])[0]))
-    small = F.coalesce("different", F.lit(0)) < FEW
-    own = own.select("host", F.when(small, F.col("any_root")).otherwise(F.coalesce("root", "any_root")).alias("root"), F.when(~small, F.col("texts")).alias("texts"))
-    n = own.count()
-    joined = rows.join(F.broadcast(own) if n <= BROADCAST_HOSTS else own, "host", "left")
-    return joined.select("page_id", "url", "html", "host", "root", "texts").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.when(host == "", "?").otherwise(host).alias("host"), "html", F.shiftrightunsigned(F.xxhash64("html"), 3).alias("key"))
+    parsed = ws.store(rows.mapInArrow(_parse, _PARSED), "parsed")
+    found = ws.store(templates(ws, parsed), "templates")
+    common = found.groupBy("root").agg(F.max("depth").alias("depth"), F.sum("pages").alias("pages")).orderBy(F.desc("pages"), "root").limit(ROOTS)
+    elsewhere = [r.root for r in common.orderBy(F.desc("depth"), F.desc("pages"), "root").collect()]  # ROOTS rows
+    own = found.filter("host <> ''")
+    n, size = own.agg(F.count("*"), F.sum(F.coalesce(F.size("texts"), F.lit(0)) * 8 + F.coalesce(F.octet_length(F.array_join("records", "")), F.lit(0)) + F.octet_length("root"))).first()
+    nodes = parsed.filter("kind = 0").select("page_id", "url", "host", "steps", "once", "node", "block", "free", "text", "hash")
+    small = n <= BROADCAST_HOSTS and (size or 0) <= BROADCAST_BYTES
+    joined = nodes.join((F.broadcast(own) if small else own).drop("depth", "pages"), "host", "left")
+    return joined.mapInArrow(lambda it: _extract(it, elsewhere), "page_id long, url string, text string, n_chars long")

@@ -434,10 +434,24 @@ def test_extraction(spark):
     assert html_extract.extract(d.filter("false")).count() == 0
 
 
+def deduced(spark, pages):
+    """The template of each host, from pages (host, html)."""
+    ws = common.Workspace(spark)
+    rows = spark.createDataFrame([(i, "u", host, page, i + 1) for i, (host, page) in enumerate(pages)], "page_id long, url string, host string, html string, key long")
+    stored = ws.store(rows.mapInArrow(html_extract._parse, html_extract._PARSED), "parsed")
+    return {r.host: r for r in html_extract.templates(ws, stored).collect()}
+
+
+def text_mark(path, text):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{path}\0{text}") - 2**63
+
+
 def test_equal_vectors_make_classes(spark):
-    told = html_extract.templates(spark.createDataFrame([("h", PAGE.format(i=i)) for i in range(10)], "host string, html string")).filter("host = 'h'").first()
-    assert told.root == "html/body/article" and told.different > 7
-    assert html_extract._hash("html/body/footer", "© site") in told.texts
+    told = deduced(spark, [("h", PAGE.format(i=i)) for i in range(10)])["h"]
+    assert told.root == "html:1/body:1/article:1"
+    assert text_mark("html:1/body:1/article:1/ul/li", "one") in told.texts
 
 
 def test_long_template_text_goes(spark):
@@ -524,3 +538,92 @@ def test_components_of_chains_and_stars(spark):
 
 def test_entities_unescape_like_the_library():
     assert html_extract.blocks(html_extract.parse("<p>&lt;a&gt; &middot;</p>")[1]) == [html.unescape("&lt;a&gt; &middot;")]
+
+
+def site(rng, i, notice, layout="div"):
+    """A page without article or main element and with class names that say nothing; and its main text."""
+    title, paragraphs = prose(rng, 5), [prose(rng, rng.randint(8, 30)) for _ in range(rng.randint(1, 4))]
+    menu = "".join(f'<li><a href="/{k}">{prose(rng, 2)}</a>' for k in range(rng.randint(4, 9)))
+    body = f"<h2>{title}</h2><p>{notice}</p>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    talk = "".join(f'<div class="q9"><span class="q8">{prose(rng, 2)}</span><em>said</em><p>{prose(rng, 9)}</p></div>' for _ in range(rng.randint(0, 4)))
+    if layout == "div":
+        page = f'<html><body><div><ul>{menu}</ul></div><div class="k1"><div class="k2">{body}</div><div class="k7">{talk}</div></div><div class="k3">{prose(rng, 4)}</div><div>{notice * 9}</div></body></html>'
+    else:
+        page = f'<html><body><table><tr><td>{menu}</td><td>{body}</td></tr><tr><td>{prose(rng, 4)}</td><td>{notice * 9}</td></tr></table></body></html>'
+    return (i, f"http://{layout}.example/{i}", page), "\n".join([title, *paragraphs])
+
+
+NOTICE = "All rights are kept by the keeper of rights, who keeps them where rights are to be kept, for as long as anyone keeps count of them. "
+
+
+@pytest.mark.parametrize("layout", ["div", "table"])
+@pytest.mark.parametrize("n", [7, 8, 30])
+def test_deduction_needs_no_names(spark, layout, n):
+    rng = random.Random(n)
+    made = [site(rng, i, NOTICE, layout) for i in range(n)]
+    d = spark.createDataFrame([m[0] for m in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(d).collect()}
+    assert got == {m[0][0]: m[1] for m in made}
+
+
+def test_the_template_decides(spark, monkeypatch):
+    """With no texts and slots deduced, the long notice is taken for the article."""
+    rng = random.Random(2)
+    made = [site(rng, i, NOTICE) for i in range(12)]
+    d = spark.createDataFrame([m[0] for m in made], "page_id long, url string, html string")
+    empty = "host string, root string, depth int, pages long, texts array<long>, records array<string>"
+    monkeypatch.setattr(html_extract, "templates", lambda ws, parsed: spark.createDataFrame([], empty))
+    got = {r.page_id: r.text for r in html_extract.extract(d).collect()}
+    assert sum(got[m[0][0]] != m[1] for m in made) > 8
+
+
+def test_hosts_of_one_and_two_pages(spark):
+    rng = random.Random(5)
+    many = [site(rng, i, NOTICE) for i in range(20)]
+    alone = [site(rng, 100 + i, "Own notice. ") for i in range(3)]
+    rows = [m[0] for m in many] + [(100, "http://one.example/", alone[0][0][2]), (101, "http://two.example/a", alone[1][0][2]), (102, "http://two.example/b", alone[2][0][2])]
+    copy = "<html><body><div>a b</div><div>" + "<p>" + prose(rng, 40) + "</p><p>{}</p></div></body></html>"
+    rows += [(200, "http://copy.example/a", copy.format("one")), (201, "http://copy.example/b", copy.format("two"))]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[m[0][0]] == m[1] for m in many)
+    for i in range(3):  # nothing tells their notice from their text, but the slot is found
+        lines = alone[i][1].split("\n")
+        assert got[100 + i] == "\n".join([lines[0], "Own notice.", *lines[1:]])
+    assert got[200].endswith("\none") and len(got[200]) > 100  # what two copies share is not a template
+
+
+def test_occurrence_vectors_equal_brute_force(spark):
+    """Texts are template text as the vectors of a small host, counted one by one, say."""
+    rng = random.Random(9)
+    pages = [site(rng, i, NOTICE)[0] for i in range(9)]
+    parsed = [html_extract.Page(p[2]) for p in pages]
+    vector = {}
+    for k, page in enumerate(parsed):
+        for path, _, _, text in page.nodes:
+            vector.setdefault((path, text.strip()), [0] * len(pages))[k] += 1
+    once = {t for (p, t), v in vector.items() if t and v == [1] * len(pages)}
+    found = deduced(spark, [("h", p[2]) for p in pages])
+    known = {text_mark(p, t): t for p, t in vector if t}
+    assert {known[h] for h in found["h"].texts} == {t for t in once if t == NOTICE.strip()}
+    containers = {p for p in parsed[0].tags if html_extract._container(p) and all(q.tags.get(p) == 1 for q in parsed)}
+    free = {}
+    for page in parsed:
+        for path, _, link, text in page.nodes:
+            if text.strip() and not link and text.strip() not in once:
+                free[path] = free.get(path, 0) + len(text)
+    assert found["h"].root == html_extract.descend(free, containers)
+
+
+def test_long_and_deep_pages_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        began = time.perf_counter()
+        page = html_extract.Page("<div>" * n + "deep" + "</div>" * n + "<b>" * n + "<div>x</div></q>" * n)
+        took.append(time.perf_counter() - began)
+        assert page.nodes[0][3] == "deep" and max(len(p) for p in page.tags) < 2000
+    assert took[1] < 12 * took[0] + 1
+    rows = [(1, "http://a.example/", "<div>" * 100_000 + "deep text"), (2, "http://a.example/2", "<p>" + "word " * 400_000)]
+    got = {r.page_id: r.n_chars for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: 9, 2: 1_999_999}
