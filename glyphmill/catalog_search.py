@@ -15,10 +15,10 @@ HIT = ("page", "num", "start", "len", "match")
 HITS_SQL = f"with {LOCI_SQL}, {TOKENS_SQL} select page, num, cast(start as int) as start, cast(length(s) as int) as len, s as match from words where "
 
 
-def _hits(spark, sf_dir, text, reading=SPACE, loci=C.sql_loci):
-    lines = loci(spark, sf_dir)
+def _hits(spark, sf_dir, text, reading=SPACE):
+    lines = C.loci(spark, sf_dir)
     needs = {k for k, _ in parse(text).filters}
-    facts = C.page_facts(spark, sf_dir, "en") if needs & {"scribe", "section", "lang", "quire"} else None
+    facts = C.page_facts(spark, sf_dir) if needs & {"scribe", "section", "lang", "quire"} else None
     order = C.binding(lines) if "page" in needs else None
     sets = _sets(spark, sf_dir) if "set" in needs else None
     return S.search(lines, text, reading, facts, order, sets)
@@ -72,7 +72,7 @@ def search_anchor_last(spark, sf_dir):
     return _hits(spark, sf_dir, "*ing$").select(*HIT)
 
 
-@query(HITS_SQL + "regexp_full_match(s, '[tw](?:ch|sh|[a-z])(?:o|a|y)[a-z]*')")
+@query(HITS_SQL + "regexp_full_match(s, '[tw](?:ch|sh|[a-z])(?:o|a|y)[^.,]*')")
 def search_set_class(spark, sf_dir):
     return _hits(spark, sf_dir, "[tw]?<loop>*").select(*HIT)
 
@@ -84,18 +84,18 @@ def search_join_either(spark, sf_dir):
 
 @query(f"with {LOCI_SQL} select page, cast(sum(len(regexp_extract_all(line, 'th[ei]n+'))) as bigint) as n from loci group by page having sum(len(regexp_extract_all(line, 'th[ei]n+'))) > 0")
 def search_regex(spark, sf_dir):
-    return S.counts(C.sql_loci(spark, sf_dir), compile_query(parse("/th[ei]n+/")))
+    return S.counts(C.loci(spark, sf_dir), compile_query(parse("/th[ei]n+/")))
 
 
-@query(f"with {LOCI_SQL}, {TOKENS_SQL}, d as (select distinct unnest(string_split(line, '.')) as w from loci) select w, cast(levenshtein(replace(w, ',', ''), 'xwhz') as double) as cost from d where w <> '' and levenshtein(replace(w, ',', ''), 'xwhz') <= 2")
+@query(f"with {LOCI_SQL}, {TOKENS_SQL}, d as (select distinct unnest(string_split(line, '.')) as w from loci) select w, cast(levenshtein(regexp_replace(replace(w, ',', ''), '[^ -~]', '~', 'g'), 'xwhz') as double) as cost from d where w <> '' and levenshtein(regexp_replace(replace(w, ',', ''), '[^ -~]', '~', 'g'), 'xwhz') <= 2")
 def search_near_words(spark, sf_dir):
     """No letter of xwhz has a family, so plain edit distance is the same."""
-    return S.near_words(C.sql_loci(spark, sf_dir), "xwhz", 2)
+    return S.near_words(C.loci(spark, sf_dir), "xwhz", 2)
 
 
 @query()
 def search_near(spark, sf_dir):
-    return _hits(spark, sf_dir, "thar", Reading(sp="space", near=1), C.loci).select(*HIT)
+    return _hits(spark, sf_dir, "thar", Reading(sp="space", near=1)).select(*HIT)
 
 
 @query(HITS_SQL + "regexp_full_match(s, 'n[kt]')")
@@ -134,7 +134,7 @@ FACET_SQL = TOLD_SQL + " select facet, value, count(*) as hits from (select unne
 
 
 def _told(spark, sf_dir):
-    return S.with_facts(_hits(spark, sf_dir, "the"), C.page_facts(spark, sf_dir, "en"))
+    return S.with_facts(_hits(spark, sf_dir, "the"), C.page_facts(spark, sf_dir))
 
 
 @query(FACET_SQL)
@@ -146,13 +146,14 @@ def facet_counts(spark, sf_dir):
 select facet, c.value, hits, cast(row_number() over (partition by facet order by case facet when 'section' then pos when 'quire' then coalesce(try_cast(c.value as double), 99) else -hits end, c.value) as int) as row
 from c left join f on facet = 'section' and f.value = c.value""")
 def facet_rows(spark, sf_dir):
-    return S.ranked_facets(_told(spark, sf_dir), C.binding(C.sql_loci(spark, sf_dir)))
+    return S.ranked_facets(_told(spark, sf_dir), C.binding(C.loci(spark, sf_dir)))
 
 
 @query(f"{TOLD_SQL} select coalesce(section, 'all') as section, coalesce(lang, 'all') as lang, count(*) as hits from told group by grouping sets ((section, lang), (section), (lang), ())")
 def facet_grouping_sets(spark, sf_dir):
-    _told(spark, sf_dir).createOrReplaceTempView("glyphmill_told")
-    return spark.sql("select coalesce(section, 'all') as section, coalesce(lang, 'all') as lang, count(*) as hits from glyphmill_told group by grouping sets ((section, lang), (section), (lang), ())")
+    told = _told(spark, sf_dir)
+    sets = told.groupingSets([["section", "lang"], ["section"], ["lang"], []], "section", "lang")
+    return sets.agg(F.count("*").alias("hits")).select(F.coalesce("section", F.lit("all")).alias("section"), F.coalesce("lang", F.lit("all")).alias("lang"), "hits")
 
 
 @query(f"{TOLD_SQL} select count(*) as hits from told where section = 'good' and kind = 'P'")
@@ -170,7 +171,7 @@ WITNESS_SQL = f"with {LOCI_SQL}, {TOKENS_SQL}, w as (select case page % 3 when 0
 
 def _witnesses(spark, sf_dir):
     """Three documents in a row play three transcribers of one page."""
-    lines = C.sql_loci(spark, sf_dir).withColumn("witness", F.element_at(F.array(F.lit("ZL"), F.lit("GC"), F.lit("IT")), (F.col("page") % 3 + 1).cast("int")))
+    lines = C.loci(spark, sf_dir).withColumn("witness", F.element_at(F.array(F.lit("ZL"), F.lit("GC"), F.lit("IT")), (F.col("page") % 3 + 1).cast("int")))
     return lines.withColumn("page", F.col("page") - F.col("page") % 3)
 
 
@@ -188,7 +189,7 @@ def any_witness_merge(spark, sf_dir):
 @query(f"{TOLD_SQL}, o as (select page, row_number() over (order by page) as pos from (select distinct page from loci)), h as (select page, count(*) as n, count(*) filter (section = 'good') as m from told group by page) select page, cast(pos as int) as pos, coalesce(n, 0) as \"all\", coalesce(m, 0) as now from o left join h using (page)")
 def page_histogram(spark, sf_dir):
     told = _told(spark, sf_dir)
-    return S.histogram(told, C.binding(C.sql_loci(spark, sf_dir)), S.narrow_steps(told, [("section", "good")]))
+    return S.histogram(told, C.binding(C.loci(spark, sf_dir)), S.narrow_steps(told, [("section", "good")]))
 
 
 KWIC_SQL = f"""with {LOCI_SQL}, {TOKENS_SQL}, h as (select page, num, cast(start as int) as start, s, line, regexp_replace(substring(line, start + length(s) + 1), '^[.,]', '') as rt,
@@ -222,7 +223,7 @@ def kwic_book(spark, sf_dir):
 
 @query(f"with r as ({KWIC_SQL.format('')}), l as (select page, num from r where row = 150) select page, num, start, row from r where row <= 150 or (page, num) in (select page, num from l)")
 def paged_results(spark, sf_dir):
-    return S.first_rows(_kwic(spark, sf_dir, "book"))
+    return S.first_rows(_hits(spark, sf_dir, "oust*").select("page", "num", "start"))
 
 
 @query(f"with {LOCI_SQL}, {TOKENS_SQL}, h as (select page, num, start, s, line, substring(line, start + length(s) + 1) as a, substring(line, 1, start) as b from words join loci using (page, num) where s like 'oust%') select page, num, cast(start as int) as start, case when length(b) > 28 then '…' || right(b, 28) else b end as left_context, case when length(a) > 28 then left(a, 28) || '…' else a end as right_context from h")
@@ -247,13 +248,13 @@ def hit_loci(spark, sf_dir):
 
 @query(f"with {LOCI_SQL} select cast(sum(length(line) - length(replace(line, ',', ''))) as bigint) as uncertain, count(*) filter (line = '') as empty, count(*) as lines, count(*) filter (kind = 'L') as labels from loci")
 def loci_profile(spark, sf_dir):
-    lines = C.sql_loci(spark, sf_dir)
+    lines = C.loci(spark, sf_dir)
     return lines.agg(F.sum(F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))).cast("long").alias("uncertain"), F.count_if(F.col("line") == "").alias("empty"), F.count("*").alias("lines"), F.count_if(F.col("kind") == "L").alias("labels"))
 
 
 @query()
 def search_offsets_python(spark, sf_dir):
     """The Arrow batch way of finding offsets; equal to search_whole_word."""
-    return S.matches_python(C.sql_loci(spark, sf_dir), compile_query(parse("the"), SPACE, "python")).select(*HIT)
+    return S.matches_python(C.loci(spark, sf_dir), compile_query(parse("the"), SPACE, "python")).select(*HIT)
 
 

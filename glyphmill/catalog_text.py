@@ -45,7 +45,7 @@ def vote_gaps(spark, sf_dir):
     return V.vote_gaps(_votes(spark, sf_dir))
 
 
-@query(f"""with {VOTES_SQL}, e as (select locus, col, key, sum(weight) as v from votes where key is not null group by all), t as (select locus, col, arg_max(key, (v, key)) as top from e group by all),
+@query(f"""with {VOTES_SQL}, e as (select locus, col, key, sum(weight) as v, min(rank) as rank from votes where key is not null group by all), t as (select locus, col, arg_min(key, (-v, rank, key)) as top from e group by all),
 n as (select least(key, top) as a, greatest(key, top) as b, sum(v) as n from e join t using (locus, col) where key <> top group by all having sum(v) >= 10)
 select a, b, cast(n as double) as n, round(cast(0.15 + 0.45 * (1 - ln(n) / ln(max(n) over ())) as double), 3) as cost from n""")
 def confusion_costs(spark, sf_dir):
@@ -70,9 +70,9 @@ def _turns(spark, sf_dir):
 PAIRS_SQL = f"with {LOCI_SQL}, pairs as (select page || '.' || num as locus, line as a, lead(line) over (partition by page order by num) as b, page from loci), p as (select * from pairs where b is not null)"
 
 
-def _pairs(spark, sf_dir, loci=C.sql_loci):
+def _pairs(spark, sf_dir):
     """A line and the next of its page play two transcriptions."""
-    lines = loci(spark, sf_dir)
+    lines = C.loci(spark, sf_dir)
     return lines.select("page", F.col("locus_id").alias("locus"), F.col("line").alias("a"), F.lead("line").over(Window.partitionBy("page").orderBy("num")).alias("b")).filter("b is not null")
 
 
@@ -83,13 +83,13 @@ def line_agreement(spark, sf_dir):
 
 @query()
 def diff_kinds(spark, sf_dir):
-    return V.compare(_pairs(spark, sf_dir, C.loci)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("words"))
+    return V.compare(_pairs(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.sum("weight").alias("words"))
 
 
 @query()
 def top_substitutions(spark, sf_dir):
     """The fourteen commonest one-for-one changes: a report, so the limit is its feature."""
-    one = V.compare(_pairs(spark, sf_dir, C.loci)).filter("kind = 'glyphs' and x not like '% %' and y not like '% %'")
+    one = V.compare(_pairs(spark, sf_dir)).filter("kind = 'glyphs' and x not like '% %' and y not like '% %'")
     return one.groupBy("x", "y").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "x", "y").limit(14)
 
 
@@ -191,7 +191,7 @@ k as (select *, last(case when x is not null then x + w end ignore nulls) over b
 r as (select *, (lx - kx) / nullif(lg - kg, 0) as room from k)
 select page, li, wi, round(cast(coalesce(x, kx + (plc - kg) * room) as double), 6) as x, round(cast(coalesce(w, glyphs * room) as double), 6) as w, x is null and room is not null as est from r""")
 def box_interpolation(spark, sf_dir):
-    tok = C.words(C.sql_loci(spark, sf_dir))
+    tok = C.placed_words(C.loci(spark, sf_dir))
     known = F.col("wi") % 3 == 0
     words = tok.select("page", F.col("num").alias("li"), "wi", F.length("s").alias("glyphs"), F.when(known, F.col("start") * 10.0).alias("x"), F.when(known, F.length("s") * 9.0).alias("w"))
     return G.fill_boxes(words)

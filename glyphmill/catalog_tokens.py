@@ -17,12 +17,12 @@ idf as (select s, count(*) as tf, count(distinct page) as df, ln((select pages f
 
 
 def _tokens(spark, sf_dir):
-    return C.tokens(C.sql_loci(spark, sf_dir))
+    return C.tokens(C.loci(spark, sf_dir))
 
 
 @query(ON_SQL + ' select page, num, wi, s, cast(start as int) as start, first, last, "on" from tok')
 def token_index(spark, sf_dir):
-    return _tokens(spark, sf_dir).select("page", "num", "wi", "s", "start", "first", "last", "on")
+    return C.tokens(C.loci(spark, sf_dir), starts=True).select("page", "num", "wi", "s", "start", "first", "last", "on")
 
 
 FOUND_SQL = ON_SQL + ", f as (select s, count(*) as n from tok where {} group by s) select s, n, cast(row_number() over (order by s = '{}' desc, n desc, s) as int) as row from f"
@@ -30,22 +30,22 @@ FOUND_SQL = ON_SQL + ", f as (select s, count(*) as n from tok where {} group by
 
 @query(FOUND_SQL.format("s like 'the%'", "the"))
 def find_begins(spark, sf_dir):
-    return T.found_words(C.words(C.sql_loci(spark, sf_dir)), "begins", "the")
+    return T.found_words(C.words(C.loci(spark, sf_dir)), "begins", "the")
 
 
 @query(FOUND_SQL.format("s = 'the'", "the"))
 def find_whole(spark, sf_dir):
-    return T.found_words(C.words(C.sql_loci(spark, sf_dir)), "whole", "the")
+    return T.found_words(C.words(C.loci(spark, sf_dir)), "whole", "the")
 
 
 @query(FOUND_SQL.format("contains(s, 'ous')", "ous"))
 def find_contains(spark, sf_dir):
-    return T.found_words(C.words(C.sql_loci(spark, sf_dir)), "contains", "ous")
+    return T.found_words(C.words(C.loci(spark, sf_dir)), "contains", "ous")
 
 
 @query(FOUND_SQL.format("regexp_full_match(s, 'th(?:c[ktpf]h|[cs]h|[a-z])[a-z]*nt')", "th?*nt"))
 def find_wild(spark, sf_dir):
-    return T.found_words(C.words(C.sql_loci(spark, sf_dir)), "wild", "th?*nt")
+    return T.found_words(C.words(C.loci(spark, sf_dir)), "wild", "th?*nt")
 
 
 @query(ON_SQL + ', p as (select *, lead(s) over w as t, lead(s, 2) over w as u, lead("on") over w as o from tok window w as (partition by page order by num, wi)) select page, num, wi from p where s = \'of\' and t = \'the\' and "on" and o and u = \'and\'')
@@ -55,8 +55,8 @@ def phrase_over_lines(spark, sf_dir):
 
 @query(ON_SQL + ", p as (select t.*, line, lead(s) over (partition by t.page, t.num order by wi) as nx from tok t join loci l on t.page = l.page and t.num = l.num) select page, num, wi, s || nx as s from p where nx is not null and substring(line, start + length(s) + 1, 1) = ','")
 def joined_words(spark, sf_dir):
-    lines = C.sql_loci(spark, sf_dir)
-    return T.joined_words(C.words(lines), lines)
+    lines = C.loci(spark, sf_dir)
+    return T.joined_words(C.placed_words(lines, "line"))
 
 
 @query(ON_SQL + """, p as (select *, lag(s) over w as b1, lag(s, 2) over w as b2, lag("on") over w as o1, lag("on", 2) over w as o2, lead(s) over w as a1, lead(s, 2) over w as a2, lead("on") over w as p1 from tok window w as (partition by page order by num, wi)),
@@ -73,45 +73,45 @@ def places_sits(spark, sf_dir):
 
 @query(IDF_SQL + " select * from idf")
 def word_tf_df_idf(spark, sf_dir):
-    return T.weights(C.words(C.sql_loci(spark, sf_dir)))
+    return T.weights(C.words(C.loci(spark, sf_dir)))
 
 
 SET = ["tion", "that", "there", "inand", "oust"]
 SET_SQL = "(values " + ", ".join(f"('{w}')" for w in SET) + ")"
 
 
-@query(IDF_SQL + f""", m as (select page, w, max(case when s = w then 1.0 else 0.5 end) as share from (select distinct page, s from tok) t join {SET_SQL} v(w) on s = w or (abs(length(s) - length(w)) <= 1 and levenshtein(s, w) = 1) group by page, w),
+@query(IDF_SQL + f""", m as (select page, w, max(case when s = w then 1.0 else 0.5 end) as share from (select distinct page, s from tok) t join {SET_SQL} v(w) on s = w or (abs(length(s) - length(w)) <= 1 and levenshtein(regexp_replace(s, '[^ -~]', '~', 'g'), w) = 1) group by page, w),
 g as (select page, count(*) as n, sum(share * coalesce(idf, 0)) as score from m left join idf on idf.s = w group by page) select page, n, cast(score as double) as score, n / max(n) over () as weight from g""")
 def pages_with_set(spark, sf_dir):
-    tok = C.words(C.sql_loci(spark, sf_dir))
+    tok = C.words(C.loci(spark, sf_dir))
     return T.pages_with(tok, spark.createDataFrame([(w,) for w in SET], "w string"), T.weights(tok), near=True)
 
 
 @query(ON_SQL + ", z as (select page, count(*) as n from tok group by page), f as (select s, count(*) as tf from tok where s in ('tion', 'that', 'by') group by s), a as (select count(*) as m from tok) select cast(sum(p) as double) as expected from (select page, product(1 - pow(1 - tf / m, n)) as p from z, f, a group by page)")
 def expected_pages(spark, sf_dir):
-    return T.expected_pages(C.words(C.sql_loci(spark, sf_dir)), ["tion", "that", "by"])
+    return T.expected_pages(C.words(C.loci(spark, sf_dir)), ["tion", "that", "by"])
 
 
 @query(IDF_SQL + ", q as (select distinct s from tok where page = 6), m as (select page, count(*) as n, sum(idf) as score from (select distinct page, s from tok where page <> 6) join q using (s) join idf using (s) group by page) select page, n, score, n / max(n) over () as weight from m order by score desc, n desc, page limit 10")
 def similar_pages(spark, sf_dir):
-    return T.similar_pages(C.words(C.sql_loci(spark, sf_dir)), 6)
+    return T.similar_pages(C.words(C.loci(spark, sf_dir)), 6)
 
 
 @query(IDF_SQL + " select s, df from idf where s in (select s from tok where page in (6, 19) group by s having count(distinct page) = 2) order by df, s limit 8")
 def shared_page_words(spark, sf_dir):
-    return T.shared_words(C.words(C.sql_loci(spark, sf_dir)), 6, 19)
+    return T.shared_words(C.words(C.loci(spark, sf_dir)), 6, 19)
 
 
-@query(ON_SQL + f", v as (select distinct s from tok) select w, s from v join {SET_SQL} q(w) on abs(length(s) - length(w)) <= 1 and levenshtein(s, w) = 1")
+@query(ON_SQL + f", v as (select distinct s from tok) select w, s from v join {SET_SQL} q(w) on abs(length(s) - length(w)) <= 1 and levenshtein(regexp_replace(s, '[^ -~]', '~', 'g'), w) = 1")
 def similar_spellings(spark, sf_dir):
-    vocabulary = C.words(C.sql_loci(spark, sf_dir)).select("s").distinct()
+    vocabulary = C.words(C.loci(spark, sf_dir)).select("s").distinct()
     return T.near_spellings(spark.createDataFrame([(w,) for w in SET], "w string"), vocabulary)
 
 
 @query(ON_SQL + """, a as (select page, num, wi, lead(wi) over (partition by page, num, s order by wi) as b from tok), d as (select *, b - wi as stride, wi - row_number() over (partition by page, num, b - wi order by wi) as run from a where b is not null)
 select page, num, min(wi) as a, cast(min(wi) + stride as int) as b, count(*) as n from d group by page, num, stride, run""")
 def ring_repeats(spark, sf_dir):
-    return T.repeats(C.words(C.sql_loci(spark, sf_dir)))
+    return T.repeats(C.words(C.loci(spark, sf_dir)))
 
 
 @query(IDF_SQL + """, l as (select page as p, num as q from loci where line <> '' order by page, num limit 1), own as (select wi as x, s from tok join l on page = p and num = q),
@@ -120,7 +120,7 @@ r as (select *, wi - row_number() over (partition by page, num, diagonal order b
 g as (select page, num, min(x) as x, min(wi) as wi, count(*) as n, sum(idf) as weight, min(length(s)) as short from r group by page, num, diagonal, run having count(*) >= 3 or count(*) = 2 and sum(idf) >= 4 and min(length(s)) >= 3),
 b as (select *, row_number() over (partition by page, num order by n desc, weight desc, wi, x) as best from g) select page, num, x, wi, n, round(weight, 6) as weight from b where best = 1 order by n desc, round(weight, 6) desc, page, num limit 12""")
 def shared_runs(spark, sf_dir):
-    lines = C.sql_loci(spark, sf_dir)
+    lines = C.loci(spark, sf_dir)
     tok = C.tokens(lines)
     first = lines.filter("line <> ''").agg(F.min(F.struct("page", "num")).alias("l")).first()["l"]
     told = T.shared_runs(tok, (first["page"], first["num"]), T.weights(tok).withColumn("idf", F.col("idf")))
@@ -129,7 +129,7 @@ def shared_runs(spark, sf_dir):
 
 @query(ON_SQL + ", p as (select substring(s, i, 2) as pair, count(*) as n from (select s, unnest(range(1, length(s))) as i from tok where length(s) > 1) group by 1), c as (select *, sum(n) over (order by n desc, pair rows unbounded preceding) as upto, sum(n) over () as m from p) select pair, n, cast(upto / m as double) as share from c where upto - n < 0.995 * m")
 def glyph_pairs_cover(spark, sf_dir):
-    return T.glyph_pairs(C.words(C.sql_loci(spark, sf_dir)))
+    return T.glyph_pairs(C.words(C.loci(spark, sf_dir)))
 
 
 @query("select median from (select min(p_size) as median from (select p_size, sum(w) over (order by p_size range unbounded preceding) as upto, sum(w) over () as m from (select p_size, cast(floor(p_retailprice) as bigint) as w from part)) where 2 * upto >= m)")
@@ -156,9 +156,9 @@ def mode_first_seen(spark, sf_dir):
 @query(f"with {LOCI_SQL}, o as (select page, row_number() over (order by page) as pos from (select distinct page from loci)), r as (select page, pos, pos - row_number() over (order by pos) as run from o where page in (select doc_id from documents where n_chars > 1500)) select arg_min(page, pos) as low, arg_max(page, pos) as high, count(*) as n from r group by run")
 def page_ranges(spark, sf_dir):
     pages = C.documents(spark, sf_dir).filter("n_chars > 1500").select(F.col("doc_id").alias("page"))
-    return T.page_ranges(pages, C.binding(C.sql_loci(spark, sf_dir)))
+    return T.page_ranges(pages, C.binding(C.loci(spark, sf_dir)))
 
 
 @query(ON_SQL + " select kind, count(distinct (page, num)) as loci, count(*) as words from tok group by kind")
 def loci_by_kind(spark, sf_dir):
-    return C.words(C.sql_loci(spark, sf_dir)).groupBy("kind").agg(F.count_distinct("page", "num").alias("loci"), F.count("*").alias("words"))
+    return C.words(C.loci(spark, sf_dir)).groupBy("kind").agg(F.count_distinct("page", "num").alias("loci"), F.count("*").alias("words"))

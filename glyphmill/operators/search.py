@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.distances import near_cost
 from glyphmill.plans.language import KINDS, Query, Reading, compile_query, near_pattern, parse
+from glyphmill.sources.corpus import numbered_by
 
 
 def _marked(line: Column, pattern: str) -> Column:
     """(start, match) of the leftmost matches that don't overlap and aren't empty."""
-    cut = F.split(F.regexp_replace(line, f"({pattern})" if not pattern.startswith("(?") else f"({pattern})", "\x01$0\x02"), "[\x01\x02]", -1)
+    cut = F.split(F.regexp_replace(line, pattern, "\x01$0\x02"), "[\x01\x02]", -1)
     walk = F.aggregate(
         F.transform(cut, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("hits")),
@@ -222,13 +223,16 @@ def concordance(hits: DataFrame, by: str = "book", order: DataFrame | None = Non
     right, left = F.regexp_replace(after(hits), "^[.,]", ""), F.reverse(F.regexp_replace(before(hits), "[.,]$", ""))
     keys = {"book": [], "right": [right == "", right], "left": [left == "", left], "match": [F.col("match")]}[by]
     told = told.withColumn("right", right).withColumn("left", left)
-    return told.withColumn("row", F.row_number().over(Window.orderBy(*keys, "pos", *here)))
+    return numbered_by(told, "row", *keys, "pos", *here)
 
 
-def first_rows(ranked: DataFrame, size: int = 150) -> DataFrame:
-    """The first size rows and the rest of the line that the last of them is on."""
-    last = ranked.filter(F.col("row") == size).select(F.col("page").alias("p"), F.col("num").alias("n"))
-    return ranked.join(F.broadcast(last), (F.col("page") == F.col("p")) & (F.col("num") == F.col("n")), "left").filter((F.col("row") <= size) | F.col("p").isNotNull()).drop("p", "n")  # one row
+def first_rows(hits: DataFrame, size: int = 150) -> DataFrame:
+    """In book order the first size hits, numbered, and the rest of the line that the last of them is on. A top-k, no full sort."""
+    here = ["page", "num", "start"]
+    top = hits.orderBy(*here).limit(size)
+    last = top.orderBy(*(F.desc(c) for c in here)).limit(1).select(F.col("page").alias("p"), F.col("num").alias("n"), F.col("start").alias("s"))
+    rest = hits.join(F.broadcast(last), (F.col("page") == F.col("p")) & (F.col("num") == F.col("n")) & (F.col("start") > F.col("s")), "left_semi")  # one row
+    return top.unionByName(rest).withColumn("row", F.row_number().over(Window.orderBy(*here)))
 
 
 def clipped(text: Column, size: int, end: str) -> Column:

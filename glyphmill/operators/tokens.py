@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.plans.language import FAMILIES
+from glyphmill.sources.corpus import numbered_by
 
 
 def numbered(tokens: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def finder(mode: str, text: str) -> Column:
 def found_words(tokens: DataFrame, mode: str, text: str) -> DataFrame:
     """s, n, row: words found with their counts, the exact one first, then by count."""
     hit = tokens.filter(finder(mode, text)).groupBy("s").agg(F.count("*").alias("n"))
-    return hit.withColumn("row", F.row_number().over(Window.orderBy((F.col("s") == text).desc(), F.col("n").desc(), "s")))
+    return numbered_by(hit, "row", F.col("s") != text, -F.col("n"), "s")
 
 
 def phrase(tokens: DataFrame, *words: str) -> DataFrame:
@@ -43,12 +44,12 @@ def phrase(tokens: DataFrame, *words: str) -> DataFrame:
     return tokens.withColumn("_fit", reduce(lambda a, b: a & b, fit)).filter("_fit").drop("_fit")
 
 
-def joined_words(tokens: DataFrame, lines: DataFrame) -> DataFrame:
-    """page, num, wi, s: words on both sides of an uncertain space as one, at the first one's place."""
+def joined_words(words: DataFrame) -> DataFrame:
+    """page, num, wi, s: words on both sides of an uncertain space as one, at the first one's place; words has start and line."""
     w = Window.partitionBy("page", "num").orderBy("wi")
-    gap = tokens.join(lines.select("page", "num", "line"), ["page", "num"]).withColumn("next", F.lead("s").over(w))
-    comma = F.substring("line", F.col("start") + F.length("s") + 1, F.lit(1)) == ","
-    return gap.filter(comma & F.col("next").isNotNull()).select("page", "num", "wi", F.concat("s", "next").alias("s"))
+    told = words.withColumn("comma", F.substring("line", F.col("start") + F.length("s") + 1, F.lit(1)) == ",").drop("line")
+    told = told.withColumn("next", F.lead("s").over(w))
+    return told.filter(F.col("comma") & F.col("next").isNotNull()).select("page", "num", "wi", F.concat("s", "next").alias("s"))
 
 
 def context(tokens: DataFrame, hit: Column, reach: int) -> DataFrame:
@@ -69,7 +70,7 @@ def ordered_places(told: DataFrame, by: str) -> DataFrame:
     """context rows numbered by the word before or after; rows without one last."""
     near = F.element_at(F.split("before", " "), -1) if by == "before" else F.element_at(F.split("after", " "), 1)
     key = F.when(near == "", "~").otherwise(near)
-    return told.withColumn("row", F.row_number().over(Window.orderBy(key, "page", "num", "wi")))
+    return numbered_by(told, "row", key, "page", "num", "wi")
 
 
 def where_it_sits(tokens: DataFrame, hit: Column) -> DataFrame:
@@ -86,9 +87,10 @@ def where_it_sits(tokens: DataFrame, hit: Column) -> DataFrame:
 
 def weights(tokens: DataFrame) -> DataFrame:
     """s, tf, df, idf: occurrences, pages, and log of pages over df."""
+    held = tokens.groupBy("page", "s").agg(F.count("*").alias("n"))
     pages = tokens.select("page").distinct().agg(F.count("*").alias("pages"))
-    each = tokens.groupBy("s").agg(F.count("*").alias("tf"), F.count_distinct("page").alias("df"))
-    return each.crossJoin(F.broadcast(pages)).select("s", "tf", "df", F.log(F.col("pages") / F.greatest(F.col("df"), F.lit(1))).alias("idf"))  # one row
+    each = held.groupBy("s").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    return each.join(F.broadcast(pages)).select("s", "tf", "df", F.log(F.col("pages") / F.greatest(F.col("df"), F.lit(1))).alias("idf"))  # one row
 
 
 def pages_with(tokens: DataFrame, words: DataFrame, idf: DataFrame, near: bool = False) -> DataFrame:
@@ -205,7 +207,7 @@ def mode_first(rows: DataFrame, value: str, order: str) -> DataFrame:
 
 def page_ranges(pages: DataFrame, order: DataFrame) -> DataFrame:
     """The shortest ranges of places in order that cover pages: low, high, n."""
-    at = order.join(pages.select("page").distinct(), "page", "left_semi").withColumn("run", F.col("pos") - F.row_number().over(Window.orderBy("pos")))
+    at = numbered_by(order.join(pages.select("page").distinct(), "page", "left_semi"), "nth", "pos").withColumn("run", F.col("pos") - F.col("nth"))
     return at.groupBy("run").agg(F.min_by("page", "pos").alias("low"), F.max_by("page", "pos").alias("high"), F.count("*").alias("n")).drop("run")
 
 

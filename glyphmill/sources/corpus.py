@@ -1,27 +1,34 @@
 """The line model over the driver's documents: loci, tokens, page facts, witnesses.
 
-A page is a document, a locus one of its lines. A line is letters with ``.`` for a space and ``,`` for a comma, which
-plays the uncertain space. All of it is DataFrame functions, so filters and columns reach the Parquet scan.
+A page is a document, a locus one of its lines. A line is letters of any script with ``.`` for a space and ``,`` for a
+comma, which plays the uncertain space. Lines are normalised once for a session and stored as a table partitioned by
+ranges of pages (`loci`); readers of some pages touch their ranges only (`lines_of`), and a manifest (`pages_with_data`)
+says which pages have lines at all.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: What counts as a letter, and what the oracles count as one.
-LETTERS, SQL_LETTERS = r"\p{L}\p{M}", "a-z"
-#: How DuckDB says the same for English documents and SQL_LETTERS, for oracles.
+#: What counts as a letter.
+LETTERS = r"\pL\pM"
+#: The table of lines has about so many rows a range of pages, and at most so many ranges.
+RANGE_ROWS, RANGES = 1_000_000, 2000
+#: The same lines and page facts in DuckDB, for oracles.
 LOCI_SQL = r"""
 loci as (
   select page, num, line, kind, num = 0 as ps, cast(page as varchar) || '.' || cast(num as varchar) as locus_id from (
     select doc_id as page, cast(ln - 1 as int) as num, case when contains(t, '|') then 'L' else 'P' end as kind,
-           trim(regexp_replace(replace(replace(regexp_replace(lower(t), '[^a-z, ]', '', 'g'), ', ', ','), ' ', '.'), '[.,]*([.,])', '\1', 'g'), '.,') as line
-    from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as ln from documents where lang = 'en'))),
+           trim(regexp_replace(replace(replace(regexp_replace(lower(t), '[^\pL\pM, ]', '', 'g'), ', ', ','), ' ', '.'), '[.,]*([.,])', '\1', 'g'), '.,') as line
+    from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as ln from documents))),
 facts as (
   select doc_id as page, coalesce(source, '–') as scribe, case when quality = 1 then 'good' when quality = 0 then 'poor' else '–' end as section,
          case when toxic = 1 then 'B' when toxic = 0 then 'A' else '–' end as lang, cast(n_chars // 1000 as varchar) as quire
-  from documents left join labels using (doc_id) where documents.lang = 'en')"""
+  from documents left join labels using (doc_id))"""
 TOKENS_SQL = r"""
 words as (select page, num, kind, ps, cast(wi - 1 as int) as wi, s, cast(sum(length(s) + 1) over (partition by page, num order by wi) - length(s) - 1 as bigint) as start, count(*) over (partition by page, num) as n
   from (select page, num, kind, ps, unnest(regexp_split_to_array(line, '[.,]')) as s, generate_subscripts(regexp_split_to_array(line, '[.,]'), 1) as wi from loci where line <> ''))"""
@@ -31,64 +38,149 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def normalise(raw, letters: str = LETTERS):
+def normalise(raw):
     """A raw line in the line encoding: of a run of separators the last counts, none stand at the ends."""
-    bare = F.regexp_replace(F.lower(raw), f"[^{letters}, ]", "")
+    bare = F.regexp_replace(F.lower(raw), f"[^{LETTERS}, ]", "")
     return F.btrim(F.regexp_replace(F.replace(F.replace(bare, F.lit(", "), F.lit(",")), F.lit(" "), F.lit(".")), "[.,]*([.,])", "$1"), F.lit(".,"))
 
 
-def _of(docs: DataFrame, lang: str | None) -> DataFrame:
-    return docs if lang is None else docs.filter(F.col("lang") == lang)
+def split_lines(docs: DataFrame) -> DataFrame:
+    """page, num, line, kind, ps, locus_id: a row for each line of docs(doc_id, text)."""
+    raw = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("num", "raw"))
+    kind = F.when(F.contains("raw", F.lit("|")), "L").otherwise("P")
+    return raw.select("page", "num", normalise(F.col("raw")).alias("line"), kind.alias("kind"), (F.col("num") == 0).alias("ps"), F.concat_ws(".", "page", "num").alias("locus_id"))
+
 
+def _mark(spark: SparkSession, path: str) -> str:
+    """What names the state of a table: its path, and its files' names, sizes and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(where))
+    return hashlib.md5("\n".join([path, *files]).encode()).hexdigest()
 
-def loci(spark: SparkSession, sf_dir: str, lang: str | None = None, letters: str = LETTERS) -> DataFrame:
-    """page, num, line, kind, ps, locus_id: a row for each line of the documents, or of those in lang."""
-    raw = _of(documents(spark, sf_dir), lang).select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("num", "raw"))
-    kind = F.when(F.contains("raw", F.lit("|")), "L").otherwise("P")
-    return raw.select("page", "num", normalise(F.col("raw"), letters).alias("line"), kind.alias("kind"), (F.col("num") == 0).alias("ps"), F.concat_ws(".", "page", "num").alias("locus_id"))
+
+def loci(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """page, num, line, kind, ps, locus_id: a row for each line of the documents, or of those in lang.
+
+    Read from the stored table of lines, which the first use in a session writes to spark.checkpoint.dir; where that is
+    not set, lines are made anew. Files that changed since make a table of their own.
+    """
+    if lang is not None:
+        return split_lines(documents(spark, sf_dir).filter(F.col("lang") == lang))
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return split_lines(documents(spark, sf_dir))
+    held = spark.sparkContext.__dict__.setdefault("_glyphmill_lines", {})
+    mark = _mark(spark, f"{sf_dir}/documents.parquet")
+    if mark not in held:
+        held[mark] = f"{root.rstrip('/')}/lines-{uuid.uuid4().hex}"
+        store_lines(documents(spark, sf_dir), held[mark])
+    return read_lines(spark, held[mark])
+
+
+_LINES = "page bigint, num int, line string, kind string, ps boolean, locus_id string"
+
+
+def store_lines(docs: DataFrame, path: str) -> None:
+    """Writes the lines of docs as a table partitioned by range, a number that grows with the page."""
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    ranges = max(1, min(RANGES, -(-n // RANGE_ROWS)))
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
+    lines = split_lines(docs).withColumn("range", F.coalesce(F.floor((F.col("page") - F.lit(low or 0)) / width), F.lit(-1)).cast("int"))
+    lines.write.partitionBy("range").option("compression", "zstd").parquet(path)
+    # the manifest: pages with lines, and where they are
+    lines.groupBy("page", "range").agg(F.count("*").alias("lines"), F.count_if(F.col("line") != "").alias("written")).write.parquet(f"{path}-pages")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_LINES}, range int").parquet(path).drop("range")
 
 
-def sql_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loci of LOCI_SQL: English documents, SQL_LETTERS."""
-    return loci(spark, sf_dir, "en", SQL_LETTERS)
+def pages_with_data(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest beside a stored table of lines: page, range, lines, and written, how many of them aren't empty."""
+    return spark.read.schema("page bigint, range int, lines bigint, written bigint").parquet(f"{path}-pages")
+
+
+def lines_of(spark: SparkSession, path: str, pages: list[int]) -> DataFrame:
+    """The stored lines of some pages; only the ranges that hold them are read, and in those the rows Parquet can't rule out."""
+    known = pages_with_data(spark, path).filter(F.col("page").isin(pages)).select("range").distinct()
+    ranges = [r["range"] for r in known.collect()]  # RANGES numbers at most
+    return spark.read.schema(f"{_LINES}, range int").parquet(path).filter(F.col("range").isin(ranges) & F.col("page").isin(pages)).drop("range")
 
 
 def page_facts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """page, scribe, section, lang, quire: what is known of a page, – where nothing is."""
+    """page, scribe, section, lang, quire: what is known of a page, – where nothing is; of all pages, or of those in lang."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = _of(documents(spark, sf_dir), lang).select("doc_id", "source", "n_chars")
-    known = docs.join(labels, "doc_id", "left")
+    docs = documents(spark, sf_dir)
+    docs = docs if lang is None else docs.filter(F.col("lang") == lang)
+    known = docs.select("doc_id", "source", "n_chars").join(labels, "doc_id", "left")
     section = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").otherwise("–")
     lang = F.when(F.col("toxic") == 1, "B").when(F.col("toxic") == 0, "A").otherwise("–")
     return known.select(F.col("doc_id").alias("page"), F.coalesce("source", F.lit("–")).alias("scribe"), section.alias("section"), lang.alias("lang"), F.expr("n_chars div 1000").cast("string").alias("quire"))
 
 
-def words(lines: DataFrame) -> DataFrame:
-    """page, num, kind, ps, wi, s, start, n: the words of loci, with ordinal, place in the line, and how many the line has.
-
-    The running place is worked out inside each line's array, without a shuffle.
-    """
+def words(lines: DataFrame, *keep: str) -> DataFrame:
+    """page, num, kind, ps, wi, s, n (and columns to keep): the words of loci, with ordinal and how many the line has."""
     pieces = F.split("line", "[.,]")
-    ends = F.transform(pieces, lambda x, i: F.struct(i.alias("wi"), x.alias("s")))
-    at = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
-    zipped = F.arrays_zip(ends.alias("w"), at.alias("start"))
-    return lines.filter("line <> ''").select("page", "num", "kind", "ps", F.size(pieces).alias("n"), F.explode(zipped).alias("z")).select("page", "num", "kind", "ps", F.col("z.w.wi").alias("wi"), F.col("z.w.s").alias("s"), F.col("z.start").alias("start"), "n")
+    return lines.filter("line <> ''").select("page", "num", "kind", "ps", *keep, F.size(pieces).alias("n"), F.posexplode(pieces).alias("wi", "s"))
+
+
+def placed_words(lines: DataFrame, *keep: str) -> DataFrame:
+    """words plus start, the place in the line. Places are running sums over a whole Arrow batch, linear in its words."""
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        for batch in batches:
+            cut = pc.split_pattern_regex(batch.column("line"), "[.,]")
+            row, s = pc.list_parent_indices(cut).to_numpy().astype(np.int64), pc.list_flatten(cut)
+            size = np.concatenate([[0], np.cumsum(pc.utf8_length(s).to_numpy(zero_copy_only=False) + 1)])
+            n = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.cumsum(n)])[:-1].astype(np.int64)
+            told = (batch if "line" in keep else batch.drop_columns(["line"])).take(pa.array(row))
+            more = {"n": n[row], "wi": np.arange(len(row)) - first[row], "start": size[:-1] - size[first][row]}
+            yield pa.RecordBatch.from_arrays([*told.columns, s, *(pa.array(v, pa.int32()) for v in more.values())], [*told.schema.names, "s", *more])
 
-def tokens(lines: DataFrame) -> DataFrame:
-    """words plus first, last, and on: whether the next word of the text follows without a break.
+    some = lines.filter("line <> ''").select("page", "num", "kind", "ps", *(c for c in keep if c != "line"), "line")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema if f.name != "line" or "line" in keep)
+    return some.mapInArrow(scan, schema + ", s string, n int, wi int, start int")
 
-    It does within a line, and from a paragraph line to the next if that one is a paragraph line that starts none.
+
+def tokens(lines: DataFrame, starts: bool = False) -> DataFrame:
+    """words plus first, last, and on: whether the next word of the text follows without a break; with starts, start too.
+
+    It does within a line, and from a paragraph line to the next if that one is a paragraph line that starts none. That
+    is worked out on lines, before they are cut into words.
     """
-    told = words(lines)
-    heads = lines.filter("line <> ''").select("page", "num", "kind", "ps")
     w = Window.partitionBy("page").orderBy("num")
-    heads = heads.withColumn("runs_on", F.coalesce((F.col("kind") == "P") & (F.lead("kind").over(w) == "P") & ~F.lead("ps").over(w), F.lit(False)))
-    told = told.join(heads.select("page", "num", "runs_on"), ["page", "num"])
+    runs_on = (F.col("kind") == "P") & (F.lead("kind").over(w) == "P") & ~F.lead("ps").over(w)
+    heads = lines.filter("line <> ''").withColumn("runs_on", F.coalesce(runs_on, F.lit(False)))
+    told = (placed_words if starts else words)(heads, "runs_on")
     last = F.col("wi") == F.col("n") - 1
-    return told.select("page", "num", "kind", "ps", "wi", "s", "start", (F.col("wi") == 0).alias("first"), last.alias("last"), (~last | F.col("runs_on")).alias("on"))
+    return told.select("page", "num", "kind", "ps", "wi", "s", *(["start"] if starts else []), (F.col("wi") == 0).alias("first"), last.alias("last"), (~last | F.col("runs_on")).alias("on"))
+
+
+def numbered_by(rows: DataFrame, name: str, *order, parts: int | None = None) -> DataFrame:
+    """rows with name, their number from 1 in the order of the columns and expressions given.
+
+    Rows are dealt to ranges of the order, numbered inside each, and shifted by how many stand in the ranges before; so
+    no task holds more than its range, where the ranges' bounds are one row each.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    keyed = rows.select("*", *(c.alias(f"_order{k}") for k, c in enumerate(order)))
+    keys = [F.col(f"_order{k}").asc_nulls_first() for k in range(len(order))]
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
+    here = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_many"))
+    shift = F.coalesce(F.sum("_many").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(F.col("_part").alias("_of"), shift.alias("_shift"))
+    joined = dealt.withColumn("_here", here).join(F.broadcast(shifts), F.col("_part") == F.col("_of"))  # a row for each range
+    return joined.select(*rows.columns, (F.col("_here") + F.col("_shift")).cast("int").alias(name))
 
 
 def binding(lines: DataFrame) -> DataFrame:
     """page and pos, its place in the book."""
-    return lines.select("page").distinct().withColumn("pos", F.row_number().over(Window.orderBy("page")))
+    return numbered_by(lines.select("page").distinct(), "pos", "page")

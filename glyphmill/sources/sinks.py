@@ -8,11 +8,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.sources.corpus import numbered_by
+
 
 def locus_list(ranked: DataFrame) -> DataFrame:
     """Every locus with a hit once, numbered in the order of its first hit."""
     first = ranked.groupBy("page", "num").agg(F.min("row").alias("at"))
-    return first.select(F.concat_ws(".", "page", "num").alias("locus_id"), F.row_number().over(Window.orderBy("at")).alias("row"))
+    return numbered_by(first, "row", "at").select(F.concat_ws(".", "page", "num").alias("locus_id"), "row")
 
 
 def quoted(value: Column, always: bool = False) -> Column:
@@ -34,8 +36,8 @@ def write_csv(rows: DataFrame, columns: list[str], path: str, always: bool = Fal
 
 def transcription(lines: DataFrame) -> DataFrame:
     """row and value of a transcription file for lines(page, num, line, kind, ps, pe, loc): a page header where the page changes."""
-    w = Window.orderBy("page", "num")
-    told = lines.select("*", (F.lag("page").over(w).isNull() | (F.lag("page").over(w) != F.col("page"))).alias("new"), F.row_number().over(w).alias("n"))
+    new = F.row_number().over(Window.partitionBy("page").orderBy("num")) == 1
+    told = numbered_by(lines, "n", "page", "num").withColumn("new", new)
     head = F.concat(F.lit("<f"), F.col("page").cast("string"), F.lit(">"))
     name = F.concat(F.lit("<f"), F.col("page").cast("string"), F.lit("."), F.col("num").cast("string"), F.lit(","), F.col("loc"), F.col("kind"), F.lit("0>"))
     padded = F.when(F.length(name) < 19, F.rpad(name, 19, " ")).otherwise(name)

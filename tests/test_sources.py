@@ -1,5 +1,7 @@
 """Readers and writers of transcription files and tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,4 +103,35 @@ def test_lines_of_every_language(spark, tmp_path):
     assert got == {(1, 0): ("the.end,é", "P"), (1, 1): ("bc", "L"), (2, 0): ("größe,años", "P"), (3, 0): ("и.так", "P")}
     assert {r.page for r in corpus.page_facts(spark, str(tmp_path)).collect()} == {1, 2, 3}
     assert [r.page for r in corpus.loci(spark, str(tmp_path), "de").collect()] == [2] == [r.page for r in corpus.page_facts(spark, str(tmp_path), "de").collect()]
-    assert {(r.num, r.line) for r in corpus.sql_loci(spark, str(tmp_path)).collect()} == {(0, "the.end"), (1, "bc")}
+
+
+def test_stored_lines_prune_and_follow_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "RANGE_ROWS", 10)
+    d = spark.createDataFrame([(i, f"line {chr(97 + i % 26)}\n\nend" if i % 7 else None) for i in range(100)], "doc_id long, text string")
+    path = str(tmp_path / "lines")
+    corpus.store_lines(d, path)
+    known = {r.page: r for r in corpus.pages_with_data(spark, path).collect()}
+    assert set(known) == {i for i in range(100) if i % 7} and known[1].lines == 3 and known[1].written == 2
+    assert len({r.range for r in known.values()}) == 10
+    some = corpus.lines_of(spark, path, [3, 4, 98])
+    assert {(r.page, r.num, r.line) for r in some.collect()} == {(p, n, t) for p in (3, 4) for n, t in ((0, f"line.{chr(97 + p)}"), (1, ""), (2, "end"))}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*range#", plan) and re.search(r"PushedFilters: \[[^\]]*In\(page", plan)
+    assert "range" not in some.columns and corpus.read_lines(spark, path).count() == sum(r.lines for r in known.values())
+    table = str(tmp_path / "documents.parquet")
+    for n in (3, 5):  # a table that changed is read anew
+        d.limit(n).coalesce(1).write.mode("overwrite").parquet(table)
+        assert corpus.loci(spark, str(tmp_path)).select("page").distinct().count() == n - 1
+
+
+def test_numbers_over_ranges_equal_one_order(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, i % 5) for i in range(300)], "a int, b int").withColumn("u", F.monotonically_increasing_id())
+    got = corpus.numbered_by(rows, "row", "b", "a", "u", parts=7).collect()
+    assert [r.row for r in sorted(got, key=lambda r: (r.b, r.a, r.u))] == list(range(1, 301))
+    assert corpus.numbered_by(rows.filter("false"), "row", "a").count() == 0
+
+
+def test_places_of_words(spark):
+    lines = spark.createDataFrame([(1, 0, "ab.c,größe.x", "P", True), (1, 1, "", "P", False), (2, 0, "и" * 3, "L", True)], "page long, num int, line string, kind string, ps boolean")
+    got = {(r.page, r.wi): (r.s, r.start, r.n) for r in corpus.placed_words(lines).collect()}
+    assert got == {(1, 0): ("ab", 0, 4), (1, 1): ("c", 3, 4), (1, 2): ("größe", 5, 4), (1, 3): ("x", 11, 4), (2, 0): ("иии", 0, 1)}
