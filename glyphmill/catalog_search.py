@@ -87,14 +87,29 @@ def search_regex(spark, sf_dir):
     return S.counts(C.loci(spark, sf_dir), compile_query(parse("/th[ei]n+/")))
 
 
+@query(f"""with {LOCI_SQL}, h as (select page, num, line, unnest(range(length(line))) as start from loci where regexp_matches(line, 'oo|ee|tt|ss'))
+select page, num, cast(start as int) as start, 2 as len, substr(line, cast(start as int) + 1, 2) as match from h where substr(line, cast(start as int) + 1, 2) in ('oo', 'ee', 'tt', 'ss') and substr(line, cast(start as int), 1) <> substr(line, cast(start as int) + 1, 1)
+union all select page, num, cast(start as int), 2, substr(line, cast(start as int) + 1, 2) from h where substr(line, cast(start as int) + 1, 2) in ('oo', 'ee', 'tt', 'ss') and start > 0 and substr(line, cast(start as int), 1) = substr(line, cast(start as int) + 1, 1)
+  and (length(regexp_extract(substr(line, 1, cast(start as int)), '(o*|e*|t*|s*)$')) % 2 = 0)""")
+def search_regex_hits(spark, sf_dir):
+    """A group and a numbered reference back to it, with offsets: doubled letters, which don't overlap."""
+    return _hits(spark, sf_dir, r"/([oets])\1/").select(*HIT)
+
+
 @query(f"with {LOCI_SQL}, {TOKENS_SQL}, d as (select distinct unnest(string_split(line, '.')) as w from loci) select w, cast(levenshtein(regexp_replace(replace(w, ',', ''), '[^ -~]', '~', 'g'), 'xwhz') as double) as cost from d where w <> '' and levenshtein(regexp_replace(replace(w, ',', ''), '[^ -~]', '~', 'g'), 'xwhz') <= 2")
 def search_near_words(spark, sf_dir):
     """No letter of xwhz has a family, so plain edit distance is the same."""
     return S.near_words(C.loci(spark, sf_dir), "xwhz", 2)
 
 
-@query()
+@query(f"""with {LOCI_SQL}, {TOKENS_SQL}, v as (select distinct unnest(string_split(line, '.')) as w from loci),
+near as (select w from v where length(w) = 4 and not contains(w, ',') and (w = 'thar' or substr(w, 2) = 'har' or substr(w, 1, 1) || substr(w, 3) = 'tar' or substr(w, 1, 2) || substr(w, 4) = 'thr' or substr(w, 1, 3) = 'tha'
+   or (substr(w, 1, 1) in ('t') and substr(w, 2, 1) = 'h' and substr(w, 3, 1) in ('o', 'a', 'y') and substr(w, 4, 1) in ('r', 's')))
+   or length(w) = 5 and not contains(w, ',') and 'thar' in (substr(w, 2), substr(w, 1, 1) || substr(w, 3), substr(w, 1, 2) || substr(w, 4), substr(w, 1, 3) || substr(w, 5), substr(w, 1, 4))
+   or length(w) = 3 and not contains(w, ',') and w in ('har', 'tar', 'thr', 'tha'))
+select page, num, cast(start as int) as start, cast(length(s) as int) as len, s as match from words where s in (select w from near)""")
 def search_near(spark, sf_dir):
+    """thar has letters with families: o, a, y and r, s, so an edit inside one costs half, and two of them make one."""
     return _hits(spark, sf_dir, "thar", Reading(sp="space", near=1)).select(*HIT)
 
 
@@ -252,9 +267,7 @@ def loci_profile(spark, sf_dir):
     return lines.agg(F.sum(F.length("line") - F.length(F.replace("line", F.lit(","), F.lit("")))).cast("long").alias("uncertain"), F.count_if(F.col("line") == "").alias("empty"), F.count("*").alias("lines"), F.count_if(F.col("kind") == "L").alias("labels"))
 
 
-@query()
+@query(HITS_SQL + "s = 'the'")
 def search_offsets_python(spark, sf_dir):
     """The Arrow batch way of finding offsets; equal to search_whole_word."""
     return S.matches_python(C.loci(spark, sf_dir), compile_query(parse("the"), SPACE, "python")).select(*HIT)
-
-

@@ -66,9 +66,11 @@ def places_context(spark, sf_dir):
     return T.ordered_places(T.context(_tokens(spark, sf_dir), F.col("s").startswith("oust"), 2), "after")
 
 
-@query(ON_SQL + " select count(*) as places, count(*) filter (kind = 'P' and first) as first, count(*) filter (kind = 'P' and last) as last, count(*) filter (kind = 'P' and not first and not last) as inside, count(*) filter (kind <> 'P') as elsewhere from tok where s = 'and'")
+@query(ON_SQL + """ select count(*) as places, count(*) filter (kind = 'P' and first) as first, count(*) filter (kind = 'P' and last) as last, count(*) filter (kind = 'P' and not first and not last) as inside, count(*) filter (kind <> 'P') as elsewhere,
+ count(*) filter (kind = 'P') as kind_p, count(*) filter (kind = 'L') as kind_l, count(*) filter (kind = 'C') as kind_c, count(*) filter (kind = 'R') as kind_r,
+ count(*) filter (facts.lang = 'A') as lang_a, count(*) filter (facts.lang = 'B') as lang_b, count(*) filter (section = 'good') as section_good, count(*) filter (section = 'poor') as section_poor from tok left join facts using (page) where s = 'and'""")
 def places_sits(spark, sf_dir):
-    return T.where_it_sits(_tokens(spark, sf_dir), F.col("s") == "and")
+    return T.where_it_sits(_tokens(spark, sf_dir), F.col("s") == "and", C.page_facts(spark, sf_dir))
 
 
 @query(IDF_SQL + " select * from idf")
@@ -115,16 +117,17 @@ def ring_repeats(spark, sf_dir):
 
 
 @query(IDF_SQL + """, l as (select page as p, num as q from loci where line <> '' order by page, num limit 1), own as (select wi as x, s from tok join l on page = p and num = q),
-m as (select page, num, tok.wi, x, s, idf, tok.wi - x as diagonal from tok join own using (s) join idf using (s), l where not (page = p and num = q)),
-r as (select *, wi - row_number() over (partition by page, num, diagonal order by wi) as run from m),
-g as (select page, num, min(x) as x, min(wi) as wi, count(*) as n, sum(idf) as weight, min(length(s)) as short from r group by page, num, diagonal, run having count(*) >= 3 or count(*) = 2 and sum(idf) >= 4 and min(length(s)) >= 3),
-b as (select *, row_number() over (partition by page, num order by n desc, weight desc, wi, x) as best from g) select page, num, x, wi, n, round(weight, 6) as weight from b where best = 1 order by n desc, round(weight, 6) desc, page, num limit 12""")
+t as (select page, num, wi, s, row_number() over (partition by page order by num, wi) as i, coalesce(sum(case when "on" then 0 else 1 end) over (partition by page order by num, wi rows between unbounded preceding and 1 preceding), 0) as broken from tok),
+m as (select t.*, x, idf, i - x as stride from t join own using (s) join idf using (s)),
+r as (select *, i - row_number() over (partition by page, broken, stride order by i) as stretch from m),
+g as (select page, num, x, wi, row_number() over (partition by page, broken, stride, stretch, num order by i) as nth, count(*) over f as n, round(sum(idf) over f, 6) as weight, min(length(s)) over f as short from r window f as (partition by page, broken, stride, stretch order by i rows between current row and unbounded following)),
+b as (select g.*, row_number() over (partition by page, num order by n desc, weight desc, x, wi) as best from g, l where nth = 1 and not (page = p and num = q) and (n >= 3 or n = 2 and weight >= 4 and short >= 3))
+select page, num, x, wi, n, weight from b where best = 1 order by n desc, weight desc, page, num limit 12""")
 def shared_runs(spark, sf_dir):
     lines = C.loci(spark, sf_dir)
     tok = C.tokens(lines)
     first = lines.filter("line <> ''").agg(F.min(F.struct("page", "num")).alias("l")).first()["l"]
-    told = T.shared_runs(tok, (first["page"], first["num"]), T.weights(tok).withColumn("idf", F.col("idf")))
-    return told.withColumn("weight", F.round("weight", 6))
+    return T.shared_runs(tok, (first["page"], first["num"]), T.weights(tok))
 
 
 @query(ON_SQL + ", p as (select substring(s, i, 2) as pair, count(*) as n from (select s, unnest(range(1, length(s))) as i from tok where length(s) > 1) group by 1), c as (select *, sum(n) over (order by n desc, pair rows unbounded preceding) as upto, sum(n) over () as m from p) select pair, n, cast(upto / m as double) as share from c where upto - n < 0.995 * m")

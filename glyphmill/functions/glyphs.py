@@ -84,34 +84,36 @@ def glyph_map(shown: list[str], own: list[str]) -> list[float]:
 
 
 def alphabet(used: set[str], rules: dict[str, str], letters: dict[str, str], basic: dict[str, str], like: dict[str, str] | None = None) -> dict:
-    """How an alphabet writes the codes used: codes, multi (rules over two codes) and approx (written by the nearest basic form).
+    """How an alphabet writes the codes used: codes, multi (rules over two codes), approx (written by the nearest basic form) and search.
 
-    letters maps codes to full letters, basic to basic ones; like names the letter that one is drawn like.
+    letters maps codes to full letters, basic to basic ones; like names the letter that one is drawn like. search maps
+    what the alphabet writes back to letters, so that a query can be typed in it.
     """
-    back: dict[str, str] = {}
-    for code, text in letters.items():
-        if code in rules and re.fullmatch("[a-z]+", text):
-            back.setdefault(text, rules[code])
-    units = sorted(back, key=len, reverse=True)
-
-    def spelled(form: str) -> str | None:
-        out = ""
-        while form:
-            unit = next((u for u in units if form.startswith(u)), None)
-            if unit is None:
-                return None
-            out, form = out + back[unit], form[len(unit) :]
-        return out or None
-
-    codes, approx = {}, []
-    for code in sorted(used):
-        if code not in rules:
-            approx.append(code)
-            form = basic.get(code, "?")
-            codes[code] = spelled(form) or spelled("".join((like or {}).get(c, c) for c in form)) or rules.get("Z1", "?")
-        else:
-            codes[code] = rules[code]
-    return {"codes": codes, "multi": {k: v for k, v in rules.items() if len(k) > 2 and set(re.findall(CODE, k)) <= used}, "approx": approx}
+    plain = [(letters[c], rules[c]) for c in letters if c in rules and letters[c].isascii() and letters[c].isalpha() and letters[c].islower()]
+    written = dict(reversed(plain))  # the first code of a letter counts
+    units = re.compile("|".join(sorted(map(re.escape, written), key=len, reverse=True)) or "(?!)")
+    drawn = str.maketrans({k: v for k, v in (like or {}).items() if len(k) == 1})
+
+    def nearest(code: str) -> str:
+        form = basic.get(code, "?")
+        for way in (form, form.translate(drawn)):
+            pieces = units.findall(way)
+            if pieces and "".join(pieces) == way:
+                return "".join(written[x] for x in pieces)
+        return rules.get("Z1", "?")
+
+    lacking = sorted(used - rules.keys())
+    return {
+        "codes": {c: rules[c] if c in rules else nearest(c) for c in sorted(used)},
+        "multi": {k: v for k, v in rules.items() if len(k) > 2 and used.issuperset(re.findall(CODE, k))},
+        "approx": lacking,
+        "search": {rules[c]: letters[c] for c in sorted(used & rules.keys() & letters.keys(), reverse=True)},
+    }
+
+
+def alphabets(used: set[str], schemes: dict[str, dict[str, str]], letters: dict[str, str], basic: dict[str, str], like: dict[str, str] | None = None) -> dict[str, dict]:
+    """alphabet for every scheme, by name."""
+    return {name: alphabet(used, rules, letters, basic, like) for name, rules in schemes.items()}
 
 
 def present_on(lines: DataFrame) -> DataFrame:
@@ -133,18 +135,18 @@ def distinct_facts(panels: DataFrame, group: str, facts: list[str]) -> DataFrame
 def varied_examples(edits: DataFrame, most: int = 12, a_kind: int = 2) -> list:
     """Edits to show: the first of a page, at most a_kind of a kind, most in all, in order of ord.
 
-    Only the first of each kind and page are looked at, which the frame picks; the walk over them is short.
+    A choice depends on those before it, so it is made on the driver, from most * a_kind pages of each kind: an edit
+    that is passed over stands behind a full kind or one of most pages that are taken.
     """
-    w = Window.partitionBy("kind", "page").orderBy("ord")
-    first = edits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    near = first.withColumn("_k", F.row_number().over(Window.partitionBy("kind").orderBy("ord"))).filter(F.col("_k") <= most * a_kind).orderBy("ord")
-    out, kinds, pages = [], {}, set()
-    for r in near.collect():  # a few rows of each kind
-        if len(out) < most and r["page"] not in pages and kinds.get(r["kind"], 0) < a_kind:
-            out.append(r)
-            pages.add(r["page"])
-            kinds[r["kind"]] = kinds.get(r["kind"], 0) + 1
-    return out
+    on_page = F.row_number().over(Window.partitionBy("kind", "page").orderBy("ord"))
+    of_kind = F.row_number().over(Window.partitionBy("kind").orderBy("ord"))
+    first = edits.withColumn("on_page", on_page).filter("on_page = 1").withColumn("of_kind", of_kind).filter(F.col("of_kind") <= most * a_kind)
+    shown: list = []
+    for edit in first.select(*edits.columns).orderBy("ord").collect():  # most * a_kind rows of each kind
+        like = [x for x in shown if x["page"] == edit["page"]] or [x for x in shown if x["kind"] == edit["kind"]][a_kind - 1 :]
+        if not like and len(shown) < most:
+            shown.append(edit)
+    return shown
 
 
 def within(spark: SparkSession, seconds: float, action):

@@ -143,14 +143,16 @@ def _fact(key: str, value: str) -> Column:
 
 
 def _on_pages(lines: DataFrame, value: str, order: DataFrame | None) -> DataFrame:
+    """page:x is x and its panels, x with one digit; page:a-b what stands between in the binding; more ends name no pages."""
     ends = [e.removeprefix("f") for e in value.split("-")]
-    name = F.regexp_replace(F.col("page").cast("string"), "^f", "")
+    short = lambda c: F.regexp_replace(c.cast("string"), "^f", "")
     if len(ends) == 1:
-        return lines.filter((name == ends[0]) | name.rlike(f"^{re.escape(ends[0])}\\d$") if not ends[0].isdigit() else name == ends[0])
-    place = order.withColumn("name", F.regexp_replace(F.col("page").cast("string"), "^f", ""))
-    bounds = place.filter(F.col("name").isin(ends[:2])).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count_distinct("name").alias("known"))
-    between = place.join(F.broadcast(bounds), (F.col("known") == len(set(ends[:2]))) & F.col("pos").between(F.col("low"), F.col("high")), "left_semi")  # one row
-    return lines.join(between.select("page"), "page", "left_semi")
+        return lines.filter((short(F.col("page")) == ends[0]) | short(F.col("page")).rlike(f"^{re.escape(ends[0])}\\d$"))
+    if len(ends) > 2:
+        return lines.filter(F.lit(False))
+    bounds = order.filter(short(F.col("page")).isin(ends)).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count_distinct("page").alias("known"))
+    inside = (F.col("known") == len(set(ends))) & F.col("pos").between(F.col("low"), F.col("high"))
+    return lines.join(order.join(F.broadcast(bounds), inside, "left_semi").select("page"), "page", "left_semi")  # one row
 
 
 def with_facts(hits: DataFrame, facts: DataFrame) -> DataFrame:

@@ -73,16 +73,22 @@ def ordered_places(told: DataFrame, by: str) -> DataFrame:
     return numbered_by(told, "row", key, "page", "num", "wi")
 
 
-def where_it_sits(tokens: DataFrame, hit: Column) -> DataFrame:
-    """Counts of hits by place: first, last and inside for paragraph lines only, and by kind."""
+def where_it_sits(tokens: DataFrame, hit: Column, facts: DataFrame | None = None) -> DataFrame:
+    """Counts of hits by place: first, last and inside for paragraph lines only, and by kind; with facts, by language and section."""
     p = F.col("kind") == "P"
-    return tokens.filter(hit).agg(
-        F.count("*").alias("places"),
-        F.count_if(p & F.col("first")).alias("first"),
-        F.count_if(p & F.col("last")).alias("last"),
-        F.count_if(p & ~F.col("first") & ~F.col("last")).alias("inside"),
-        F.count_if(~p).alias("elsewhere"),
-    )
+    counts = {
+        "places": F.lit(True),
+        "first": p & F.col("first"),
+        "last": p & F.col("last"),
+        "inside": p & ~F.col("first") & ~F.col("last"),
+        "elsewhere": ~p,
+        **{f"kind_{k.lower()}": F.col("kind") == k for k in ("P", "L", "C", "R")},
+    }
+    hits = tokens.filter(hit)
+    if facts is not None:
+        hits = hits.join(facts.select("page", F.col("lang").alias("_lang"), F.col("section").alias("_section")), "page", "left")
+        counts |= {"lang_a": F.col("_lang") == "A", "lang_b": F.col("_lang") == "B", "section_good": F.col("_section") == "good", "section_poor": F.col("_section") == "poor"}
+    return hits.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()))
 
 
 def weights(tokens: DataFrame) -> DataFrame:
@@ -152,22 +158,30 @@ def repeats(tokens: DataFrame) -> DataFrame:
     return runs.groupBy("page", "num", "stride", "run").agg(F.min("wi").alias("a"), F.count("*").alias("n")).select("page", "num", "a", (F.col("a") + F.col("stride")).cast("int").alias("b"), "n")
 
 
-def shared_runs(tokens: DataFrame, line: tuple, idf: DataFrame, top: int = 12) -> DataFrame:
-    """The longest runs that line (page, num) shares with other lines.
+def shared_runs(tokens: DataFrame, line: tuple, idf: DataFrame, top: int = 12, reach: int = 10_000) -> DataFrame:
+    """The longest runs that line (page, num) shares with other lines, over their line ends where the text runs on.
 
-    Matches are grouped by diagonal; a run of three counts, or two words of at least three letters whose idf adds up to
-    4. The best run of a line is its longest, then weightiest.
+    The line's words (more than reach raise, since they are broadcast) meet equal words; matches that follow each other
+    by one stride, without a break of the text, are a stretch. A line takes part in a stretch from its first word in it
+    to the stretch's end. Three words count, or two of at least three letters whose idf adds up to 4; a line's best is
+    its longest, then weightiest, then the one that begins first.
     """
     here = (F.col("page") == line[0]) & (F.col("num") == line[1])
     own = tokens.filter(here).select(F.col("wi").alias("x"), "s")
-    other = tokens.filter(~here).select("page", "num", "wi", "s", "on").join(F.broadcast(own), "s").join(idf.select("s", "idf"), "s")  # the words of one line
-    d = Window.partitionBy("page", "num", "diagonal").orderBy("wi")
-    runs = other.withColumn("diagonal", F.col("wi") - F.col("x")).withColumn("run", F.col("wi") - F.row_number().over(d))
-    told = runs.groupBy("page", "num", "diagonal", "run").agg(F.count("*").alias("n"), F.sum("idf").alias("weight"), F.min(F.length("s")).alias("short"), F.min("x").alias("x"), F.min("wi").alias("wi"))
-    told = told.filter((F.col("n") >= 3) | ((F.col("n") == 2) & (F.col("weight") >= 4) & (F.col("short") >= 3)))
-    best = Window.partitionBy("page", "num").orderBy(F.col("n").desc(), F.col("weight").desc(), "wi", "x")
+    if own.limit(reach + 1).count() > reach:
+        raise ValueError(f"this line has more than {reach} words")
+    w = Window.partitionBy("page").orderBy("num", "wi")
+    broken = F.coalesce(F.sum((~F.col("on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = tokens.withColumn("i", F.row_number().over(w)).withColumn("broken", broken)
+    met = text.join(F.broadcast(own), "s").join(idf.select("s", "idf"), "s").withColumn("stride", F.col("i") - F.col("x"))
+    met = met.withColumn("stretch", F.col("i") - F.row_number().over(Window.partitionBy("page", "broken", "stride").orderBy("i")))
+    stretch = ("page", "broken", "stride", "stretch")
+    on = Window.partitionBy(*stretch).orderBy("i").rowsBetween(0, Window.unboundedFollowing)
+    told = met.select("page", "num", "x", "wi", F.row_number().over(Window.partitionBy(*stretch, "num").orderBy("i")).alias("nth"), F.count("*").over(on).alias("n"), F.round(F.sum("idf").over(on), 6).alias("weight"), F.min(F.length("s")).over(on).alias("short"))
+    told = told.filter((F.col("nth") == 1) & ~here & ((F.col("n") >= 3) | ((F.col("n") == 2) & (F.col("weight") >= 4) & (F.col("short") >= 3))))
+    best = Window.partitionBy("page", "num").orderBy(F.desc("n"), F.desc("weight"), "x", "wi")
     told = told.withColumn("best", F.row_number().over(best)).filter("best = 1")
-    return told.orderBy(F.col("n").desc(), F.col("weight").desc(), "page", "num").limit(top).select("page", "num", "x", "wi", "n", "weight")
+    return told.orderBy(F.desc("n"), F.desc("weight"), "page", "num").limit(top).select("page", "num", "x", "wi", "n", "weight")
 
 
 def glyph_pairs(tokens: DataFrame, cover: float = 0.995) -> DataFrame:

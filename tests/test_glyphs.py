@@ -25,7 +25,10 @@ def test_writing(spark):
 def test_maps():
     assert G.glyph_map(list("abcd"), list("abxcd")) == [0, 1, 1.5, 2, 3]
     a = G.alphabet({"A1", "B1", "C9"}, {"A1": "1", "B1": "2", "A1B1": "12", "Z1": "?"}, {"A1": "o", "B1": "d"}, {"C9": "od"})
+    assert a.pop("search") == {"1": "o", "2": "d"}
     assert a == {"codes": {"A1": "1", "B1": "2", "C9": "12"}, "multi": {"A1B1": "12"}, "approx": ["C9"]}
+    both = G.alphabets({"A1"}, {"x": {"A1": "1"}, "y": {"Z1": "*"}}, {"A1": "o"}, {})
+    assert both["x"]["codes"] == {"A1": "1"} and both["y"]["codes"] == {"A1": "*"} and both["y"]["approx"] == ["A1"]
 
 
 def test_tables(spark):
