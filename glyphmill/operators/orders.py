@@ -16,17 +16,26 @@ from pyspark.sql import functions as F
 from glyphmill.functions.shipping import ship
 
 
-def resolve(orders: DataFrame, sheets: DataFrame, depth: int = 8) -> DataFrame:
+def resolve(orders: DataFrame, sheets: DataFrame) -> DataFrame:
     """order_sheets with what orders(order_id, base) leave to their base: a quire's gathering replaces the base's of that name.
 
-    Each turn takes gatherings of the next base for quires still missing; depth bounds a chain of bases.
+    Each turn takes gatherings of the next base for quires still missing, until no order has a further base; a chain
+    of bases that comes back to itself raises.
     """
-    own = sheets.select("order_id", "gi", "quire", "type", "pos", "sheet").withColumn("level", F.lit(0))
-    chain, out = orders.select("order_id", F.col("base").alias("up")).filter("up is not null"), own
-    for level in range(1, depth + 1):
-        taken = chain.join(sheets.select(F.col("order_id").alias("up"), "gi", "quire", "type", "pos", "sheet"), "up").select("order_id", "gi", "quire", "type", "pos", "sheet", F.lit(level).alias("level"))
-        out = out.unionByName(taken)
-        chain = chain.join(orders.select(F.col("order_id").alias("up"), F.col("base").alias("next")), "up").filter("next is not null").select("order_id", F.col("next").alias("up"))
+    rows = {r["order_id"]: r["base"] for r in orders.collect()}  # a row for each order, as many as a person keeps
+    up = []
+    for order in rows:
+        at, level, seen = rows[order], 1, {order}
+        while at is not None:
+            if at in seen:
+                raise ValueError(f"order {order} is based on itself")
+            up.append((order, at, level))
+            seen.add(at)
+            at, level = rows.get(at), level + 1
+    sheets = sheets.select("order_id", "gi", "quire", "type", "pos", "sheet")
+    bases = sheets.sparkSession.createDataFrame(up, "order_id string, up string, level int")
+    inherited = F.broadcast(bases).join(sheets.withColumnRenamed("order_id", "up"), "up").select("order_id", "gi", "quire", "type", "pos", "sheet", "level")
+    out = sheets.withColumn("level", F.lit(0)).unionByName(inherited)
     first = F.min("level").over(Window.partitionBy("order_id", "quire"))
     deepest = F.max("level").over(Window.partitionBy("order_id"))
     # a gathering stands where the oldest base has it
@@ -111,6 +120,110 @@ def handled(faces: Column, spine: Column, n: Column, inside_out: Column, rot180:
     return F.struct(turned.alias("faces"), F.when(flips == 1, n - spine).otherwise(spine).alias("spine"))
 
 
+def handled_sheets(sheets: DataFrame) -> DataFrame:
+    """sheets(sheet, inside, outside, spine, proper, new_spine, inside_out, rot180) as they are handled.
+
+    inside and outside are rows of panels. A spine given anew replaces the sheet's; half a turn also flips the proper
+    row and turns every panel by 180 degrees (column rot). plain: no option is set.
+    """
+    n, out, half = F.size(F.col("inside")[0]), F.coalesce("inside_out", F.lit(False)), F.coalesce("rot180", F.lit(False))
+    told = handled(F.array("inside", "outside"), F.coalesce("new_spine", "spine"), n, out, half)
+    proper = F.coalesce("proper", F.size("inside") - 1)
+    return sheets.withColumn("v", told).select(
+        "sheet", n.alias("n"), F.col("v.faces")[0].alias("inside"), F.col("v.faces")[1].alias("outside"), F.col("v.spine").alias("spine"),
+        F.when(half, F.size("inside") - 1 - proper).otherwise(proper).alias("proper"), F.when(half, 180).otherwise(0).alias("rot"),
+        (F.coalesce("new_spine", F.lit(0)).eqNullSafe(0) & ~out & ~half).alias("plain"), *([c for c in ("read",) if c in sheets.columns]),
+    )
+
+
+def sides_of(sheets: DataFrame) -> DataFrame:
+    """sheet, side, face, hinge, panels, proper_panel, shown: the four page sides of handled_sheets folded at the spine, as read.
+
+    The inside sides fold onto themselves, so of several panels the back of the second is what shows. An explicit
+    reading (array read of panels by side) replaces what shows on sheets without options.
+    """
+    n, spine = F.col("n"), F.col("spine")
+    row_in, row_out = F.get("inside", F.col("proper")), F.get("outside", F.col("proper"))
+
+    def side(k, face, row, start, many, hinge):
+        panels = F.slice(row, start + 1, many)
+        own = F.get(panels, F.lit(0)) if hinge == "left" else F.get(panels, many - 1)
+        second = start + 1 if hinge == "left" else start + many - 2
+        shown = F.when(many > 1, F.get(row_out, n - 1 - second)).otherwise(own) if face == "inside" else own
+        return F.struct(F.lit(k).alias("side"), F.lit(face).alias("face"), F.lit(hinge).alias("hinge"), panels.alias("panels"), own.alias("proper_panel"), shown.alias("shown"))
+
+    four = F.array(side(0, "outside", row_out, n - spine, spine, "left"), side(1, "inside", row_in, F.lit(0), spine, "right"), side(2, "inside", row_in, spine, n - spine, "left"), side(3, "outside", row_out, F.lit(0), n - spine, "right"))
+    told = sheets.select("*", F.explode(four).alias("s")).select("*", "s.*")
+    if "read" in sheets.columns:
+        given = F.get("read", F.col("side"))
+        known = F.array_contains(F.concat(F.flatten("inside"), F.flatten("outside")), given)
+        told = told.withColumn("shown", F.when(F.col("plain") & F.coalesce(known, F.lit(False)), given).otherwise(F.col("shown")))
+    return told.select("sheet", "side", "face", "hinge", "panels", "proper_panel", "shown")
+
+
+def fold_way(pairs: DataFrame, folds: DataFrame, sheets: DataFrame) -> DataFrame:
+    """sheet, a, b, way: 1 toward whoever looks, -1 away, for neighbouring panels pairs(sheet, a, b).
+
+    folds(sheet, a, b, way) names inside panels, in either order, with way in or out; what isn't listed goes in. From
+    the outside a fold that goes in turns away.
+    """
+    cell = lambda name: F.posexplode(name).alias("r", "row")
+    outside = sheets.select("sheet", "inside", cell("outside")).select("sheet", "inside", "r", F.size("row").alias("m"), F.posexplode("row").alias("c", "panel"))
+    backs = outside.select("sheet", "panel", F.get(F.get("inside", F.col("r")), F.col("m") - 1 - F.col("c")).alias("back"))
+    of = lambda c: backs.select("sheet", F.col("panel").alias(c), F.col("back").alias(f"{c}_back"))
+    told = pairs.join(of("a"), ["sheet", "a"], "left").join(of("b"), ["sheet", "b"], "left")
+    out = F.col("a_back").isNotNull() | F.col("b_back").isNotNull()
+    told = told.withColumn("out", out).withColumn("x", F.when(out, F.col("a_back")).otherwise(F.col("a"))).withColumn("y", F.when(out, F.col("b_back")).otherwise(F.col("b")))
+    both = folds.select("sheet", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "way").dropDuplicates(["sheet", "low", "high"])
+    told = told.withColumn("low", F.least("x", "y")).withColumn("high", F.greatest("x", "y")).join(both, ["sheet", "low", "high"], "left")
+    way = F.when(F.col("way") == "out", -1).otherwise(1) * F.when(F.col("out"), -1).otherwise(1)
+    return told.select("sheet", "a", "b", way.alias("way"))
+
+
+def compare_orders(sheets: DataFrame, left: str, right: str) -> DataFrame:
+    """row, quire, left_gi, right_gi, same: the gatherings of two orders side by side.
+
+    Rows follow the right order; a gathering stands beside the left one of its name, the n-th beside the n-th; left ones
+    without a partner come last. same: one type, the same sheets in the same places.
+    """
+
+    def side(order: str, name: str) -> DataFrame:
+        one = sheets.filter(F.col("order_id") == order).groupBy("gi", "quire").agg(F.struct(F.first("type").alias("type"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "sheet"))), lambda x: x["sheet"]).alias("sheets")).alias(f"{name}_body"))
+        nth = F.row_number().over(Window.partitionBy("quire").orderBy("gi"))
+        return one.select("quire", nth.alias("nth"), F.col("gi").alias(f"{name}_gi"), f"{name}_body")
+
+    both = side(right, "right").join(side(left, "left"), ["quire", "nth"], "full")
+    row = F.row_number().over(Window.orderBy(F.col("right_gi").asc_nulls_last(), "left_gi"))  # the gatherings of one book
+    return both.select(row.alias("row"), "quire", "left_gi", "right_gi", F.col("left_body").eqNullSafe(F.col("right_body")).alias("same"))
+
+
+def leaf_table(sheets: DataFrame, order: str, source: str) -> DataFrame:
+    """leaf, quire, sheet, recto, verso, state, new_recto, new_verso: an order's leaves, marked against a source order.
+
+    state is that of moved; a side is new-facing if the side it is seen with isn't the one it is seen with in source.
+    """
+    sides = linearise(sheets.filter(F.col("order_id").isin(order, source)))
+    partner = openings(sides).filter("a is not null and b is not null")
+    seen = partner.select("order_id", F.col("a").alias("side"), F.col("b").alias("beside")).unionByName(partner.select("order_id", F.col("b").alias("side"), F.col("a").alias("beside")))
+    here = seen.filter(F.col("order_id") == order).select(F.col("side").alias("name"), "beside")
+    there = seen.filter(F.col("order_id") == source).select(F.col("side").alias("name"), F.col("beside").alias("was"))
+    name = F.concat_ws(":", "sheet", "face")
+    told = sides.filter(F.col("order_id") == order).withColumn("name", name).join(here, "name", "left").join(there, "name", "left")
+    told = told.withColumn("new", F.col("beside").isNotNull() & ~F.col("beside").eqNullSafe(F.col("was")))
+    leaf = F.floor(F.col("side") / 2).cast("int")
+    of = lambda k, c: F.max(F.when(F.col("side") % 2 == k, F.col(c)))
+    rows = told.groupBy(leaf.alias("leaf")).agg(F.first("quire").alias("quire"), F.first("sheet").alias("sheet"), of(0, "name").alias("recto"), of(1, "name").alias("verso"), of(0, "new").alias("new_recto"), of(1, "new").alias("new_verso"))
+    return rows.join(moved(sheets, order, source).select("sheet", "state"), "sheet", "left").select("leaf", "quire", "sheet", "recto", "verso", "state", "new_recto", "new_verso")
+
+
+def overlay(leaves: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(sheet, leaf, values) and the legend (value, leaves) of leaves(sheet, leaf, value, missing): known values of both faces, once, in the categories' order."""
+    place = F.create_map(*(F.lit(x) for k, c in enumerate(categories) for x in (c, k)))
+    known = leaves.filter(~F.coalesce("missing", F.lit(False)) & F.col("value").isin(categories)).select("sheet", "leaf", "value").distinct()
+    values = known.groupBy("sheet", "leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct(place[F.col("value")].alias("k"), "value"))), lambda x: x["value"]).alias("values"))
+    return values, known.groupBy("value").agg(F.count("*").alias("leaves"))
+
+
 def find_page(panels: DataFrame, name: str) -> DataFrame:
     """The side that shows a page: an exact shown panel first, then any panel, then the leaf's bare number."""
     fit = F.when(F.col("shown") & (F.col("panel") == name), 0).when(F.col("panel") == name, 1).when(F.regexp_extract("panel", r"^f?(\d+)", 1) == name.removeprefix("f"), 2)

@@ -16,10 +16,11 @@ def first_of(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
 
 def clean_order(sheets: DataFrame, known: DataFrame) -> DataFrame:
     """order sheets that exist, each once where it first stands; every other known sheet comes last, set aside."""
-    kept = first_of(sheets.join(known.select("sheet"), "sheet", "left_semi"), ["order_id", "sheet"])
-    every = kept.select("order_id").distinct().crossJoin(known.select("sheet"))
-    left = every.join(kept.select("order_id", "sheet"), ["order_id", "sheet"], "left_anti")
-    return kept.select("order_id", "sheet", "quire", "ord").unionByName(left.select("order_id", "sheet", F.lit(None).cast("string").alias("quire"), F.lit(None).cast("int").alias("ord")))
+    kept = first_of(sheets.join(known.select("sheet"), "sheet", "left_semi"), ["order_id", "sheet"]).select("order_id", "sheet", "quire", "ord")
+    # an order's sheets as one array against the book's: a row for each order, not for each order and sheet
+    book = known.agg(F.collect_set("sheet").alias("all"))
+    left = kept.groupBy("order_id").agg(F.collect_set("sheet").alias("own")).join(F.broadcast(book)).select("order_id", F.explode(F.array_except("all", "own")).alias("sheet"))
+    return kept.unionByName(left.select("order_id", "sheet", F.lit(None).cast("string").alias("quire"), F.lit(None).cast("int").alias("ord")))
 
 
 def slug(text: Column, most: int = 40) -> Column:
@@ -31,6 +32,36 @@ def clean_bookmarks(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return first_of(rows.join(pages.select("page"), "page", "left_semi"), ["page"]).withColumn("note", F.substring(F.coalesce("note", F.lit("")), 1, 500))
 
 
+def _named(name: Column, most: int) -> Column:
+    return F.left(F.btrim(F.coalesce(name, F.lit(""))), F.lit(most))
+
+
+def clean_searches(rows: DataFrame) -> DataFrame:
+    """Kept searches(id, name, hash): only addresses of searches, cut to 2,000 characters; a name of at most 80, or Search."""
+    told = rows.filter(F.col("hash").rlike(r"^#text/[^/]*/search"))
+    return told.select("id", F.coalesce(F.nullif(_named(F.col("name"), 80), F.lit("")), F.lit("Search")).alias("name"), F.left("hash", F.lit(2000)).alias("hash"))
+
+
+def clean_sets(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page sets(id, name, page, ord), a row a page: known pages once, where they first stand; the name as a slug of 40; no empty sets or names."""
+    name = F.left(F.regexp_replace(F.regexp_replace(F.lower(F.btrim(F.coalesce("name", F.lit("")))), "[^a-z0-9-]+", "-"), "^-|-$", ""), F.lit(40))
+    known = rows.join(pages.select("page"), "page", "left_semi").withColumn("name", name).filter("name <> ''")
+    return first_of(known, ["id", "name", "page"]).groupBy("id", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "page"))), lambda x: x["page"]).alias("pages"))
+
+
+def clean_places(rows: DataFrame) -> DataFrame:
+    """Notes on places(id, hash, label, note): only addresses of words in a text; label to 120 characters, note to 2,000."""
+    told = rows.filter(F.col("hash").rlike(r"^#read/[^/]*/[^/]+/text\?w="))
+    return told.select("id", F.left("hash", F.lit(2000)).alias("hash"), _named(F.col("label"), 120).alias("label"), _named(F.col("note"), 2000).alias("note"))
+
+
+def in_reading_order(bookmarks: DataFrame, order: DataFrame) -> DataFrame:
+    """bookmarks(page, ord) with row, their number in the reading order(page, pos); pages it leaves out come last, as they stand."""
+    first = order.groupBy("page").agg(F.min("pos").alias("pos"))
+    w = Window.orderBy(F.col("pos").asc_nulls_last(), "ord")  # a person's bookmarks
+    return bookmarks.join(first, "page", "left").withColumn("row", F.row_number().over(w)).drop("pos")
+
+
 def skip_known(mine: DataFrame, theirs: DataFrame, *keys: list[str]) -> DataFrame:
     """mine and what theirs adds: a row whose value is mine already by any of keys is left out, and so is a repeat."""
     for key in keys:

@@ -70,3 +70,24 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     """A Markdown table of a small result."""
     head = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     return "\n".join(head + ["| " + " | ".join(str(r.get(c, "")) for c in columns) + " |" for r in rows]) + "\n"
+
+
+def report(spark, title: str, sections: list[tuple[str, DataFrame, list[str]]]) -> DataFrame:
+    """row and value: the lines of a Markdown report, a heading and a table for each (heading, frame, columns); frames are ordered by column row."""
+    fixed, parts = [(0, 0, f"# {title}"), (0, 1, "")], []
+    for k, (heading, frame, columns) in enumerate(sections, 1):
+        fixed += [(k, 0, f"## {heading}"), (k, 1, ""), (k, 2, "| " + " | ".join(columns) + " |"), (k, 3, "|" + " --- |" * len(columns))]
+        cells = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), " | "), F.lit(" |"))
+        parts.append(frame.select(F.lit(k).alias("part"), (F.col("row") + 3).cast("long").alias("place"), cells.alias("value")))
+    lines = spark.createDataFrame(fixed, "part int, place long, value string")
+    for p in parts:
+        lines = lines.unionByName(p)
+    return numbered_by(lines, "row", "part", "place").select("row", "value")
+
+
+def hit_rows(hits: DataFrame, facts: DataFrame) -> DataFrame:
+    """The twelve columns of exported hits, numbered in book order: scribes are joined by blanks, contexts stand beside the match."""
+    told = hits.join(facts, "page", "left")
+    scribe = F.array_join("scribe", " ") if dict(facts.dtypes)["scribe"].startswith("array") else F.col("scribe")
+    cut = {"locus": F.concat_ws(".", "page", "num"), "page": F.col("page"), "line": F.col("num"), "kind": F.col("kind"), "before": F.substring("line", F.lit(1), F.col("start")), "match": F.col("match"), "after": F.substring("line", F.col("start") + F.col("len") + 1, F.length("line")), "text": F.col("line"), "scribe": scribe, "section": F.col("section"), "language": F.col("lang"), "quire": F.col("quire")}
+    return numbered_by(told, "row", "page", "num", "start").select("row", *(c.alias(n) for n, c in cut.items()))

@@ -287,6 +287,12 @@ def assemble(*sources: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+def positional(index: DataFrame, lines: DataFrame) -> DataFrame:
+    """locus, text, fits: a witness's lines(pos, text) against the index(pos, locus) by place; fits is false where either has no partner."""
+    both = index.select("pos", "locus").join(lines.select("pos", "text", F.lit(True).alias("here")), "pos", "full")
+    return both.select("pos", "locus", "text", (F.col("locus").isNotNull() & F.coalesce("here", F.lit(False))).alias("fits"))
+
+
 def by_locus(lines: DataFrame) -> DataFrame:
     """page, num and the witnesses' texts as one map."""
     return lines.groupBy("page", "num").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("witness", "text")))).alias("texts"))
