@@ -103,13 +103,20 @@ def search_near_words(spark, sf_dir):
 
 
 @query(f"""with {LOCI_SQL}, {TOKENS_SQL}, v as (select distinct unnest(string_split(line, '.')) as w from loci),
-near as (select w from v where length(w) = 4 and not contains(w, ',') and (w = 'thar' or substr(w, 2) = 'har' or substr(w, 1, 1) || substr(w, 3) = 'tar' or substr(w, 1, 2) || substr(w, 4) = 'thr' or substr(w, 1, 3) = 'tha'
-   or (substr(w, 1, 1) in ('t') and substr(w, 2, 1) = 'h' and substr(w, 3, 1) in ('o', 'a', 'y') and substr(w, 4, 1) in ('r', 's')))
-   or length(w) = 5 and not contains(w, ',') and 'thar' in (substr(w, 2), substr(w, 1, 1) || substr(w, 3), substr(w, 1, 2) || substr(w, 4), substr(w, 1, 3) || substr(w, 5), substr(w, 1, 4))
-   or length(w) = 3 and not contains(w, ',') and w in ('har', 'tar', 'thr', 'tha'))
-select page, num, cast(start as int) as start, cast(length(s) as int) as len, s as match from words where s in (select w from near)""")
+cand as (select w, replace(w, ',', '') as b from v),
+near as (select w from cand where length(b) = 4 and (substr(b, 2) = 'har' or substr(b, 1, 1) || substr(b, 3) = 'tar' or substr(b, 1, 2) || substr(b, 4) = 'thr' or substr(b, 1, 3) = 'tha'
+   or regexp_full_match(b, 'th[oay][rs]'))
+   or length(b) = 5 and 'thar' in (substr(b, 2), substr(b, 1, 1) || substr(b, 3), substr(b, 1, 2) || substr(b, 4), substr(b, 1, 3) || substr(b, 5), substr(b, 1, 4))
+   or b in ('har', 'tar', 'thr', 'tha')),
+split as (select w from near where contains(w, ',') and not list_has_any(string_split(w, ','), (select list(w) from near))),
+met as (select page, num, line, w, strpos('.' || replace(line, ',', '.') || '.', '.' || replace(w, ',', '.') || '.') as p from loci join split on contains(line, w))
+select page, num, cast(start as int) as start, cast(length(s) as int) as len, s as match from words where s in (select w from near)
+union all select page, num, cast(p - 1 as int), cast(length(w) as int), w from met where p > 0 and substr(line, cast(p as int), length(w)) = w""")
 def search_near(spark, sf_dir):
-    """thar has letters with families: o, a, y and r, s, so an edit inside one costs half, and two of them make one."""
+    """thar has letters with families: o, a, y and r, s, so an edit inside one costs half, and two of them make one.
+
+    A spelling is compared without uncertain spaces, so one with such a space inside may be near as well.
+    """
     return _hits(spark, sf_dir, "thar", Reading(sp="space", near=1)).select(*HIT)
 
 

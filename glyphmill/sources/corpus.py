@@ -162,21 +162,28 @@ def tokens(lines: DataFrame, starts: bool = False) -> DataFrame:
     return told.select("page", "num", "kind", "ps", "wi", "s", *(["start"] if starts else []), (F.col("wi") == 0).alias("first"), last.alias("last"), (~last | F.col("runs_on")).alias("on"))
 
 
+#: Rows looked at for each range's bound.
+BOUND_ROWS = 50
+
+
 def numbered_by(rows: DataFrame, name: str, *order, parts: int | None = None) -> DataFrame:
-    """rows with name, their number from 1 in the order of the columns and expressions given.
+    """rows with name, their number from 1 in the order of the columns and expressions given; nulls come first.
 
     Rows are dealt to ranges of the order, numbered inside each, and shifted by how many stand in the ranges before; so
-    no task holds more than its range, where the ranges' bounds are one row each.
+    no task holds more than its range. Bounds are taken from the rows of the smallest hashes, so a row's range follows
+    from its values alone, however often the plan is run. Rows with equal keys share a range.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    keyed = rows.select("*", *(c.alias(f"_order{k}") for k, c in enumerate(order)))
-    keys = [F.col(f"_order{k}").asc_nulls_first() for k in range(len(order))]
-    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_many"))
+    n = max(2, parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = rows.withColumn("_key", F.struct(*(c.alias(f"k{k}") for k, c in enumerate(order))))
+    some = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(BOUND_ROWS * n).agg(F.array_sort(F.collect_list("_key")).alias("_all"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("_all", F.floor(i * F.size("_all") / n).cast("int")))
+    bounds = some.select(F.filter(at, lambda b: b.isNotNull()).alias("_bounds"))
+    part = F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))
+    dealt = keyed.join(F.broadcast(bounds)).withColumn("_part", part).drop("_bounds")  # one row
     shift = F.coalesce(F.sum("_many").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = sizes.select(F.col("_part").alias("_of"), shift.alias("_shift"))
+    shifts = dealt.groupBy("_part").agg(F.count("*").alias("_many")).select(F.col("_part").alias("_of"), shift.alias("_shift"))
+    here = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     joined = dealt.withColumn("_here", here).join(F.broadcast(shifts), F.col("_part") == F.col("_of"))  # a row for each range
     return joined.select(*rows.columns, (F.col("_here") + F.col("_shift")).cast("int").alias(name))
 

@@ -252,13 +252,18 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(num.alias("num"), "word", "eva", "confidence", "note"))).alias("readings"))
 
 
-def read_pages(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Page files of JSON by a schema that is given, never inferred."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True)
+def read_pages(spark: SparkSession, path: str, schema: T.StructType | str, one_each: bool = True) -> DataFrame:
+    """Page files of JSON by a schema that is given, never inferred: one object or list a file, or one object a line."""
+    return spark.read.schema(schema).option("multiLine", one_each).json(path)
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """A CSV with a header in each file; with columns, parts of one export, whose header stands in the first of them only."""
+    if columns is None:
+        return spark.read.csv(path, header=True)
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    rows = spark.read.schema(schema).csv(path, header=False, escape='"')
+    return rows.filter(~F.array(*columns).eqNullSafe(F.array(*map(F.lit, columns))))
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
