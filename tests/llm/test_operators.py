@@ -280,19 +280,37 @@ def test_base_rules_equal_brute_force(spark, docs, empty, labels):
 
 def test_ratio_equals_brute_force(spark, docs, labels, monkeypatch):
     monkeypatch.setattr(quality_rules, "SLOTS", 64)
+    import xxhash
+
     one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    pairs = quality_rules._n_grams(one.select("doc_id", "text"), "doc_id").collect()
+    rows = one.select("doc_id", "text").collect()
     trusted = {r.doc_id for r in quality_rules.trusted_ids(labels).collect()}
-    raw, target, of = [1.0] * 64, [1.0] * 64, {}
-    for r in pairs:
-        of.setdefault(r.doc_id, []).extend((r.slot, r.pair))
-        for s in (r.slot, r.pair):
-            raw[s] += 1
-            target[s] += r.doc_id in trusted
+    raw, target, of = [1.0] * 64, [0.0] * 64, {}
+    for r in rows:
+        words = WORDS.findall(r.text or "")
+        for k, w in enumerate(words):
+            first = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            both = xxhash.xxh64_intdigest(words[k + 1].encode(), seed=first) if k + 1 < len(words) else first
+            of.setdefault(r.doc_id, []).extend(((first - (first >> 63 << 64)) % 64, (both - (both >> 63 << 64)) % 64))
+    for i, slots in of.items():
+        for slot in slots:
+            raw[slot] += 1
+            target[slot] += i in trusted
+    share = [x / sum(raw) for x in raw]
+    ratio = [math.log((t + quality_rules.PRIOR * p) / (sum(target) + quality_rules.PRIOR) / p) for t, p in zip(target, share)]
     got = {r.doc_id: r.score for r in quality_rules.judged(one, labels).collect()}
     for i, slots in of.items():
-        want = sum(math.log(target[s] / sum(target)) - math.log(raw[s] / sum(raw)) for s in slots) / len(slots)
-        assert got[i] == pytest.approx(want, abs=1e-8)
+        assert got[i] == pytest.approx(sum(ratio[x] for x in slots) / len(slots), abs=1e-8)
+
+
+def test_long_repetitive_texts_count_like_short_ones(spark, labels):
+    """Thousands of different repeated windows, and texts on both sides of any size, by brute force."""
+    rng = random.Random(11)
+    part = [prose(rng, n, "abcdefg") for n in (20, 600, 4000)]
+    texts = [f"{t} {t}" for t in part] + [f"{t} new {' '.join(t.split()[:40])}" for t in part]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.judged(d, labels).collect():
+        assert tuple(r)[1:6] == base(texts[r.doc_id]), r.doc_id
 
 
 def test_backoff_equals_sql(spark, docs, empty, tmp_path):
