@@ -1,7 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters with list decoding.
 
 A filter is one direction in a structured random product code: space is cut into BLOCKS blocks of coordinates after a
-random rotation, each block has CODE random directions, and every choice of one direction per block is a filter. A
+random rotation, each block has CODE random directions (more where there are more vectors than they part well, as
+code_size says), and every choice of one direction per block is a filter. A
 vector's list is every filter whose inner product is within REACH of its best one; it is decoded by joining the two
 halves' partial losses, so no list of all CODE ** BLOCKS filters is walked. Two vectors at cosine 0.98 share a filter
 all but surely: the inner products differ by about 0.05. Vectors are joined on (label, filter), then compared in double
@@ -26,14 +27,21 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCKS, CODE, REACH, BLOCK, TASK_ROWS = 4, 16, 0.08, 256, 4000
+#: The codebooks grow with the number of different vectors, so that there are so many filters for each and none fills up.
+FILTERS = 8
 
 
-def code(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """A rotation of dim coordinates (padded to a multiple of BLOCKS) and the BLOCKS codebooks."""
+def code_size(vectors: int) -> int:
+    """Directions in each block: CODE at least."""
+    return max(CODE, int(np.ceil((vectors * FILTERS) ** (1 / BLOCKS))))
+
+
+def code(dim: int, size: int = CODE) -> tuple[np.ndarray, np.ndarray]:
+    """A rotation of dim coordinates (padded to a multiple of BLOCKS) and the BLOCKS codebooks of size directions."""
     rng = np.random.default_rng(dim)
     wide = -(-dim // BLOCKS) * BLOCKS
     turn = np.linalg.qr(rng.normal(size=(wide, wide)))[0][:dim]
-    books = rng.normal(size=(BLOCKS, CODE, wide // BLOCKS))
+    books = rng.normal(size=(BLOCKS, size, wide // BLOCKS))
     return turn, books / np.linalg.norm(books, axis=2, keepdims=True)
 
 
@@ -47,7 +55,7 @@ def decode(unit: np.ndarray, turn: np.ndarray, books: np.ndarray) -> list[np.nda
     for x, y in zip(left, right, strict=True):
         i, j = np.flatnonzero(x <= REACH), np.flatnonzero(y <= REACH)
         p, q = np.nonzero(x[i][:, None] + y[j] <= REACH)
-        out.append(np.sort(i[p] * CODE**2 + j[q]).astype(np.int32))
+        out.append(np.sort(i[p].astype(np.int64) * books.shape[1] ** 2 + j[q]))
     return out
 
 
@@ -56,11 +64,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _decode(batches):
+def _decode(batches, size):
     import pyarrow as pa
 
     books: dict[int, tuple] = {}
-    for batch in batches:
+    for batch in C.trimmed(batches):
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
             if not part.num_rows:
@@ -70,11 +78,11 @@ def _decode(batches):
             lists: list = [None] * len(vectors)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                books.setdefault(int(dim), code(int(dim)))
+                books.setdefault(int(dim), code(int(dim), size))
                 for i, found in zip(at, decode(_unit(np.stack([vectors[i] for i in at])), *books[int(dim)]), strict=True):
                     lists[i] = found
             cols = [part.column(c) for c in ("cid", "label", "n", "low")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(dims, pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int32()))], ["cid", "label", "n", "low", "dim", "vector", "filters"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(dims, pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["cid", "label", "n", "low", "dim", "vector", "filters"])
 
 
 def _compare(pdf, least):
@@ -125,7 +133,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = rows.filter("sound").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     classes = ws.store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    coded = ws.store(classes.mapInArrow(_decode, "cid long, label string, n long, low long, dim int, vector binary, filters array<int>"), "coded")
+    size = code_size(classes.count())
+    coded = ws.store(classes.mapInArrow(lambda it: _decode(it, size), "cid long, label string, n long, low long, dim int, vector binary, filters array<long>"), "coded")
     put = coded.select("label", "dim", "cid", F.explode("filters").alias("filter"))
     many = put.groupBy("label", "dim", "filter").agg(F.count("*").alias("many")).filter("many > 1")
     put = put.join(many, ["label", "dim", "filter"]).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))

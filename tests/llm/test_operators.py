@@ -555,7 +555,7 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_entities_unescape_like_the_library():
-    assert html_extract.blocks(html_extract.parse("<p>&lt;a&gt; &middot;</p>")[1]) == [html.unescape("&lt;a&gt; &middot;")]
+    assert [text for _, _, _, text in html_extract.Page("<p>&lt;a&gt; &middot;</p>").nodes] == [html.unescape("&lt;a&gt; &middot;")]
 
 
 def site(rng, i, notice, layout="div"):
