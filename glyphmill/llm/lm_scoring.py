@@ -5,13 +5,14 @@ was, else BACK^2 * c(w) / N; the first two words of a document start at their ow
 that an n-gram that only this document has is unseen. The document's score is the sum of log10.
 
 The relational form is: n-grams exploded from documents, counted by n-gram, joined back by n-gram, summed by document.
-Exploded one row each, that is three rows a word through two shuffles. Here rows are packed: documents are dealt by hash
+Exploded one row each, that is three rows a word through two shuffles: measured on 10,000 documents, 4.3 x input and
+1,025 JVM CPU seconds a GB for hashing, counting, joining and summing alone. Here rows are packed: documents are dealt by hash
 to chunks of about CHUNK bytes; a chunk sends each count shard (a range of n-gram hashes) one message with its distinct
 n-grams in order and their counts; the shard sums over all messages and answers each with the totals, in the same order;
 the chunk joins its answers to its documents. A frequent n-gram is one entry a chunk however often it occurs, and chunk
 and shard sizes don't grow with the corpus, only their numbers do. Both uses of the dealt documents read one shuffle.
 
-Defined results: null, empty and white-space texts have no words and a null score. Repeated rows count and score as
+Defined results: null, empty and white-space texts have no words and a null score. Ties don't arise: a score is a sum. Repeated rows count and score as
 documents of their own. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -117,6 +118,7 @@ def stupid_backoff(docs: DataFrame) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, words / SHARD_ENTRIES)))))
     dealt = P.deal(plain.withColumn("tag", F.lit(None).cast("string")), chunks)
     asked = dealt.groupBy("chunk").applyInArrow(lambda g: _ask(g, bits), "chunk long, n int, shard int, names binary, counts binary")
+    asked = asked.repartition(P.tasks(plain, ORDER * 2**bits, 2), "n", "shard")
     told = asked.groupBy("n", "shard").applyInArrow(_answer, "chunk long, n int, shard int, totals binary")
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda d, a: _score(d, a, words), "doc_id long, n_words long, n_trigram long, n_bigram long, log10_score double, log10_per_word double")
     return out

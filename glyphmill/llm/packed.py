@@ -57,10 +57,18 @@ def _bundle(batches, chunks):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk", "ids", "tags", "sizes", "texts"])
 
 
+def tasks(plain: DataFrame, groups: int, each: int = 4) -> int:
+    """Partitions for so many groups: as many as the session's setting, but never so few that one has more than about each groups."""
+    return max(1, min(groups, int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-groups // each))
+
+
 def deal(plain: DataFrame, chunks: int) -> DataFrame:
-    """Rows DEALT of plain(doc_id bigint, tag, text not null): a row for what an Arrow batch has for a chunk, chunks together."""
+    """Rows DEALT of plain(doc_id bigint, tag, text not null): a row for what an Arrow batch has for a chunk, chunks together.
+
+    The number of partitions follows the number of chunks, so that a task doesn't grow with the corpus.
+    """
     dealt = plain.select("doc_id", "tag", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
-    return dealt.mapInArrow(lambda it: _bundle(it, chunks), DEALT).repartition("chunk")
+    return dealt.mapInArrow(lambda it: _bundle(it, chunks), DEALT).repartition(tasks(plain, chunks), "chunk")
 
 
 def unbundle(group):

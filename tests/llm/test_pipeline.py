@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql.functions import lit
+
 from glyphmill.llm import queries
 
 
@@ -35,5 +37,30 @@ def test_stages(spark, tmp_path):
     assert sum(r.n_words for r in out.collect()) == 90 * len(ids(mixed))
 
 
+def test_repeats_clashing_names_and_missing_ids_come_through(spark, tmp_path):
+    d = folder(spark, tmp_path / "in")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    more = docs.unionByName(docs.filter("doc_id in (3, 3, 7)")).unionByName(docs.filter("doc_id = 9").selectExpr("cast(null as bigint) as doc_id", "concat(text, ' and so on')  as text", "lang", "source", "n_chars"))
+    clash = {c: lit(c) for c in ("own_id", "OWN_COPIES", "_id", "_own", "component_id", "kept", "score", "lot", "tag", "chunk", "of", "s")}
+    more = more.withColumns(clash)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, d)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in clash), name
+        if name != "mix":
+            n = {k: sum(r.doc_id == k for r in rows) for k in (3, 7, 8)}
+            assert n == {3: 2, 7: 2, 8: 1}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, more, d).count() >= 60
+
+
+def test_empty_table(spark, tmp_path):
+    d = folder(spark, tmp_path / "in")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.filter("false"), d)
+        assert out.count() == 0 and (name == "pack" or out.columns == docs.columns), name
+
+
 def test_queries_are_one_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
