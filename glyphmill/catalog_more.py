@@ -52,7 +52,7 @@ WORDS_SQL = "w as (select item_id, trim(regexp_replace(regexp_replace(lower(text
 # --- readers ---
 
 
-@query(f"with {WORDS_SQL} select 'f' || item_id as page, 1 as num, 'P0' as type, string_split(line, '.') as words, len(string_split(line, '.')) - 1 as breaks, 'A' as q, case when item_id % 2 = 0 then 'k' end as r, true as para_start, item_id % 3 = 0 as para_end, cast(1 as bigint) as notes from w where line <> ''")
+@query(f"with {WORDS_SQL} select 'f' || item_id as page, 1 as num, 'P0' as type, replace(line, '.', '|') as words, len(string_split(line, '.')) - 1 as breaks, 'A' as q, case when item_id % 2 = 0 then 'k' end as r, true as para_start, item_id % 3 = 0 as para_end, cast(1 as bigint) as notes from w where line <> ''")
 def read_transcription(spark, sf_dir):
     """Pages with variables, a tag, a paragraph's marks, a comment, alternatives and a ligature; goes through parser and word splitter."""
     b = _table(spark, sf_dir, "benchmark").select("item_id", _words("text").alias("line")).filter("line <> ''")
@@ -64,7 +64,7 @@ def read_transcription(spark, sf_dir):
     path = _folder(spark, "transcription")
     b.select(F.concat_ws("\n", F.lit("#=IVTFF Eva- 2.0"), head, line)).write.text(path)
     told = R.read_transcripts(spark, path)
-    return told.select("page", "num", "type", "words", F.size(F.filter("seps", lambda s: s == ".")).cast("long").alias("breaks"), F.col("vars")["Q"].alias("q"), F.col("vars")["R"].alias("r"), "para_start", "para_end", F.size("comments").cast("long").alias("notes"))
+    return told.select("page", "num", "type", F.array_join("words", "|").alias("words"), F.size(F.filter("seps", lambda s: s == ".")).cast("long").alias("breaks"), F.col("vars")["Q"].alias("q"), F.col("vars")["R"].alias("r"), "para_start", "para_end", F.size("comments").cast("long").alias("notes"))
 
 
 @query(f"with {WORDS_SQL} select 'f' || item_id as page, 1 as num, 'H' as transcriber, line as text, 'A' as q from w")
@@ -261,7 +261,7 @@ def letters_to_codes(spark, sf_dir):
     return b.select("item_id", F.coalesce(R.to_codes(F.col("line"), {"ch": "K2", "a": "A1", "c": "C1"}), F.lit("")).alias("codes"))
 
 
-@query(f"""with {WORDS_SQL} select item_id, regexp_replace(regexp_replace(replace(replace(line, 'sh', '§'), 'ch', '¢'), '[o]', 'ø', 'g'), '\\.', ' ', 'g') as glyphs, list_filter(string_split(line, '.'), lambda x: x <> '') as words, replace(line, '.', '') as bare, true as start, item_id % 2 = 0 as "end",
+@query(f"""with {WORDS_SQL} select item_id, regexp_replace(regexp_replace(replace(replace(line, 'sh', '§'), 'ch', '¢'), '[o]', 'ø', 'g'), '\\.', ' ', 'g') as glyphs, array_to_string(list_filter(string_split(line, '.'), lambda x: x <> ''), '|') as words, replace(line, '.', '') as bare, true as start, item_id % 2 = 0 as "end",
  'f' || item_id as page, '1' as number, cast(item_id as varchar) as short, '-' || line as clean, 'Herbal / x / Stars' as section from w""")
 def glyph_columns(spark, sf_dir):
     b = _table(spark, sf_dir, "benchmark").select("item_id", _words("text").alias("line"))
@@ -271,7 +271,7 @@ def glyph_columns(spark, sf_dir):
     return b.select(
         "item_id",
         G.as_glyphs(F.col("line"), {"sh": "§", "ch": "¢", "o": "ø"}).alias("glyphs"),
-        G.line_words(F.col("line")).alias("words"),
+        F.array_join(G.line_words(F.col("line")), "|").alias("words"),
         G.bare(F.col("line")).alias("bare"),
         marks["start"].alias("start"),
         marks["end"].alias("end"),
@@ -424,12 +424,12 @@ def _book(spark, sf_dir):
 
 
 @query(f"""with {BOOK_SQL}, h as (select sheet, case opt when 1 then r1 when 2 then list_reverse(r0) else r0 end as i, case opt when 1 then r0 when 2 then list_reverse(r1) else r1 end as o, case when opt = 0 then 1 else 2 end as s from book)
-select sheet, 0 as side, o[3 - s + 1:3] as panels, o[3 - s + 1] as shown from h union all
-select sheet, 1, i[1:s], case when s > 1 then o[3 - (s - 2)] else i[s] end from h union all
-select sheet, 2, i[s + 1:3], case when 3 - s > 1 then o[3 - (s + 1)] else i[s + 1] end from h union all
-select sheet, 3, o[1:3 - s], o[3 - s] from h""")
+select sheet, 0 as side, array_to_string(o[3 - s + 1:3], '|') as panels, o[3 - s + 1] as shown from h union all
+select sheet, 1, array_to_string(i[1:s], '|'), case when s > 1 then o[3 - (s - 2)] else i[s] end from h union all
+select sheet, 2, array_to_string(i[s + 1:3], '|'), case when 3 - s > 1 then o[3 - (s + 1)] else i[s + 1] end from h union all
+select sheet, 3, array_to_string(o[1:3 - s], '|'), o[3 - s] from h""")
 def sheet_sides(spark, sf_dir):
-    return O.sides_of(O.handled_sheets(_book(spark, sf_dir))).select("sheet", "side", "panels", "shown")
+    return O.sides_of(O.handled_sheets(_book(spark, sf_dir))).select("sheet", "side", F.array_join("panels", "|").alias("panels"), "shown")
 
 
 @query(f"with {BOOK_SQL} select sheet, r0[1] as a, r0[2] as b, case when sheet % 2 = 0 then -1 else 1 end as way from book union all select sheet, r1[2], r1[3], case when sheet % 2 = 0 then 1 else -1 end from book union all select sheet, r0[2], r0[3], 1 from book")
@@ -454,10 +454,10 @@ def leaves_of_order(spark, sf_dir):
     return O.leaf_table(_sheets(spark, sf_dir), "b3", "n3").drop("state")
 
 
-@query("""with v as (select distinct c_nationkey as sheet, c_custkey % 4 as leaf, c_mktsegment as value from customer where c_mktsegment in ('MACHINERY', 'BUILDING') and c_custkey % 5 <> 0) select sheet, leaf, list(value order by case value when 'MACHINERY' then 0 else 1 end) as "values" from v group by all""")
+@query("""with v as (select distinct c_nationkey as sheet, c_custkey % 4 as leaf, c_mktsegment as value from customer where c_mktsegment in ('MACHINERY', 'BUILDING') and c_custkey % 5 <> 0) select sheet, leaf, string_agg(value, '|' order by case value when 'MACHINERY' then 0 else 1 end) as "values" from v group by all""")
 def overlay_values(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") % 4).alias("leaf"), F.col("c_mktsegment").alias("value"), (F.col("c_custkey") % 5 == 0).alias("missing"))
-    return O.overlay(c, ["MACHINERY", "BUILDING"])[0]
+    return O.overlay(c, ["MACHINERY", "BUILDING"])[0].withColumn("values", F.array_join("values", "|"))
 
 
 @query("""with v as (select distinct c_nationkey as sheet, c_custkey % 4 as leaf, c_mktsegment as value from customer where c_mktsegment in ('MACHINERY', 'BUILDING') and c_custkey % 5 <> 0) select value, count(*) as leaves from v group by value""")
@@ -484,12 +484,12 @@ def searches_cleaned(spark, sf_dir):
     return U.clean_searches(p.select(F.col("p_partkey").alias("id"), name.alias("name"), F.concat(kind, "p_partkey").alias("hash")))
 
 
-@query("with s as (select c_nationkey as id, 'set-' || c_nationkey || '-x' as name, c_custkey // 2 as page, min(c_custkey) as ord from customer where c_custkey // 2 <= (select max(s_suppkey) from supplier) and c_custkey // 2 in (select s_suppkey from supplier) group by all) select id, name, list(page order by ord) as pages from s group by all")
+@query("with s as (select c_nationkey as id, 'set-' || c_nationkey || '-x' as name, c_custkey // 2 as page, min(c_custkey) as ord from customer where c_custkey // 2 <= (select max(s_suppkey) from supplier) and c_custkey // 2 in (select s_suppkey from supplier) group by all) select id, name, string_agg(cast(page as varchar), ' ' order by ord) as pages from s group by all")
 def sets_cleaned(spark, sf_dir):
     """Two customers name one page; pages that are no supplier's don't exist."""
     c = _table(spark, sf_dir, "customer")
     rows = c.select(F.col("c_nationkey").alias("id"), F.concat(F.lit(" Set "), "c_nationkey", F.lit(" X!")).alias("name"), F.expr("c_custkey div 2").alias("page"), F.col("c_custkey").alias("ord"))
-    return U.clean_sets(rows, _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page")))
+    return U.clean_sets(rows, _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"))).withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), " "))
 
 
 @query("select s_suppkey as id, '#read/o/' || s_suppkey || '/text?w=1' as hash, 'label' as label, left(trim(s_name), 2000) as note from supplier where s_suppkey % 2 = 0")

@@ -118,12 +118,12 @@ def consensus_lines(spark, sf_dir):
 
 
 @query("""with b as (select item_id, regexp_replace(lower(text), '[^a-x ]', '', 'g') as t from benchmark), ways as (select item_id, 'ZL' as witness, t from b union all select item_id, 'GC', regexp_replace(t, '(....).', '\\1', 'g') from b union all select item_id, 'IT', translate(t, 'oe', 'ao') from b)
-select item_id || '' as locus, witness, trim(regexp_replace(replace(t, ' ', '.'), '[.]+', '.', 'g'), '.') as line, false as rough from ways""")
+select item_id || '' as locus, witness, trim(regexp_replace(replace(t, ' ', '.'), '[.]+', '.', 'g'), '.') as line, true as same, false as rough from ways""")
 def witness_rebuild(spark, sf_dir):
     """Every witness's line as the record alone gives it back, and whether the record keeps it as rough; here none may be."""
     told = V.records(_witness_lines(spark, sf_dir), ALPHABET)
     tidy = F.btrim(F.regexp_replace(F.replace("rebuilt", F.lit("-"), F.lit(".")), "[.,]*([.,])", "$1"), F.lit(".,"))
-    return told.select("locus", "witness", tidy.alias("line"), "rough")
+    return told.select("locus", "witness", tidy.alias("line"), "same", "rough")
 
 
 @query()
