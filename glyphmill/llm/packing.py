@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -84,7 +84,9 @@ def pack(docs: DataFrame) -> DataFrame:
     pieces = slim.filter("size > 0").withColumn("piece", piece)
     pieces = pieces.withColumn("first_word", (F.col("piece") * CAPACITY).cast("long")).withColumn("n_words", F.least(F.col("size") - F.col("first_word"), F.lit(CAPACITY)))
     name = ["doc_id", "source", "piece", "first_word", "n_words"]
-    full = pieces.filter(F.col("n_words") == CAPACITY).select(*name, F.concat_ws("-", F.lit("full"), "row", "piece").alias("bin"), F.lit(0).alias("offset"))
+    # equal rows are told apart by number, so that reruns name bins alike
+    copy = F.row_number().over(Window.partitionBy("doc_id", "lot", "piece").orderBy("row"))
+    full = pieces.filter(F.col("n_words") == CAPACITY).withColumn("copy", copy).select(*name, F.concat_ws("-", F.lit("full"), "doc_id", F.hex("lot"), "copy", "piece").alias("bin"), F.lit(0).alias("offset"))
     deal = F.pmod(F.xxhash64("lot"), F.lit(-(-max(count, 1) // GROUP))).cast("int")
     packed = pieces.filter(F.col("n_words") < CAPACITY).withColumn("deal", deal).groupBy("deal").applyInPandas(_pack, SCHEMA)
     none = slim.filter("size = 0").select("doc_id", "source", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("int").alias("offset"))

@@ -34,7 +34,7 @@ def _below(rows: DataFrame, key: str, open_: dict[int, tuple[int, int]], group:
         wide = max(1, -(-(b - a) // PROBES))
         at, low, step = F.when(inside, i).otherwise(at), F.when(inside, F.lit(a)).otherwise(low), F.when(inside, F.lit(wide)).otherwise(step)
     rows = rows if group is None else rows.filter(F.col("key") == group)
-    told = rows.select("size", at.alias("span"), F.expr("0").alias("_"), ((F.col(key) - low) / step).cast("long").alias("rough"), F.floor((F.col(key) - low) % step).alias("_r"), (F.col(key) - low).alias("gap"), step.alias("step"))
+    told = rows.select("size", at.alias("span"), (F.col(key) - low).alias("gap"), step.alias("step"))
     told = told.filter("span is not null").withColumn("part", F.expr("gap div step")).groupBy("span", "part").agg(F.sum("size").alias("bytes"))
     held: dict[int, dict[int, int]] = {}
     for r in told.collect():  # at most PROBES rows for each span
