@@ -454,6 +454,16 @@ def leaves_of_order(spark, sf_dir):
     return O.leaf_table(_sheets(spark, sf_dir), "b3", "n3").drop("state")
 
 
+@query(f"with {SHEETS_SQL}, s as (select *, count(*) over (partition by quire) as n from sheets where order_id = 'n3') select sheet, quire as was, quire as now, case when pos = 1 then 'moved' else 'same' end as state from s where n >= 3 union all select sheet || '+', null, quire, 'new' from s where n >= 3 and pos = 2 union all select sheet || '-', quire, null, 'gone' from s where n >= 3 and pos = 3")
+def known_moves(spark, sf_dir):
+    """In every gathering of three sheets or more the first goes to the end; the others keep their order, which is the longest. One sheet is new, one is gone."""
+    one = _sheets(spark, sf_dir).filter("order_id = 'n3'").withColumn("n", F.count("*").over(Window.partitionBy("quire"))).filter("n >= 3").drop("n")
+    gone = one.filter("pos = 3").withColumns({"sheet": F.concat("sheet", F.lit("-")), "pos": F.lit(2000)})
+    new = one.filter("pos = 2").withColumns({"sheet": F.concat("sheet", F.lit("+")), "pos": F.lit(2000), "order_id": F.lit("m3")})
+    other = one.withColumn("order_id", F.lit("m3")).withColumn("pos", F.when(F.col("pos") == 1, 1000).otherwise(F.col("pos")))
+    return O.moved(one.unionByName(gone).unionByName(other).unionByName(new), "m3", "n3")
+
+
 @query("""with v as (select distinct c_nationkey as sheet, c_custkey % 4 as leaf, c_mktsegment as value from customer where c_mktsegment in ('MACHINERY', 'BUILDING') and c_custkey % 5 <> 0) select sheet, leaf, string_agg(value, '|' order by case value when 'MACHINERY' then 0 else 1 end) as "values" from v group by all""")
 def overlay_values(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") % 4).alias("leaf"), F.col("c_mktsegment").alias("value"), (F.col("c_custkey") % 5 == 0).alias("missing"))

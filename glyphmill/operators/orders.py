@@ -251,7 +251,10 @@ def contacts(panels: DataFrame) -> DataFrame:
 
 
 def _copy(book: dict) -> dict:
-    return {"gatherings": [dict(g, bifolia=list(g["bifolia"])) for g in book["gatherings"]], "unplaced": list(book.get("unplaced", []))}
+    out = {"gatherings": [dict(g, bifolia=list(g["bifolia"])) for g in book["gatherings"]], "unplaced": list(book.get("unplaced", []))}
+    if book.get("options"):
+        out["options"] = {s: dict(o) for s, o in book["options"].items()}
+    return out
 
 
 def _lift(book: dict, sheets: list[str]) -> dict:
@@ -321,6 +324,44 @@ def set_aside(book: dict, sheets: list[str]) -> dict | None:
     return _tidy(out, book)
 
 
+def move_into(book: dict, sheets: list[str], gathering: int) -> dict | None:
+    """sheets to the end of a gathering."""
+    return move(book, sheets, gathering, len(book["gatherings"][gathering]["bifolia"]))
+
+
+def group(book: dict, sheets: list[str]) -> dict | None:
+    """sheets as a gathering of their own, where the first of them stood."""
+    at = next((k for k, g in enumerate(book["gatherings"]) if set(g["bifolia"]) & set(sheets)), len(book["gatherings"]))
+    return new_gathering(book, sheets, at + 1)
+
+
+def paste(book: dict, sheets: list[str], after: str) -> dict | None:
+    """Sheets that were cut, set down behind another sheet; nothing if that isn't in a gathering or is one of them."""
+    place = next(((k, g["bifolia"].index(after)) for k, g in enumerate(book["gatherings"]) if after in g["bifolia"]), None)
+    return move(book, sheets, place[0], place[1] + 1) if place and after not in sheets else None
+
+
+def set_option(book: dict, sheet: str, option: str, value) -> dict | None:
+    """How a sheet is handled: spine, inside_out or rot180; a value of None or False takes the option away."""
+    if option not in ("spine", "inside_out", "rot180"):
+        return None
+    out = _copy(book)
+    own = dict(out.get("options", {}).get(sheet, {}))
+    own.pop(option, None)
+    if value is not None and value is not False:
+        own[option] = value
+    every = {s: o for s, o in (out.get("options", {}) | {sheet: own}).items() if o}
+    out.pop("options", None)
+    if every:
+        out["options"] = every
+    return None if out == _copy(book) else out
+
+
+def move_gathering_to(book: dict, gathering: int, before: int) -> dict | None:
+    """A gathering to stand before another one, counted before the move."""
+    return reorder(book, gathering, before - (before > gathering))
+
+
 def reorder(book: dict, gathering: int, to: int) -> dict | None:
     out = _copy(book)
     out["gatherings"].insert(max(0, min(len(out["gatherings"]) - 1, to)), out["gatherings"].pop(gathering))

@@ -112,3 +112,39 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 80
+
+
+def test_more_edits_of_a_book():
+    book = {"gatherings": [{"quire": "1", "type": "nested", "bifolia": ["a", "b", "c"]}, {"quire": "2", "type": "nested", "bifolia": ["d", "e"]}, {"quire": "3", "type": "nested", "bifolia": ["f"]}], "unplaced": []}
+    rows = lambda b: [g["bifolia"] for g in b["gatherings"]]
+    assert rows(O.move_into(book, ["a", "f"], 1)) == [["b", "c"], ["d", "e", "a", "f"]]
+    assert O.move_into(book, ["e"], 1) is None
+    made = O.group(book, ["c", "d"])
+    assert rows(made) == [["a", "b"], ["c", "d"], ["e"], ["f"]] and made["gatherings"][1]["quire"] == "New 1"
+    assert rows(O.paste(book, ["a", "e"], "f")) == [["b", "c"], ["d"], ["f", "a", "e"]]
+    assert rows(O.paste(book, ["c"], "a")) == [["a", "c", "b"], ["d", "e"], ["f"]]
+    assert O.paste(book, ["a"], "a") is None and O.paste(book, ["a"], "none") is None
+    turned = O.set_option(book, "b", "rot180", True)
+    assert turned["options"] == {"b": {"rot180": True}} and O.set_option(turned, "b", "rot180", True) is None
+    assert O.set_option(turned, "b", "rot180", False) == O._copy(book) and O.set_option(book, "b", "other", 1) is None
+    assert O.move_into(turned, ["a"], 2)["options"] == turned["options"]
+    assert rows(O.move_gathering_to(book, 0, 3)) == [["d", "e"], ["f"], ["a", "b", "c"]] and rows(O.move_gathering_to(book, 2, 0)) == [["f"], ["a", "b", "c"], ["d", "e"]]
+    assert O.move_gathering_to(book, 0, 1) is None and "options" not in book
+
+
+def test_inheritance_of_any_depth(spark):
+    n = 14
+    orders = spark.createDataFrame([("o0", None)] + [(f"o{i}", f"o{i - 1}") for i in range(1, n)], "order_id string, base string")
+    sheets = spark.createDataFrame([(f"o{i}", 1, f"q{i}", "nested", 1, f"s{i}") for i in range(n)], "order_id string, gi int, quire string, type string, pos int, sheet string")
+    told = O.resolve(orders, sheets).filter(f"order_id = 'o{n - 1}'")
+    assert {r.sheet for r in told.collect()} == {f"s{i}" for i in range(n)}
+    with pytest.raises(ValueError):
+        O.resolve(spark.createDataFrame([("a", "b"), ("b", "a")], "order_id string, base string"), sheets)
+
+
+def test_perspective_takes_corners_to_corners():
+    corners = [(1.0, 2.0), (11.0, 3.0), (12.0, 9.0), (0.0, 8.0)]
+    m = G.perspective(corners, 4, 2)
+    for (x, y), want in zip([(0, 0), (4, 0), (4, 2), (0, 2)], corners):
+        p = m @ [x, y, 1]
+        assert (p[0] / p[2], p[1] / p[2]) == pytest.approx(want)
