@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, lm_quality, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, vector_dedup
+from . import bpe_tree, conversation_repair, html_extract, language_id, lm_quality, lm_scoring, mixing, near_dedup, packing, quality_rules, sharding, token_alignment, vector_dedup
 from .common import table
 
 
@@ -60,6 +60,21 @@ def op10_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups, links and their corpus-wide counts for every row of documents; see token_alignment."""
+    return token_alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cost, audit and digest of the repair of every conv_id of conversations, after the damage."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the tokens and of what they decode to, for every row of documents."""
+    return bpe_tree.digests(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_kneser_ney_quality,
@@ -71,6 +86,15 @@ _ALL = (
     op8_stupid_backoff,
     op9_quality_rules,
     op10_spherical_cap_dedup,
+    op11_token_alignment,
+    op12_conversation_repair,
+    op13_bpe_tree,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_minhash_near_dedup": near_dedup.ORACLE, "op10_spherical_cap_dedup": vector_dedup.ORACLE, "op6_mix_sources": mixing.ORACLE, "op8_stupid_backoff": lm_scoring.ORACLE}
+ORACLES = {
+    "op1_minhash_near_dedup": near_dedup.ORACLE,
+    "op10_spherical_cap_dedup": vector_dedup.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
+    "op6_mix_sources": mixing.ORACLE,
+    "op8_stupid_backoff": lm_scoring.ORACLE,
+}
