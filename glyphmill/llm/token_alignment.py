@@ -3,10 +3,11 @@
 A is a byte-level BPE of space + text, B a sentencepiece model of text, whose own space in front makes the bytes equal;
 special tokens' strings are plain text to both. Neither has a token over a place where a visible ASCII character meets a
 space, so a text is a row of stretches between such places, and all that holds within a stretch holds wherever it
-stands: each different stretch of a slice of an Arrow batch is encoded once. DuckDB then joins the slice's two interval
-tables: an ASOF join finds the tokens that end where one of the other side does, window sums over these ends number the
-groups, a range join finds the overlaps, and those that end together are the links. Counts of id pairs in a slice are
-added up over slices in Spark, and what Spark finds goes back to the slices that have the pair, by joins.
+stands: each different stretch of a slice of an Arrow batch is encoded once. DuckDB then joins the two interval tables of
+a block of stretches: ASOF joins find the first and the last token of A that a token of B meets, a join over that range
+gives all overlaps, those that end together are the links, and window sums over their ends number the groups. Counts of
+id pairs in a slice are added up over slices in Spark, and what Spark finds goes back to the slices that have the pair,
+by joins.
 
 Nulls, empty texts and texts whose bytes either tokenizer changes (as a U+2581 is) have no tokens: zeros and an empty
 string. Ties for the best pair of a B id all count. Rows that repeat count each; a null doc_id is kept. A text of any
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,28 +30,27 @@ from . import common as C
 from . import packed as P
 
 NAME_B = "piece_bpe_32k.model"
-#: Bytes of text in a slice, the unit of work and of partial counts.
-SLICE = 8_000_000
-#: Memory that DuckDB may use in a task, where a slice's tables of different stretches are joined.
-MEMORY = "400MB"
+#: Bytes of text in a slice, the unit of partial counts; stretches whose tokens are joined at once.
+SLICE, BLOCK = 4_000_000, 40_000
+#: Memory that DuckDB may use in a task; a block needs a part of it, and nothing is written to a machine's own disk.
+MEMORY = "300MB"
 
 _SLICED = (
     "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, n_units array<int>, "
     "units binary, link_unit binary, link_pair binary, pair_a array<int>, pair_b array<int>, pair_n array<long>"
 )
 
-_ENDS = "create or replace table ends_{x} as select {x}.*, {y}.e is not distinct from {x}.e as cut from {x} asof left join {y} on {x}.e >= {y}.e"
-_GROUPS = "create or replace table groups_{x} as select *, coalesce(sum(cut::int) over (order by k rows between unbounded preceding and 1 preceding), 0) as g from ends_{x}"
+#: Tokens of B with the first and the last token of A that they meet; and all pairs that overlap.
+_MET = "create or replace temp table met as select b.k, b.unit, b.id, b.s, b.e, f.k as first, l.k as last from b asof join a f on b.s >= f.s asof join a l on b.e > l.s"
 _OVERLAPS = """
-create or replace table overlapping as
-select a.unit, a.id as a, b.id as b, least(a.e, b.e) - greatest(a.s, b.s) as shared, a.e = b.e as together from a join b on a.s < b.e and b.s < a.e"""
-_UNITS = """
-with told_a as (select g, min(unit) as unit, count(*) as n, string_agg(id::varchar, ',' order by k) as ids from groups_a group by g),
-told_b as (select g, count(*) as n, string_agg(id::varchar, ',' order by k) as ids from groups_b group by g)
-select unit, sum(a.n)::bigint as n_a, sum(b.n)::bigint as n_b, count(*) as n_groups, string_agg(a.ids || '|' || b.ids, ';' order by g) as groups
-from told_a a join told_b b using (g) group by unit order by unit"""
-_PAIRS = "create or replace table pairs as select a, b, sum(w)::bigint as n, row_number() over (order by a, b) - 1 as p from overlapping join units using (unit) where together and w > 0 group by a, b"
-_LINKS = "select unit, p from overlapping join pairs using (a, b) where together order by unit, p"
+create or replace temp table overlapping as
+select a.k as ka, m.k as kb, a.unit, a.id as a, m.id as b, least(a.e, m.e) - greatest(a.s, m.s) as shared, a.e = m.e as together
+from (select *, unnest(range(first, last + 1)) as ka from met) m join a on a.k = m.ka"""
+#: A group begins behind each end that both sides have.
+_GROUPS = """
+select coalesce(sum((o.{k} is not null)::int) over (order by {x}.k rows between unbounded preceding and 1 preceding), 0)::bigint as g
+from {x} left join (select {k} from overlapping where together) o on o.{k} = {x}.k order by {x}.k"""
+_LINKS = "select unit, a, b from overlapping where together order by ka"
 
 
 class Pieces:
@@ -66,9 +67,14 @@ class Pieces:
         self.sizes = np.array([len(t) for t in self.table])
         self.space = self.model.piece_to_id("▁")
 
-    def encode(self, stretches: list[str]) -> list[list[int]]:
-        """The pieces of stretches that begin with a space, which the model puts there itself."""
-        return [ids if len(t) > 1 else [self.space] for ids, t in zip(self.model.encode([t[1:] for t in stretches], num_threads=1), stretches, strict=True)]
+    def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of stretches that begin with a space, which the model puts there itself, and how many each has."""
+        rows = self.model.encode([t[1:] for t in stretches], num_threads=1)
+        for k, t in enumerate(stretches):
+            if len(t) == 1:
+                rows[k] = [self.space]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts
 
 
 @lru_cache(2)
@@ -105,14 +111,68 @@ def stretches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return units, np.add.reduceat(first.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64), [" " + strings[k] for k in used.tolist()]
 
 
-def _tiled(encoded: list, sizes: np.ndarray):
+def _encoded(codec: T.Codec, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A's tokens of all stretches and how many each has. Those that end in a visible ASCII character are encoded many at once: no token goes on into the next."""
+    parts: list[np.ndarray] = [np.zeros(0, np.int64)]
+    counts: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def put(row: list[str]) -> None:
+        if row:
+            ids = codec.at_once("".join(row), False)
+            cuts = np.searchsorted(np.cumsum(codec.sizes[ids]), np.cumsum([len(t.encode()) for t in row])) + 1
+            parts.append(ids)
+            counts.append(np.diff(cuts, prepend=0))
+
+    row: list[str] = []
+    size = 0
+    for t in strings:
+        if "!" <= t[-1] <= "~" and len(t) <= T.LEAF:
+            row.append(t)
+            size += len(t)
+            if size <= T.LEAF:
+                continue
+            put(row)
+        else:
+            put(row)
+            parts.append(codec.encode(t, False))
+            counts.append(np.array([len(parts[-1])]))
+        row, size = [], 0
+    put(row)
+    return np.concatenate(parts).astype(np.int64), np.concatenate(counts)
+
+
+def _unchanged(ids: np.ndarray, counts: np.ndarray, table: list[bytes], sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """For each stretch whether its tokens' bytes are its own."""
+    total = np.concatenate([[0], np.cumsum(sizes[ids])])
+    ends = np.cumsum(counts)
+    texts = [table[i] for i in ids.tolist()]
+    if (total[ends] == np.cumsum([len(r) for r in raw])).all() and b"".join(texts) == b"".join(raw):
+        return np.ones(len(raw), bool)
+    return np.array([b"".join(texts[e - n : e]) == r for n, e, r in zip(counts.tolist(), ends.tolist(), raw, strict=True)], bool)
+
+
+def _tiled(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
     """The interval table of the tokens of stretches laid end to end."""
     import pyarrow as pa
 
-    ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in encoded)])
     ends = np.cumsum(sizes[ids])
-    unit = np.repeat(np.arange(len(encoded)), [len(x) for x in encoded])
-    return pa.table({"k": np.arange(len(ids)), "unit": unit, "id": ids, "s": ends - sizes[ids], "e": ends})
+    return pa.table({"k": np.arange(len(ids)), "unit": np.repeat(np.arange(len(counts)), counts), "id": ids, "s": ends - sizes[ids], "e": ends})
+
+
+def _written(a, b, ga: np.ndarray, gb: np.ndarray, digits: list[str]) -> list[str]:
+    """Each stretch's groups as a1,a2|b1;a3|b2,b3, from both tables' tokens and their group numbers."""
+    n, m = len(ga), len(gb)
+    ids, unit, group, side = np.empty(n + m, np.int64), np.empty(n + m, np.int64), np.empty(n + m, np.int64), np.zeros(n + m, np.int64)
+    at_a, at_b = np.arange(n) + np.searchsorted(gb, ga, "left"), np.arange(m) + np.searchsorted(ga, gb, "right")
+    for at, table, g in ((at_a, a, ga), (at_b, b, gb)):
+        ids[at], unit[at], group[at] = table.column("id").to_numpy(), table.column("unit").to_numpy(), g
+    side[at_b] = 1
+    new_unit, new_group, new_side = (np.append(x[1:] != x[:-1], True) for x in (unit, group, side))
+    mark = np.where(new_unit, 0, np.where(new_group, 1, np.where(new_side, 2, 3)))
+    marks = ("", ";", "|", ",")
+    texts = [digits[i] + marks[k] for i, k in zip(ids.tolist(), mark.tolist(), strict=True)]
+    ends = np.flatnonzero(new_unit) + 1
+    return ["".join(texts[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Slice:
@@ -126,33 +186,55 @@ class Slice:
         self.units, counts, strings = stretches([texts[k] for k in given])
         self.n_units = np.zeros(len(texts), np.int64)
         self.n_units[given] = counts
-        in_a, in_b = [a.encode(t, False) for t in strings], b.encode(strings)
-        raw = [t.encode() for t in strings]
-        same = np.array([b"".join([b.table[i] for i in y]) == r and b"".join([a.table[i] for i in x]) == r for x, y, r in zip(in_a, in_b, raw, strict=True)], bool)
-        # texts that one tokenizer changes have no tokens
-        at = np.repeat(np.arange(len(texts)), self.n_units)
-        bad = np.bincount(at, weights=~same[self.units], minlength=len(texts)) > 0 if len(at) else np.zeros(len(texts), bool)
+        good = np.ones(len(strings), bool)
+        self.told: list[str] = []
+        sizes, links = [], []
+        with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""}) as con:
+            for first in range(0, len(strings), BLOCK):
+                some = strings[first : first + BLOCK]
+                raw = [t.encode() for t in some]
+                in_a, in_b = _encoded(a, some), b.encode(some)
+                same = _unchanged(*in_b, b.table, b.sizes, raw) & _unchanged(*in_a, a.table, a.sizes, raw)
+                good[first : first + len(some)] = same
+                # a stretch that a tokenizer changes has no tokens, nor has its text
+                in_a, in_b = ((ids[np.repeat(same, n)], n * same) for ids, n in (in_a, in_b))
+                block, link = self._joined(con, in_a, in_b, a, b)
+                sizes.append(block)
+                links.append(link + [[first], [0], [0]])
+        self.n_a, self.n_b, self.n_groups = np.concatenate([np.zeros((3, 0), np.int64), *sizes], axis=1)
+        self._count(good, np.concatenate([np.zeros((3, 0), np.int64), *links], axis=1), len(texts))
+
+    def _joined(self, con, in_a: tuple, in_b: tuple, a: T.Codec, b: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """n_a, n_b and n_groups of a block's stretches, and its links (unit, a, b)."""
+        tables = {"a": _tiled(*in_a, a.sizes), "b": _tiled(*in_b, b.sizes)}
+        for name, table in tables.items():
+            con.register("arrow", table)
+            con.execute(f"create or replace temp table {name} as from arrow")
+        con.execute(_MET)
+        con.execute(_OVERLAPS)
+        ga, gb = (con.sql(_GROUPS.format(x=x, k=f"k{x}")).fetchnumpy()["g"] for x in "ab")
+        link = con.sql(_LINKS).fetchnumpy()
+        n_a, n_b = in_a[1], in_b[1]
+        written = _written(tables["a"], tables["b"], ga, gb, a.digits)
+        full = iter(written)
+        self.told += [next(full) if n else "" for n in n_a.tolist()]
+        ends = np.cumsum(n_a)[n_a > 0] - 1
+        n_groups = np.zeros(len(n_a), np.int64)
+        n_groups[n_a > 0] = np.diff(np.concatenate([[0], ga[ends] + 1])) if len(ends) else 0
+        return np.stack([n_a, n_b, n_groups]), np.stack([link[c].astype(np.int64) for c in ("unit", "a", "b")])
+
+    def _count(self, good: np.ndarray, links: np.ndarray, n_texts: int) -> None:
+        at = np.repeat(np.arange(n_texts), self.n_units)
+        bad = np.bincount(at, weights=~good[self.units], minlength=n_texts) > 0 if len(at) else np.zeros(n_texts, bool)
         self.units = self.units[~bad[at]]
         self.n_units[bad] = 0
-        weight = np.bincount(self.units, minlength=len(strings))
-        good = np.flatnonzero(weight)
-        number = np.full(len(strings), -1)
-        number[good] = np.arange(len(good))
-        self.units = number[self.units].astype(np.int32)
-        with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY}) as con:
-            for name, tokens, sizes in (("a", in_a, a.sizes), ("b", in_b, b.sizes)):
-                con.register(f"arrow_{name}", _tiled([tokens[k] for k in good.tolist()], sizes))
-                con.execute(f"create table {name} as from arrow_{name}")
-            con.register("arrow_units", _weights(weight[good]))
-            con.execute("create table units as from arrow_units")
-            for x, y in ("ab", "ba"):
-                con.execute(_ENDS.format(x=x, y=y))
-                con.execute(_GROUPS.format(x=x))
-            con.execute(_OVERLAPS)
-            con.execute(_PAIRS)
-            self.told = con.sql(_UNITS).to_arrow_table()
-            self.pairs = con.sql("select a, b, n from pairs order by p").to_arrow_table()
-            self.links = con.sql(_LINKS).to_arrow_table()
+        weight = np.bincount(self.units, minlength=len(good))
+        links = links[:, weight[links[0]] > 0]
+        key, self.link_pair = np.unique(links[1] << 32 | links[2], return_inverse=True)
+        self.link_unit = links[0]
+        self.pair_a, self.pair_b = key >> 32, key & (2**32 - 1)
+        self.pair_n = np.bincount(self.link_pair, weights=weight[links[0]], minlength=len(key)).astype(np.int64)
+        self.n_links = np.bincount(self.link_unit, minlength=len(good))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """For each text the sum of its stretches' values."""
@@ -160,16 +242,9 @@ class Slice:
 
     def groups(self):
         """For each text its groups, as a1,a2|b1;a3|b2,b3."""
-        told = self.told.column("groups").to_pylist()
-        ends = np.cumsum(self.n_units)
+        rows, ends = [self.told[u] for u in self.units.tolist()], np.cumsum(self.n_units)
         for n, e in zip(self.n_units.tolist(), ends.tolist(), strict=True):
-            yield ";".join([told[u] for u in self.units[e - n : e].tolist()])
-
-
-def _weights(weight: np.ndarray):
-    import pyarrow as pa
-
-    return pa.table({"unit": np.arange(len(weight)), "w": weight.astype(np.int64)})
+            yield ";".join(rows[e - n : e])
 
 
 def summed(values: np.ndarray, units: np.ndarray, n_units: np.ndarray) -> np.ndarray:
@@ -194,10 +269,8 @@ def _slices(batches, path_a, path_b):
         for rows in C.parts(batch, SLICE):
             s = Slice(rows.column("text").to_pylist(), path_a, path_b)
             sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in s.groups()]
-            link_unit, link_pair = (_array(s.links, n) for n in ("unit", "p"))
-            n_links = np.bincount(link_unit, minlength=s.told.num_rows)
-            row = [chunk, rows.column("doc_id").to_pylist(), *(s.sums(_array(s.told, n)) for n in ("n_a", "n_b", "n_groups")), s.sums(n_links), sha, s.n_units.astype(np.int32)]
-            row += [P.squeezed(s.units.tobytes()), P.planes(link_unit.astype(np.int32)), P.planes(link_pair.astype(np.int32)), *(_array(s.pairs, n) for n in "abn")]
+            row = [chunk, rows.column("doc_id").to_pylist(), *(s.sums(x) for x in (s.n_a, s.n_b, s.n_groups, s.n_links)), sha, s.n_units.astype(np.int32)]
+            row += [P.squeezed(s.units.astype(np.int32).tobytes()), P.planes(s.link_unit.astype(np.int32)), P.planes(s.link_pair.astype(np.int32)), s.pair_a, s.pair_b, s.pair_n]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
             chunk += 1
 
