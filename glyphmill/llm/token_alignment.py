@@ -162,6 +162,8 @@ def _tiled(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
 def _written(a, b, ga: np.ndarray, gb: np.ndarray, digits: list[str]) -> list[str]:
     """Each stretch's groups as a1,a2|b1;a3|b2,b3, from both tables' tokens and their group numbers."""
     n, m = len(ga), len(gb)
+    if not n:
+        return []
     ids, unit, group, side = np.empty(n + m, np.int64), np.empty(n + m, np.int64), np.empty(n + m, np.int64), np.zeros(n + m, np.int64)
     at_a, at_b = np.arange(n) + np.searchsorted(gb, ga, "left"), np.arange(m) + np.searchsorted(ga, gb, "right")
     for at, table, g in ((at_a, a, ga), (at_b, b, gb)):
