@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return put
 
 
-from glyphmill import catalog_orders, catalog_search, catalog_tokens, catalog_text, catalog_more  # noqa: E402,F401
+from glyphmill import catalog_orders, catalog_search, catalog_tokens, catalog_text, catalog_more, catalog_places  # noqa: E402,F401

@@ -87,6 +87,50 @@ def search_regex(spark, sf_dir):
     return S.counts(C.loci(spark, sf_dir), compile_query(parse("/th[ei]n+/")))
 
 
+@query(HITS_SQL + "regexp_full_match(s, 'th(?:c[ktpf]h|[cs]h|[a-z])')")
+def search_any_glyph(spark, sf_dir):
+    """? is one glyph: a letter, or two or three that are written as one."""
+    return _hits(spark, sf_dir, "th?").select(*HIT)
+
+
+@query(HITS_SQL + "regexp_full_match(s, '(?:ch|sh)[^.,]*(?:k|t|p|f)')")
+def search_class(spark, sf_dir):
+    return _hits(spark, sf_dir, "<bench>*<gallows>").select(*HIT)
+
+
+RARE_SQL = f"with {LOCI_SQL.replace('loci as (', 'plain as (', 1)}, loci as (select * replace (replace(line, 'q', '@169;') as line) from plain), {TOKENS_SQL}"
+
+
+@query(RARE_SQL + " select page, num, cast(start as int) as start, cast(length(s) as int) as len, s as match from words where s like '@169;u%'")
+def search_rare_glyph(spark, sf_dir):
+    """The letter q plays a rare glyph."""
+    lines = C.loci(spark, sf_dir).withColumn("line", F.replace("line", F.lit("q"), F.lit("@169;")))
+    return S.search(lines, "@169;u*", SPACE).select(*HIT)
+
+
+def _counted(pattern):
+    return f"with {LOCI_SQL} select page, num, cast(len(regexp_extract_all(line, '{pattern}')) as bigint) as hits from loci where regexp_matches(line, '{pattern}')"
+
+
+@query(_counted("o,?n,?t,?h,?e"))
+def search_join_none(spark, sf_dir):
+    """on-the: run together, but for uncertain spaces."""
+    return _hits(spark, sf_dir, "on-the", Reading()).groupBy("page", "num").agg(F.count("*").alias("hits"))
+
+
+@query(_counted("o,?f[.,]t,?h,?e"))
+def search_join_across(spark, sf_dir):
+    """of_the: a space of either kind between."""
+    return _hits(spark, sf_dir, "of_the", Reading()).groupBy("page", "num").agg(F.count("*").alias("hits"))
+
+
+@query(_counted("(?:an|in)[.,]the"))
+def search_bounded(spark, sf_dir):
+    """A search that ends: the walk over a line is given up after so long."""
+    hits = S.search(C.loci(spark, sf_dir), "/(?:an|in)[.,]the/", SPACE, seconds=60)
+    return hits.groupBy("page", "num").agg(F.count("*").alias("hits"))
+
+
 @query(f"""with {LOCI_SQL}, h as (select page, num, line, unnest(range(length(line))) as start from loci where regexp_matches(line, 'oo|ee|tt|ss'))
 select page, num, cast(start as int) as start, 2 as len, substr(line, cast(start as int) + 1, 2) as match from h where substr(line, cast(start as int) + 1, 2) in ('oo', 'ee', 'tt', 'ss') and substr(line, cast(start as int), 1) <> substr(line, cast(start as int) + 1, 1)
 union all select page, num, cast(start as int), 2, substr(line, cast(start as int) + 1, 2) from h where substr(line, cast(start as int) + 1, 2) in ('oo', 'ee', 'tt', 'ss') and start > 0 and substr(line, cast(start as int), 1) = substr(line, cast(start as int) + 1, 1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.distances import near_cost
-from glyphmill.plans.language import KINDS, Query, Reading, compile_query, near_pattern, parse
+from glyphmill.plans.language import KINDS, Query, QueryError, Reading, compile_query, near_pattern, parse
 from glyphmill.sources.corpus import numbered_by
 
 
@@ -65,6 +65,42 @@ def matches_python(lines: DataFrame, pattern: str) -> DataFrame:
     return lines.mapInArrow(scan, schema)
 
 
+class SearchTooLong(QueryError):
+    """A pattern that runs away on some line."""
+
+
+def matches_within(lines: DataFrame, pattern: str, seconds: float) -> DataFrame:
+    """The same rows, by a matcher that gives up: SearchTooLong in a task whose walk over one line takes so many seconds.
+
+    A Java matcher hears neither a job's cancellation nor an interrupt, so a pattern that backtracks without end would
+    hold its executor's core; this one looks at the clock itself. pattern is in Python's dialect.
+    """
+    from glyphmill.functions.shipping import ship
+
+    ship(lines.sparkSession)
+
+    def scan(batches):
+        import pyarrow as pa
+        import regex
+
+        compiled = regex.compile(pattern)
+        for batch in batches:
+            rows, starts, found = [], [], []
+            for i, line in enumerate(batch.column("line").to_pylist()):
+                try:
+                    hits = [m for m in compiled.finditer(line or "", timeout=seconds) if m.end() > m.start()]
+                except TimeoutError:
+                    raise SearchTooLong(f"This search took more than {seconds:g} seconds on one line; a simpler pattern, or fewer stars, will be quicker") from None
+                rows += [i] * len(hits)
+                starts += [m.start() for m in hits]
+                found += [m[0] for m in hits]
+            out = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(starts, pa.int32()), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int32())], [*out.schema.names, "start", "match", "len"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema) + ", start int, match string, len int"
+    return lines.mapInArrow(scan, schema)
+
+
 def counts(lines: DataFrame, pattern: str) -> DataFrame:
     """page and its number of matches, without offsets."""
     return lines.groupBy("page").agg(F.sum(F.regexp_count("line", F.lit(pattern))).alias("n")).filter("n > 0")
@@ -81,10 +117,11 @@ def near_words(lines: DataFrame, word: str, near: int) -> DataFrame:
     return close.select("w", near_cost(bare, word).alias("cost")).filter(F.col("cost") <= near)
 
 
-def search(lines: DataFrame, query: str | Query, reading: Reading = Reading(), facts: DataFrame | None = None, order: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+def search(lines: DataFrame, query: str | Query, reading: Reading = Reading(), facts: DataFrame | None = None, order: DataFrame | None = None, sets: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
     """The hits of query on lines(page, num, line, kind, ps), with start, len and match.
 
-    facts(page, scribe, section, lang, quire), order(page, pos) and sets(name, page) are what filters look into.
+    facts(page, scribe, section, lang, quire), order(page, pos) and sets(name, page) are what filters look into. With
+    seconds, a walk over one line that takes longer ends in SearchTooLong.
     """
     query = parse(query) if isinstance(query, str) else query
     first, last = [f for f in query.filters if f[0] != "at"], [f for f in query.filters if f[0] == "at"]
@@ -94,10 +131,10 @@ def search(lines: DataFrame, query: str | Query, reading: Reading = Reading(), f
         near = [r["w"] for r in near_words(lines, word, reading.near).orderBy("cost", "w").collect()]  # distinct spellings within two edits of a word
         pattern = near_pattern(near, word)
     else:
-        pattern = compile_query(query, reading)
+        pattern = compile_query(query, reading, "java" if seconds is None else "python")
     if pattern is None:
         return lines.filter(F.lit(False)).select("*", F.lit(0).alias("start"), F.lit("").alias("match"), F.lit(0).alias("len"))
-    hits = matches(lines, pattern)
+    hits = matches(lines, pattern) if seconds is None else matches_within(lines, pattern, seconds)
     for _, value in last:
         hits = hits.filter(at_place(value))
     return hits
