@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from glyphmill.catalog import query
 from glyphmill.functions.shipping import stored
 from glyphmill.operators import boxes as B
+from glyphmill.operators import comparison as M
 from glyphmill.operators import consensus as V
 from glyphmill.operators import folds as L
 from glyphmill.operators import shapes as H
+from glyphmill.operators import sheets as T
 from glyphmill.operators import spatial as G
 
 # an order is a sheet of one leaf, its line items the pieces from the spine outward: as wide as the quantity, folded by
@@ -299,3 +301,83 @@ def word_shapes(spark, sf_dir):
     arc = (F.hypot(p(0) - 500, p(1) - 500) <= 5) & (F.abs((p(2) + p(3)) / 2 - 300) <= 12) & (F.abs(G.wrapped((p(4) + p(5)) / 2 - F.col("mid"))) <= 3)
     turned = F.abs(G.wrapped(F.col("angle") - F.when(kind == 1, F.col("ray")).otherwise(15.0))) <= 3
     return out.select("page", "word", "shape", "est", F.when(F.col("shape") == "a", arc).when(F.col("shape") == "o", turned).otherwise(F.col("angle") == 0).alias("close"))
+
+
+# an order is a line, an item a word of two letters that stand nowhere else in it. Two transcriptions lack every tenth
+# line, drop some second letters, have a 7 for others, and leave out some spaces
+LINES_SQL = """told as (select l_orderkey as k, o_custkey as page, o_orderpriority as section, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 as j from lineitem join orders on o_orderkey = l_orderkey),
+items as (select t.*, m, name, chr(cast(97 + 2 * j as int)) as x, chr(cast(98 + 2 * j as int)) as y, case when j = 0 then '' when (k + j) % 4 = 0 then ',' else '.' end as sep from told t, (values (0, 'VT'), (1, 'RF')) v(m, name)),
+lines as (select name, page, section, k as locus, m, string_agg(sep || x || y, '' order by j) as c,
+  string_agg(case when (k + 2 * j + m) % 7 = 0 then '' else sep end || x || case when (k * 3 + j + m) % 5 = 0 then '' when (k + j * 2 + m) % 9 = 0 then '7' else y end, '' order by j) as whole from items group by all),
+pairs as (select *, case when (locus + m) % 10 = 0 then null else whole end as o from lines),
+split as (select *, list_filter(regexp_split_to_array(c, '[.,]'), lambda w: w <> '') as cw, list_filter(regexp_split_to_array(o, '[.,]'), lambda w: w <> '') as ow,
+  list_filter(string_split(replace(c, ',', ''), '.'), lambda w: w <> '') as cj, list_filter(string_split(replace(o, ',', ''), '.'), lambda w: w <> '') as oj, regexp_replace(c, '[.,]', '', 'g') as cb, regexp_replace(o, '[.,]', '', 'g') as ob from pairs),
+facts as (select name, page, section, locus, o is null as missing, len(cw) as words, cw = ow as same, cj = ow as joined_same, cb = ob as same_glyphs, len(list_filter(string_split(cb, ''), lambda g: contains(ob, g))) as match, greatest(length(cb), length(ob)) as glyphs,
+  len(list_filter(cw, lambda w: not list_contains(ow, w))) as differ, len(cj) as joined_words, len(list_filter(cj, lambda w: not list_contains(oj, w))) as joined_differ from split)"""
+_SUMS = ", ".join(f"cast(coalesce(sum({c}) filter (not missing), 0) as bigint) as {c}" for c in ("words", "differ", "joined_words", "joined_differ", "glyphs", "match"))
+TOTALS_SQL = f"""count(*) filter (not missing) as loci, count(*) filter (missing) as loci_missing, cast(coalesce(sum(words) filter (missing), 0) as bigint) as missing_words,
+  count(*) filter (same) as same, count(*) filter (joined_same) as joined_same, count(*) filter (same_glyphs) as same_glyphs, {_SUMS} from facts"""
+
+
+def _two_readings(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("page"), F.col("o_orderpriority").alias("section"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    names = F.explode(F.array(F.struct(F.lit(0).alias("m"), F.lit("VT").alias("name")), F.struct(F.lit(1).alias("m"), F.lit("RF").alias("name")))).alias("v")
+    told = li.withColumn("j", j).select(F.col("l_orderkey").alias("k"), "page", "section", "j", names).select("k", "page", "section", "j", "v.m", "v.name")
+    k, j, m = F.col("k"), F.col("j"), F.col("m")
+    x, y = F.char(97 + 2 * j), F.char(98 + 2 * j)
+    sep = F.when(j == 0, "").when((k + j) % 4 == 0, ",").otherwise(".")
+    other = F.concat(F.when((k + 2 * j + m) % 7 == 0, "").otherwise(sep), x, F.when((k * 3 + j + m) % 5 == 0, "").when((k + j * 2 + m) % 9 == 0, "7").otherwise(y))
+    items = told.select("name", "page", "section", F.col("k").alias("locus"), "m", F.struct("j", F.concat(sep, x, y).alias("c"), other.alias("o")).alias("i"))
+    lines = items.groupBy("name", "page", "section", "locus", "m").agg(F.array_sort(F.collect_list("i")).alias("i"))
+    joined = lambda c: F.array_join(F.transform("i", lambda i: i[c]), "")
+    return lines.select("name", "page", "section", "locus", joined("c").alias("c"), F.when((F.col("locus") + F.col("m")) % 10 != 0, joined("o")).alias("o"))
+
+
+@query(f"with {LINES_SQL} select name, section, {TOTALS_SQL} group by name, section")
+def comparison_by_section(spark, sf_dir):
+    return M.totals(M.compared(_two_readings(spark, sf_dir)), "name", "section")
+
+
+@query(f"with {LINES_SQL} select name, page, section, {TOTALS_SQL} group by name, page, section")
+def comparison_by_page(spark, sf_dir):
+    return M.totals(M.compared(_two_readings(spark, sf_dir)), "name", "page", "section")
+
+
+_PERCENT = "case when {w} > 0 then ((2000 * {p} + {w}) // (2 * {w})) // 10 || '.' || ((2000 * {p} + {w}) // (2 * {w})) % 10 || '%' else '-' end"
+_CELLS = ", ".join(f"('{label}', {k}, " + (f"{p}::varchar" if w is None else _PERCENT.format(p=p, w=w)) + ")" for k, (label, p, w) in enumerate(M.ROWS, 1))
+
+
+@query(f"with {LINES_SQL}, t as (select name, {TOTALS_SQL} group by name), c as (select name, v.label as measure, cast(v.k as int) as row, v.v from t, lateral (values {_CELLS}) v(label, k, v)) select row, measure, max(v) filter (name = 'VT') as VT, max(v) filter (name = 'RF') as RF from c group by row, measure")
+def comparison_table(spark, sf_dir):
+    """The first table of the report, read back from its lines."""
+    facts = stored(M.compared(_two_readings(spark, sf_dir)), "compared")
+    lines = M.comparison_report(facts, ["VT", "RF"], "The record against two transcriptions")
+    cells = F.split("value", r" ?\| ?")
+    first = lines.filter(F.col("row").between(7, 12)).select((F.col("row") - 6).cast("int").alias("row"), cells.alias("c"))
+    return first.select("row", F.get("c", F.lit(1)).alias("measure"), F.get("c", F.lit(2)).alias("VT"), F.get("c", F.lit(3)).alias("RF"))
+
+
+# a customer is a sheet, its orders lines of words of twenty letters, read off the sheet order by order: some second words
+# are read as two, some fourth and fifth as one, some third not at all, and of every eleventh line nothing
+SHEET_SQL = """told as (select o_custkey as page, l_orderkey as line, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos,
+  count(*) over (partition by l_orderkey) as n from lineitem join orders on o_orderkey = l_orderkey),
+kinds as (select *, case when line % 11 = 0 then 'none' when pos = 2 and n >= 3 and line % 3 = 0 then 'split' when pos in (4, 5) and n >= 5 and line % 5 = 0 then 'join' when pos = 3 and line % 7 = 3 then 'none' else 'whole' end as kind from told)"""
+
+
+@query(f"""with {SHEET_SQL} select page, line, cast(pos as int) as pos, case when kind = 'join' then [line || ':4:0'] when kind = 'split' then [line || ':2:0', line || ':2:1'] else [line || ':' || pos || ':0'] end as readings, kind,
+  case when kind = 'join' and pos = 5 then 0.5 else 0.0 end::double as first, case when kind = 'join' and pos = 4 then 0.5 else 1.0 end::double as last from kinds where kind <> 'none'""")
+def sheet_matched(spark, sf_dir):
+    words = _page_words(spark, sf_dir).select("page", "line", "pos", "n", _letters("line", "pos").alias("text"))
+    line, pos = F.col("line"), F.col("pos")
+    kind = F.when(line % 11 == 0, "none").when((pos == 2) & (F.col("n") >= 3) & (line % 3 == 0), "split").when(pos.isin(4, 5) & (F.col("n") >= 5) & (line % 5 == 0), "join").when((pos == 3) & (line % 7 == 3), "none").otherwise("whole")
+    row = F.dense_rank().over(Window.partitionBy("page").orderBy("line"))
+    words = words.withColumns({"kind": kind, "y": 100.0 * row, "next": F.lead("text").over(Window.partitionBy("line").orderBy("pos"))})
+    half = lambda k: F.struct(F.lit(k).alias("part"), F.substring("text", 1 + 10 * k, 10).alias("text"))
+    whole = lambda t: F.array(F.struct(F.lit(0).alias("part"), t.alias("text")))
+    parts = F.when(F.col("kind") == "split", F.array(half(0), half(1))).when(F.col("kind") == "join", F.when(pos == 4, whole(F.concat("text", "next"))).otherwise(F.array())).when(F.col("kind") == "whole", whole(F.col("text"))).otherwise(F.array())
+    read = words.select("page", F.md5(line.cast("string").cast("binary")).alias("run"), "line", "pos", "y", F.explode(parts).alias("p"))
+    read = read.select("page", "run", (pos * 2 + F.col("p.part")).alias("at"), F.concat_ws(":", "line", "pos", "p.part").alias("id"), "p.text", (40.0 * pos).alias("x"), "y", F.lit(None).cast("string").alias("region"))
+    placed = words.select("page", "line", "pos", "text", F.lit(100.0).alias("x"), "y", F.lit(None).cast("double").alias("sure"), F.lit(None).cast("string").alias("region"))
+    return T.match_sheet(placed, read)

@@ -279,6 +279,7 @@ def match_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     def one(left, right):
         import pyarrow as pa
 
+        right = right.rename_columns([c.removesuffix("_") for c in right.column_names])
         left, right = left.sort_by([("line", "ascending"), ("pos", "ascending")]), right.sort_by("box")
         cols = lambda t, names: list(zip(*(t.column(n).to_pylist() for n in names), strict=True))
         rows = [(line, pos, text or "", label) for line, pos, text, label in cols(left, ("line", "pos", "text", "label"))]
@@ -288,7 +289,8 @@ def match_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
         keys = [left.column(n).take(at) for n in ("page", "line", "pos")]
         return pa.Table.from_arrays([*keys, pa.array([[box[x] for x in xs] for _, xs, _ in told], pa.list_(right.schema.field("box").type)), pa.array([h for *_, h in told], pa.string())], ["page", "line", "pos", "boxes", "how"])
 
-    right = boxes.select(F.col("page").alias("page_"), "box", "text", "x", "y", "h")
+    # under names of their own, also where boxes are made from words
+    right = boxes.select(*(F.col(c).alias(f"{c}_") for c in ("page", "box", "text", "x", "y", "h")))
     out = f"page {kinds['page']}, line {kinds['line']}, pos {kinds['pos']}, boxes array<{boxes.schema['box'].dataType.simpleString()}>, how string"
     left, right = spread(words.select("page", "line", "pos", "text", "label"), "page"), spread(right, "page_")
     return left.groupBy("page").cogroup(right.groupBy("page_")).applyInArrow(one, out)

@@ -7,12 +7,15 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill.functions.distances import likeness
 from glyphmill.functions.glyphs import glyph_map
+from glyphmill.operators import comparison as M
 from glyphmill.operators import boxes as B
 from glyphmill.operators import consensus as V
 from glyphmill.operators import folds as L
 from glyphmill.operators import search as S
 from glyphmill.operators import shapes as H
+from glyphmill.operators import sheets as T
 from glyphmill.plans.language import LONGEST, QueryError, parse
 
 
@@ -156,3 +159,40 @@ def test_a_search_that_runs_away_ends(spark):
     assert [(r.page, r.start, r.match) for r in hits if r.page == 2] == [(r.page, r.start, r.match) for r in S.search(lines, "/(?<x>[aeh])/").select("page", "start", "match").collect() if r.page == 2]
     with pytest.raises(QueryError, match=str(LONGEST)):
         parse("a" * (LONGEST + 1))
+
+
+def test_likes_and_alignment_of_sheets():
+    rng = random.Random(8)
+    a, b = (["".join(rng.choices("ab?*", (6, 6, 1, 1), k=rng.randint(0, 5))) for _ in range(25)] for _ in range(2))
+    d = T.likes(a, b)
+    assert all(abs(d[i, j] - likeness(x, y)) < 1e-9 for i, x in enumerate(a) for j, y in enumerate(b))
+    import numpy as np
+
+    for _ in range(100):
+        t = np.array([[rng.choice((1.0, 0.8, 0.6, 0.1)) for _ in range(rng.randint(1, 1) + 4)] for _ in range(4)])
+        h = np.zeros((5, 6))
+        for i in range(4):
+            for j in range(5):
+                w = 2.0 if t[i, j] == 1 else 1.2 if t[i, j] >= 0.75 else 0.5 if t[i, j] >= 0.6 else -1.0
+                h[i + 1, j + 1] = max(0, h[i, j] + w, h[i, j + 1] - 0.8, h[i + 1, j] - 0.8)
+        score, pairs = T.aligned(t)
+        assert abs(score - h.max()) < 1e-9 and all(p < q and r < s for (p, r), (q, s) in itertools.pairwise(pairs))
+
+
+def test_sheet_words_joined_split_and_far_away(spark):
+    words = [("s", 1, 0, "abcdefgh", 0.0, 0.0), ("s", 1, 1, "ijklmnop", 0.0, 0.0), ("s", 1, 2, "qrstuvwx", 0.0, 0.0), ("s", 1, 3, "yzabxcdu", 0.0, 0.0), ("s", 2, 0, "mmmmoooo", 0.0, 100.0), ("s", 3, 0, None, None, None)]
+    read = [("s", "p", 0, 10, "abcdefgh", 0.0, 0.0), ("s", "p", 1, 11, "ijklmnopqrstuvwx", 10.0, 0.0), ("s", "p", 2, 12, "yzab", 20.0, 0.0), ("s", "p", 3, 13, "xcdu", 30.0, 0.0), ("s", "q", 0, 14, "mmmmoooo", 5000.0, 0.0), ("s", "r", 0, 15, "mmmmooox", 10.0, 90.0)]
+    w = spark.createDataFrame([(*x, None, None) for x in words], "page string, line int, pos int, text string, x double, y double, sure double, region string")
+    r = spark.createDataFrame([(*x, None) for x in read], "page string, run string, at int, id int, text string, x double, y double, region string")
+    told = {(t.line, t.pos): (t.readings, t.kind, t.first, t.last) for t in T.match_sheet(w, r).collect()}
+    assert told == {(1, 0): ([10], "whole", 0.0, 1.0), (1, 1): ([11], "join", 0.0, 0.5), (1, 2): ([11], "join", 0.5, 1.0), (1, 3): ([12, 13], "split", 0.0, 1.0), (2, 0): ([15], "whole", 0.0, 1.0)}
+
+
+def test_comparison_of_lines(spark):
+    rows = [("VT", "f1", "Herbal", "a", "qo.ke,dy.chol", "qo.kedy.chor"), ("VT", "f1", "Herbal", "b", "daiin", None), ("VT", "f2", "Stars", "c", "a.b", "a.b"), ("VT", "f2", "Stars", "d", "sho", "sh@221;")]
+    facts = M.compared(spark.createDataFrame(rows, "name string, page string, section string, locus string, c string, o string"))
+    by = {r.locus: r for r in facts.collect()}
+    assert (by["a"].words, by["a"].differ, by["a"].joined_words, by["a"].joined_differ, by["a"].match, by["a"].glyphs) == (4, 3, 3, 1, 9, 10) and by["b"].missing and by["c"].same
+    assert {r.kind: r.n for r in M.kinds(facts).collect()} == {"glyphs": 3, "inbetween": 1}
+    lines = [r.value for r in M.comparison_report(facts, ["VT"], "T").orderBy("row").collect()]
+    assert lines[0] == "# T" and "| loci it lacks | 1 |" in lines and "| words that differ | 4 (" not in lines and "| Herbal | 4 | 3 | 75.0% |" in lines
