@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.catalog import query
-from glyphmill.functions.shipping import stored
+from glyphmill.functions.shipping import spread, stored
 from glyphmill.operators import boxes as B
 from glyphmill.operators import comparison as M
 from glyphmill.operators import consensus as V
@@ -381,3 +381,49 @@ def sheet_matched(spark, sf_dir):
     read = read.select("page", "run", (pos * 2 + F.col("p.part")).alias("at"), F.concat_ws(":", "line", "pos", "p.part").alias("id"), "p.text", (40.0 * pos).alias("x"), "y", F.lit(None).cast("string").alias("region"))
     placed = words.select("page", "line", "pos", "text", F.lit(100.0).alias("x"), "y", F.lit(None).cast("double").alias("sure"), F.lit(None).cast("string").alias("region"))
     return T.match_sheet(placed, read)
+
+
+# a customer is a line of eight letters in an order of its own, with ab in the middle, told by four witnesses; one of them
+# adds a letter, three do, two read another, one leaves one out, writes one for two, or adds letters with a space between
+VARIANTS = V.Alphabet({chr(65 + i) + "1": chr(97 + i) for i in range(24)}, strokes={chr(65 + i) + "1": f"{chr(97 + i)}1" for i in range(24)} | {"A1": "s1", "B1": "t1", "C1": "s1:t1"})
+_N = "substr('efghijklefghijkl', 1 + cast(k % 8 as int) + {a}, {m})"
+
+
+def _n(a, m=2):
+    return _N.format(a=a, m=m)
+
+
+# by case: what stands after the third letter for ZL, GC, IT and FG, then what the consensus and its apparatus have
+VARIANTS_SQL = f"""w as (select c_custkey as k, c_custkey % 6 as kind from customer),
+m as (select k, kind, {_n(0)} || '.' || {_n(2, 1)} || 'ab' || {_n(3, 1)} || {_n(4, 1)} || ',' || {_n(5, 1)} || '.' || {_n(6)} as plain,
+  {_n(0)} || '.' || {_n(2, 1)} || 'abx' || {_n(3, 1)} || {_n(4, 1)} || ',' || {_n(5, 1)} || '.' || {_n(6)} as added, {_n(2, 1)} as third, {_n(4, 1)} as fifth from w)"""
+
+
+@query(f"""with {VARIANTS_SQL}, told as (select cast(k as varchar) as locus, case when kind = 1 then added else plain end as c, case kind
+    when 0 then '6:0:m:=3(ZL IT FG)|x=1(GC)' when 1 then '6:1:m:x=3(GC IT FG)|=1(ZL)' when 2 then '7:1:t:' || fifth || '=2(ZL GC)|o=2(IT FG)' when 3 then '3:1:m:' || third || '=3(ZL GC FG)|=1(IT)'
+    when 4 then '4:2:m:ab=3(ZL IT FG)|c=1(GC)' else '6:0:m:=3(ZL GC IT)|xw=1(FG)' end as units, kind from m)
+select locus, v.w as witness, c, units, kind = 5 and v.w = 'FG' as rough from told, (values ('ZL'), ('GC'), ('IT'), ('FG')) v(w)""")
+def consensus_of_variants(spark, sf_dir):
+    k = F.col("c_custkey")
+    kind = k % 6
+    n = lambda a, m=2: F.substring(F.lit("efghijklefghijkl"), 1 + (k % 8).cast("int") + a, F.lit(m))
+    say = lambda third, ab, more, fifth: F.concat(n(0), F.lit("."), third, ab, more, n(3, 1), fifth, F.lit(","), n(5, 1), F.lit("."), n(6))
+    one, none = lambda case, x, y: F.when(kind == case, x).otherwise(y), F.lit("")
+    third, ab, fifth = n(2, 1), F.lit("ab"), n(4, 1)
+    x = one(1, F.lit("x"), none)
+    texts = {
+        "ZL": say(third, ab, none, fifth),
+        "GC": say(third, one(4, F.lit("c"), ab), F.when(kind == 0, "x").otherwise(x), fifth),
+        "IT": say(one(3, none, third), ab, x, one(2, F.lit("o"), fifth)),
+        "FG": say(third, ab, F.when(kind == 5, "x.w").otherwise(x), one(2, F.lit("o"), fifth)),
+    }
+    coded = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.when(c.isin(".", ","), c).when(c == "", "").otherwise(F.concat(F.upper(c), F.lit("1")))), "")
+    ways = F.array(*(F.struct(F.lit(w).alias("w"), coded(t).alias("t")) for w, t in texts.items()))
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("locus"), F.explode(ways).alias("x")).select("locus", F.col("x.w").alias("witness"), F.col("x.t").alias("text"))
+    told = V.records(spread(lines, "locus"), VARIANTS)
+    unit = "array<struct<off:int,len:int,status:string,rows:array<array<string>>>>"
+    u = F.from_json("record", f"u {unit}")["u"]
+    reading = lambda r: F.concat(F.get(r, F.lit(0)), F.lit("="), F.get(r, F.lit(1)).cast("double").cast("int").cast("string"), F.lit("("), F.get(r, F.lit(2)), F.lit(")"))
+    units = F.array_join(F.transform(u, lambda x: F.concat_ws(":", x["off"], x["len"], x["status"], F.array_join(F.transform(x["rows"], reading), "|"))), ";")
+    # what is rebuilt is the witness's line, or the record keeps the line
+    return told.filter(F.col("same") != F.col("rough")).select("locus", "witness", "c", units.alias("units"), "rough")
