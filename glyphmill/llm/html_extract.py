@@ -5,25 +5,32 @@ each with its path and a hash. A token's occurrence vector is its count on every
 count * hash(page), which partitions can add up, so no host's pages ever meet in one task. Tokens with equal vectors form
 a class. Every page is parsed once; what later steps need of it is stored.
 
-1. The class of the page itself, once on every page, is the host's root template. Its texts are template text if the
-   class is no accident: a text that a share q of pages has anyway (measured on the hosts that don't have it throughout,
-   CHANCE at least) is on all n pages of a host with probability q ** n, which must be at most ACCIDENT.
-2. The containers of that class nest by their paths, and what lies between them are slots. Free text is what is neither
-   a text of that class nor a link's. The main slot is reached from the top by going into the container that holds MOST of the
-   free text, summed over the host's pages, as long as there is one. Headings that stand before it, beside the
-   containers that lead to it, belong to it.
-3. Classes of tag tokens that repeat on a page and nest in the main slot are records: RECORD or more tokens of one vector,
+1. Classes count that are once on each page that has them, on SUPPORT of the host's pages at least and on two or more;
+   pages without a tag or text are none. So an error page or two don't undo a host's template, and a host may have several
+   classes, one within the other.
+2. The containers of these classes nest by their paths, and what lies between them are slots. Free text is what is neither
+   a text of such a class nor a link's. The main slot is reached from the top by going into the container that holds MOST
+   of the free text, summed over the host's pages, as long as there is one. Headings that stand before it, beside the
+   containers that lead to it, belong to it. The pages that have that container are the template's pages.
+3. A text of a class is template text if all texts of its element are such, each on every page that has the element, as
+   in a footer, whatever the number of pages; not so headings, nor where these texts are more than BULK of the main
+   slot's text, for then the pages are copies. A text that stands among free ones, as a notice between paragraphs does,
+   is template text if it is on the very pages of the main slot and no accident: a text that a share q of pages has
+   anyway (measured on the hosts that don't have it throughout, CHANCE at least) is on all n pages with probability
+   q ** n, which must be at most ACCIDENT.
+4. Classes of tag tokens that repeat on a page and nest in the main slot are records: RECORD or more tokens of one vector,
    one inside the other, in a container; reader comments and lists of teasers look so, paragraphs don't. They go.
-4. A page's text is what is left in the main slot, without blocks of nothing but template text, and without elements
+5. A page's text is what is left in the main slot, without blocks of nothing but template text, and without elements
    inside the slot that HTML or a class name marks as menu, form, notice, comments and the like. The names never choose
    the slot.
 
 A page whose main slot holds nothing but template text keeps it. A host with one distinct page has no vectors: of the
 main slots of the ROOTS hosts with most pages, and of all hosts taken together, the page takes the deepest that it has.
-So does a page that lacks its host's main slot. If there is none, step 2 goes over the page alone.
+So does a page that lacks its host's main slot. If there is none, step 2 goes over the page alone. Ties: of containers
+of one depth, the last by name.
 
 Defined results: null, empty and markup-only pages have empty text and 0 characters. A null url is a host of its own.
-Repeated rows give repeated rows. Extra columns are ignored. An empty table gives an empty result. Texts within a block
+A null page_id is kept. Repeated rows give repeated rows. Extra columns are ignored. An empty table gives an empty result. Texts within a block
 are joined as they stand; white space in it becomes one space; a line break element counts as white space. Time and
 memory of a page are linear in its length: elements nested deeper than DEPTH share the path of their ancestor there, and
 of a container's like siblings those from SIBLINGS on share one.
@@ -40,6 +47,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MOST, RECORD = 0.6, 3
+SUPPORT, BULK = 0.5, 0.5
 CHANCE, ACCIDENT = 0.03, 1e-6
 DEPTH, SIBLINGS, ROOTS = 48, 40, 200
 #: Host templates that may be broadcast: rows, and bytes of their lists.
@@ -199,7 +207,7 @@ def main_text(nodes, root: str, texts=frozenset(), records=()) -> str:
     return "\n".join(t for t in (" ".join("".join(x).split()) for x in out) if t)
 
 
-_PARSED = "kind int, host string, page_id long, url string, steps array<string>, once array<string>, node array<int>, block array<int>, free array<boolean>, text array<string>, hash array<long>, token string, mark long, fp long, n long, chars long"
+_PARSED = "kind int, host string, page_id long, url string, steps array<string>, once array<string>, node array<int>, block array<int>, free array<boolean>, text array<string>, hash array<long>, token string, mark long, fp long, n long, chars long, df long"
 
 
 def _parse(batches):
@@ -208,7 +216,7 @@ def _parse(batches):
     import xxhash
 
     names = [x.split()[0] for x in _PARSED.split(", ")]
-    kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), *[pa.list_(t) for t in (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64())], pa.string(), *[pa.int64()] * 4]
+    kinds = [pa.int32(), pa.string(), pa.int64(), pa.string(), *[pa.list_(t) for t in (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int64())], pa.string(), *[pa.int64()] * 5]
 
     def rows(found):
         cols = list(zip(*found, strict=True)) or [()] * len(names)
@@ -222,9 +230,9 @@ def _parse(batches):
             paths = {p: k for k, p in enumerate(dict.fromkeys(x[0] for x in page.nodes))}
             hashes = [xxhash.xxh64_intdigest(f"{p}\0{t.strip()}") - 2**63 if t.strip() else 0 for p, _, _, t in page.nodes]
             once = [p for p, n in page.tags.items() if n == 1 and _container(p)]
-            pages.append((0, host, page_id, url, list(paths), once, [paths[x[0]] for x in page.nodes], [x[1] for x in page.nodes], [not x[2] for x in page.nodes], [x[3] for x in page.nodes], hashes, None, None, None if html is None else key, None, None))
+            pages.append((0, host, page_id, url, list(paths), once, [paths[x[0]] for x in page.nodes], [x[1] for x in page.nodes], [not x[2] for x in page.nodes], [x[3] for x in page.nodes], hashes, None, None, key if page.tags or page.nodes else None, None, None, None))
             size += len(html or "")
-            if html is None:
+            if not page.tags and not page.nodes:
                 continue
             seen: dict[tuple, list[int]] = {(1, host, "", 0): [1, 0]}
             for p, n in page.tags.items():
@@ -236,10 +244,11 @@ def _parse(batches):
                     x[0] += 1
                     x[1] += 0 if link else len(t)
             for name, (n, chars) in seen.items():
-                x = held.setdefault(name, [0, 0, 0])
+                x = held.setdefault(name, [0, 0, 0, 0])
                 x[0] = (x[0] + n * key) & (2**62 - 1)
                 x[1] += n
                 x[2] += chars
+                x[3] += 1
             if size > 2_000_000:
                 yield rows(pages)
                 pages, size = [], 0
@@ -249,36 +258,45 @@ def _parse(batches):
 
 def templates(ws: C.Workspace, parsed: DataFrame) -> DataFrame:
     """(host, root, texts, records): a host's main slot, template texts and records; host '' stands for all hosts together."""
-    tokens = parsed.filter("kind > 0").select("kind", "host", "token", "mark", "fp", "n", "chars")
+    tokens = parsed.filter("kind > 0").select("kind", "host", "token", "mark", "fp", "n", "chars", "df")
     # sums wrap in decimal space; taken modulo 2^62
-    total = (F.expr("cast(sum(cast(fp as decimal(38,0))) % 4611686018427387904 as bigint)").alias("fp"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    total = (F.expr("cast(sum(cast(fp as decimal(38,0))) % 4611686018427387904 as bigint)").alias("fp"), *(F.sum(c).alias(c) for c in ("n", "chars", "df")))
     by_host = ws.store(tokens.groupBy("kind", "host", "token", "mark").agg(*total), "tokens")
     # vectors need two different pages; a host with fewer is left to the template of all hosts
     single = ws.store(parsed.filter("kind = 0").groupBy("host").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("high is null or low = high").select("host"), "single")
     everywhere = by_host.groupBy("kind", "token", "mark").agg(*total).withColumn("host", F.lit(""))
     both = by_host.join(single, "host", "left_anti").unionByName(everywhere)
-    whole = both.filter("kind = 1").select("host", F.col("fp").alias("page_fp"), F.col("n").alias("pages"))
-    both = both.filter("kind > 1").join(whole, "host")
+    whole = both.filter("kind = 1").select("host", F.col("n").alias("pages"))
+    both = both.filter("kind > 1").join(whole, "host").withColumn("steady", (F.col("n") == F.col("df")) & (F.col("df") >= 2) & (F.col("df") >= SUPPORT * F.col("pages")))
 
-    each = both.filter("kind = 3 and host <> ''").withColumn("all", F.col("fp") == F.col("page_fp"))
-    corpus = whole.filter("host <> ''").agg(F.sum("pages")).first()[0] or 0
-    shared = each.groupBy("token", "mark").agg(F.sum(F.when(~F.col("all"), F.col("n")).otherwise(0)).alias("some"), F.sum(F.when(F.col("all"), F.col("pages")).otherwise(0)).alias("of_all"))
-    on_all = both.filter("kind = 3 and fp = page_fp").join(shared, ["token", "mark"], "left").na.fill(0, ["some", "of_all"])
-    anyway = (F.col("some") + CHANCE) / (F.lit(corpus) - F.col("of_all") + 1)
-    known = F.pow(F.least(F.greatest(anyway, F.lit(CHANCE)), F.lit(1.0)), F.col("pages")) <= ACCIDENT
-    fixed = ws.store(on_all.filter(known).select("host", "token", "mark"), "fixed")
-
-    # a text that is once on every page is no free text, be it by accident or not
-    free = both.filter("kind = 3 and chars > 0 and fp <> page_fp").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
-    once = both.filter("kind = 2 and fp = page_fp").select("host", "token", "pages").filter(F.element_at(F.split("token", "/"), -1).contains(":"))
+    # a text of a steady class is no free text, be it by accident or not
+    free = both.filter("kind = 3 and chars > 0 and not steady").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
+    once = both.filter("kind = 2 and steady").select("host", "token", "fp", F.col("df").alias("pages")).filter(F.element_at(F.split("token", "/"), -1).contains(":"))
     # free text of a container is that of all paths below it; a path has at most DEPTH ancestors
     steps = F.split("token", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     inside = free.select("host", F.explode(above).alias("token"), "chars").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
     sums = free.groupBy("host").agg(F.sum("chars").alias("total"))
     roots = once.join(inside, ["host", "token"]).join(sums, "host").filter(F.col("chars") >= MOST * F.col("total"))
-    roots = ws.store(roots.groupBy("host").agg(F.max(F.struct(F.size(steps).alias("depth"), "token", "pages")).alias("r")).select("host", F.col("r.token").alias("root"), "r.depth", "r.pages"), "roots")
-    texts = fixed.join(roots, "host").filter(F.col("token").startswith(F.col("root"))).groupBy("host").agg(F.collect_list("mark").alias("texts"))
+    roots = ws.store(roots.groupBy("host").agg(F.max(F.struct(F.size(steps).alias("depth"), "token", "pages", "fp", "chars")).alias("r")).select("host", F.col("r.token").alias("root"), "r.depth", "r.pages", F.col("r.fp").alias("root_fp"), F.col("r.chars").alias("free")), "roots")
+
+    # texts of elements that hold nothing else: as many on the element's pages as the element has text at all
+    texts = both.filter("kind = 3").join(roots.select("host", "root", "root_fp", "free"), "host").filter(F.col("token").startswith(F.col("root")))
+    element = both.filter("kind = 2").select("host", "token", F.col("df").alias("element_df"))
+    heading = F.element_at(F.split("token", "/"), -1).rlike(r"^h[1-6]\b")
+    own = texts.join(element, ["host", "token"]).groupBy("host", "token").agg(F.min(F.col("steady") & (F.col("df") == F.col("element_df"))).alias("all"), F.sum("chars").alias("chars")).filter(F.col("all") & ~heading)
+    fixed_chars = own.groupBy("host").agg(F.sum("chars").alias("held"))
+    bulk = fixed_chars.join(roots.select("host", "free"), "host").filter(F.col("held") > BULK * (F.col("held") + F.col("free"))).select("host")
+    own = texts.join(own.join(bulk, "host", "left_anti").select("host", "token"), ["host", "token"]).select("host", "token", "mark")
+
+    # texts among free ones, on the root's very pages
+    each = both.filter("kind = 3 and host <> ''").join(roots.select("host", "root_fp"), "host", "left").withColumn("all", F.col("fp").eqNullSafe(F.col("root_fp")))
+    corpus = whole.filter("host <> ''").agg(F.sum("pages")).first()[0] or 0
+    shared = each.groupBy("token", "mark").agg(F.sum(F.when(~F.col("all"), F.col("n")).otherwise(0)).alias("some"), F.sum(F.when(F.col("all"), F.col("df")).otherwise(0)).alias("of_all"))
+    on_all = texts.filter("fp = root_fp").join(shared, ["token", "mark"], "left").na.fill(0, ["some", "of_all"])
+    anyway = (F.col("some") + CHANCE) / (F.lit(corpus) - F.col("of_all") + 1)
+    among = on_all.filter(F.pow(F.least(F.greatest(anyway, F.lit(CHANCE)), F.lit(1.0)), F.col("df")) <= ACCIDENT).select("host", "token", "mark")
+    texts = ws.store(own.unionByName(among).distinct(), "fixed").groupBy("host").agg(F.collect_list("mark").alias("texts"))
 
     # records: classes of paths without numbers, more often than pages, RECORD tokens inside the first of them
     repeated = both.filter("kind = 4 and n > pages").join(roots, "host").filter(F.startswith("token", F.regexp_replace("root", r":\d+", "")))

@@ -645,3 +645,65 @@ def test_long_and_deep_pages_take_linear_time(spark):
     rows = [(1, "http://a.example/", "<div>" * 100_000 + "deep text"), (2, "http://a.example/2", "<p>" + "word " * 400_000)]
     got = {r.page_id: r.n_chars for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: 9, 2: 1_999_999}
+
+
+def _pages(hosts):
+    return [(k, f"http://{h}/{k}", page) for k, (h, page) in enumerate(hosts)]
+
+
+def _article(k, foot="<div class='x9'>All texts under this roof stay here.</div>"):
+    return f"<html><body><div><ul><li><a href='/'>Start</a></li></ul></div><div><h1>Head {k}</h1><p>{prose(random.Random(k), 40)}</p><p>{prose(random.Random(k + 999), 30)}</p>{foot}</div></body></html>"
+
+
+def test_one_odd_page_leaves_a_hosts_template_alone(spark):
+    """Thirty pages with a footer inside the slot, alone, with an empty page, with an error page, and with three odd pages."""
+    odd = {"a": [], "b": [""], "c": ["<html><body><p>Not found</p></body></html>"], "d": ["", None, "<p>Gone</p>", "<html><body><div><p>Moved</p></div></body></html>"]}
+    hosts = [(h, p) for h, more in odd.items() for p in [*(_article(k + 100 * ord(h)) for k in range(30)), *more]]
+    rows = _pages(hosts)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (_, page) in enumerate(hosts):
+        if page and "Head" in page:
+            assert got[k] == "\n".join(re.findall(r"<h1>(.*?)</h1>", page) + re.findall(r"<p>(.*?)</p>", page)), k
+        else:
+            assert got[k] in ("", "Not found", "Gone", "Moved")
+
+
+def test_a_footer_goes_on_hosts_of_two_pages_and_more(spark):
+    hosts = [(f"h{n}", _article(k + 50 * n)) for n in (2, 3, 4, 5) for k in range(n)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(_pages(hosts), "page_id long, url string, html string")).collect()}
+    assert all("roof" not in t and t.count("\n") == 2 for t in got.values())
+
+
+def test_copies_on_a_host_keep_their_text(spark):
+    """Two pages that differ in their heading and last paragraph alone: what they share is most of the text, so no template."""
+    one = prose(random.Random(1), 60)
+    page = lambda k: f"<html><body><div><h1>Head {k}</h1><p>{one}</p><blockquote>{one[:100]}</blockquote><p>End {k}.</p></div></body></html>"
+    got = [r.text for r in html_extract.extract(spark.createDataFrame(_pages([("h", page(k)) for k in range(2)]), "page_id long, url string, html string")).collect()]
+    assert all(one in t and one[:100] in t for t in got)
+
+
+def test_fixed_texts_equal_a_brute_force_deduction(spark):
+    """Over small hosts with one odd page in ten: texts of elements that hold nothing but steady texts on all their pages."""
+    rng = random.Random(21)
+    hosts = []
+    for h in range(6):
+        foot = "".join(f"<div class='k{h}'><p>{prose(rng, 5)}</p></div>" for _ in range(rng.randint(0, 2)))
+        hosts += [(f"h{h}", "<p>Oh</p>" if rng.random() < 0.1 else _article(rng.randrange(10**6), foot)) for _ in range(rng.randint(2, 12))]
+    ws = common.Workspace(spark)
+    rows = spark.createDataFrame([(*p, p[1].split("/")[2], 1000 + p[0]) for p in _pages(hosts)], "page_id long, url string, html string, host string, key long")
+    found = {r.host: r for r in html_extract.templates(ws, ws.store(rows.mapInArrow(html_extract._parse, html_extract._PARSED), "parsed")).collect()}
+    for host in {h for h, _ in hosts}:
+        pages = [html_extract.Page(p) for h, p in hosts if h == host]
+        of = lambda p: [(path, t.strip()) for path, _, _, t in p.nodes if t.strip()]
+        counts = {x: [of(p).count(x) for p in pages] for p in pages for x in of(p)}
+        holds = {x: sum(n > 0 for n in c) for x, c in counts.items()}
+        steady = {x for x, c in counts.items() if max(c) == 1 and holds[x] >= max(2, len(pages) / 2)}
+        fixed = set()
+        for path in {x[0] for x in counts}:
+            texts, has = [x for x in counts if x[0] == path], sum(path in p.tags for p in pages)
+            if all(x in steady and holds[x] == has for x in texts) and not re.match(r"h[1-6]\b", path.split("/")[-1]):
+                fixed |= set(texts)
+        root = found[host].root if host in found else None
+        if root:
+            inside = {x for x in fixed if x[0].startswith(root)}
+            assert len(set(found[host].texts or ())) >= len(inside), host
