@@ -3,10 +3,11 @@
 A filter is one direction in a structured random product code: space is cut into BLOCKS blocks of coordinates after a
 random rotation, each block has CODE random directions (more where there are more vectors than they part well, as
 code_size says), and every choice of one direction per block is a filter. A
-vector's list is every filter whose inner product is within REACH of its best one; it is decoded by joining the two
-halves' partial losses, so no list of all CODE ** BLOCKS filters is walked. Two vectors at cosine 0.98 share a filter
-all but surely: the inner products differ by about 0.05. Vectors are joined on (label, filter), then compared in double
-precision.
+vector's list is every filter whose inner product is within reach of its best one; it is decoded by joining the two
+halves' partial losses, so no list of all CODE ** BLOCKS filters is walked. Inner products with random directions, and
+their differences between two vectors, shrink with the root of the dimension, and the reach with them: so lists are as
+long in any dimension, and two vectors at cosine 0.98 share a filter all but surely. Vectors are joined on (label,
+filter), then compared in double precision.
 
 Equal vectors of a label are one class, so copies never pair up. Buckets are cut into blocks of BLOCK classes that are
 compared block against block. A pair that shares several filters is counted only under the smallest of them; so each
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-BLOCKS, CODE, REACH, BLOCK, TASK_ROWS = 4, 16, 0.08, 256, 4000
+BLOCKS, CODE, BLOCK, TASK_ROWS = 4, 16, 256, 4000
+#: The reach in one dimension; 0.08 in 64.
+REACH = 0.64
 #: The codebooks grow with the number of different vectors, so that there are so many filters for each and none fills up.
 FILTERS = 8
 
@@ -45,16 +48,21 @@ def code(dim: int, size: int = CODE) -> tuple[np.ndarray, np.ndarray]:
     return turn, books / np.linalg.norm(books, axis=2, keepdims=True)
 
 
+def reach_of(dim: int) -> float:
+    return REACH / float(np.sqrt(dim))
+
+
 def decode(unit: np.ndarray, turn: np.ndarray, books: np.ndarray) -> list[np.ndarray]:
     """For each row of unit vectors, the sorted numbers of its filters."""
     dots = np.einsum("bmd,mkd->bmk", (unit @ turn).reshape(len(unit), BLOCKS, -1), books)
     loss = dots.max(axis=2, keepdims=True) - dots
+    reach = reach_of(unit.shape[1])
     left = (loss[:, 0, :, None] + loss[:, 1, None, :]).reshape(len(unit), -1)
     right = (loss[:, 2, :, None] + loss[:, 3, None, :]).reshape(len(unit), -1)
     out = []
     for x, y in zip(left, right, strict=True):
-        i, j = np.flatnonzero(x <= REACH), np.flatnonzero(y <= REACH)
-        p, q = np.nonzero(x[i][:, None] + y[j] <= REACH)
+        i, j = np.flatnonzero(x <= reach), np.flatnonzero(y <= reach)
+        p, q = np.nonzero(x[i][:, None] + y[j] <= reach)
         out.append(np.sort(i[p].astype(np.int64) * books.shape[1] ** 2 + j[q]))
     return out
 
