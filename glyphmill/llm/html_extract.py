@@ -264,10 +264,15 @@ def templates(ws: C.Workspace, parsed: DataFrame) -> DataFrame:
     by_host = ws.store(tokens.groupBy("kind", "host", "token", "mark").agg(*total), "tokens")
     # vectors need two different pages; a host with fewer is left to the template of all hosts
     single = ws.store(parsed.filter("kind = 0").groupBy("host").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("high is null or low = high").select("host"), "single")
-    everywhere = by_host.groupBy("kind", "token", "mark").agg(*total).withColumn("host", F.lit(""))
-    both = by_host.join(single, "host", "left_anti").unionByName(everywhere)
-    whole = both.filter("kind = 1").select("host", F.col("n").alias("pages"))
-    both = both.filter("kind > 1").join(whole, "host").withColumn("steady", (F.col("n") == F.col("df")) & (F.col("df") >= 2) & (F.col("df") >= SUPPORT * F.col("pages")))
+    mine = by_host.join(single, "host", "left_anti")
+    everywhere = by_host.filter("kind < 4").groupBy("kind", "token", "mark").agg(*total).withColumn("host", F.lit(""))
+
+    def steady(rows: DataFrame) -> DataFrame:
+        """The tokens with the pages of their host, and whether they are once on each of theirs, SUPPORT of the host's at least."""
+        pages = rows.filter("kind = 1").select("host", F.col("n").alias("pages"))
+        return rows.filter("kind > 1").join(pages, "host").withColumn("steady", (F.col("n") == F.col("df")) & (F.col("df") >= 2) & (F.col("df") >= SUPPORT * F.col("pages")))
+
+    both, mine = steady(mine.unionByName(everywhere)), steady(mine)
 
     # a text of a steady class is no free text, be it by accident or not
     free = both.filter("kind = 3 and chars > 0 and not steady").groupBy("host", "token").agg(F.sum("chars").alias("chars"))
@@ -280,18 +285,18 @@ def templates(ws: C.Workspace, parsed: DataFrame) -> DataFrame:
     roots = once.join(inside, ["host", "token"]).join(sums, "host").filter(F.col("chars") >= MOST * F.col("total"))
     roots = ws.store(roots.groupBy("host").agg(F.max(F.struct(F.size(steps).alias("depth"), "token", "pages", "fp", "chars")).alias("r")).select("host", F.col("r.token").alias("root"), "r.depth", "r.pages", F.col("r.fp").alias("root_fp"), F.col("r.chars").alias("free")), "roots")
 
-    # texts of elements that hold nothing else: as many on the element's pages as the element has text at all
-    texts = both.filter("kind = 3").join(roots.select("host", "root", "root_fp", "free"), "host").filter(F.col("token").startswith(F.col("root")))
-    element = both.filter("kind = 2").select("host", "token", F.col("df").alias("element_df"))
+    # texts of elements that hold nothing else: steady ones only, each on all pages of the element
+    known = roots.filter("host <> ''").select("host", "root", "root_fp", "free")
+    texts = mine.filter("kind = 3").join(known, "host").filter(F.col("token").startswith(F.col("root")))
     heading = F.element_at(F.split("token", "/"), -1).rlike(r"^h[1-6]\b")
-    own = texts.join(element, ["host", "token"]).groupBy("host", "token").agg(F.min(F.col("steady") & (F.col("df") == F.col("element_df"))).alias("all"), F.sum("chars").alias("chars")).filter(F.col("all") & ~heading)
-    fixed_chars = own.groupBy("host").agg(F.sum("chars").alias("held"))
-    bulk = fixed_chars.join(roots.select("host", "free"), "host").filter(F.col("held") > BULK * (F.col("held") + F.col("free"))).select("host")
-    own = texts.join(own.join(bulk, "host", "left_anti").select("host", "token"), ["host", "token"]).select("host", "token", "mark")
+    own = texts.groupBy("host", "token").agg(F.min("steady").alias("all"), F.min("df").alias("df"), F.max("df").alias("most"), F.sum("chars").alias("chars"), F.first("free").alias("free")).filter(F.col("all") & (F.col("df") == F.col("most")) & ~heading)
+    own = own.join(mine.filter("kind = 2").select("host", "token", "df"), ["host", "token", "df"]).select("host", "token", "chars", "free")
+    bulk = own.groupBy("host").agg(F.sum("chars").alias("held"), F.first("free").alias("free")).filter(F.col("held") > BULK * (F.col("held") + F.col("free"))).select("host")
+    own = texts.filter("steady").join(own.join(bulk, "host", "left_anti").select("host", "token"), ["host", "token"]).select("host", "token", "mark")
 
     # texts among free ones, on the root's very pages
-    each = both.filter("kind = 3 and host <> ''").join(roots.select("host", "root_fp"), "host", "left").withColumn("all", F.col("fp").eqNullSafe(F.col("root_fp")))
-    corpus = whole.filter("host <> ''").agg(F.sum("pages")).first()[0] or 0
+    each = mine.filter("kind = 3").join(known.select("host", "root_fp"), "host", "left").withColumn("all", F.col("fp").eqNullSafe(F.col("root_fp")))
+    corpus = by_host.filter("kind = 1").join(single, "host", "left_anti").agg(F.sum("n")).first()[0] or 0
     shared = each.groupBy("token", "mark").agg(F.sum(F.when(~F.col("all"), F.col("n")).otherwise(0)).alias("some"), F.sum(F.when(F.col("all"), F.col("df")).otherwise(0)).alias("of_all"))
     on_all = texts.filter("fp = root_fp").join(shared, ["token", "mark"], "left").na.fill(0, ["some", "of_all"])
     anyway = (F.col("some") + CHANCE) / (F.lit(corpus) - F.col("of_all") + 1)
@@ -299,7 +304,7 @@ def templates(ws: C.Workspace, parsed: DataFrame) -> DataFrame:
     texts = ws.store(own.unionByName(among).distinct(), "fixed").groupBy("host").agg(F.collect_list("mark").alias("texts"))
 
     # records: classes of paths without numbers, more often than pages, RECORD tokens inside the first of them
-    repeated = both.filter("kind = 4 and n > pages").join(roots, "host").filter(F.startswith("token", F.regexp_replace("root", r":\d+", "")))
+    repeated = mine.filter("kind = 4 and n > pages").join(roots.filter("host <> ''"), "host").filter(F.startswith("token", F.regexp_replace("root", r":\d+", "")))
     classes = repeated.groupBy("host", "fp").agg(F.min(F.struct(F.length("token"), "token")).alias("first"), F.count("*").alias("tokens"), F.collect_list("token").alias("all"))
     top = F.col("first.token")
     nested = F.size(F.filter("all", lambda x: F.startswith(x, F.concat(top, F.lit("/"))))) >= RECORD - 1
