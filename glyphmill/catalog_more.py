@@ -222,13 +222,13 @@ def report_lines(spark, sf_dir):
     return K.report(spark, "Places", [("Regions", regions, ["region", "nations", "first"]), ("Names", names, ["name"])])
 
 
-@query(f"""with {LOCI_SQL}, l as (select *, row_number() over (partition by page order by num) = 1 as new from loci where page < 40), v as (
+@query(f"""with {LOCI_SQL}, l as (select *, row_number() over (partition by page order by num) = 1 as new from loci), v as (
  select page, num, 0 as k, '<f' || page || '>' as value from l where new union all
  select page, num, 1, case when length('<f' || page || '.' || num || ',@' || kind || '0>') < 19 then rpad('<f' || page || '.' || num || ',@' || kind || '0>', 19, ' ') else '<f' || page || '.' || num || ',@' || kind || '0>' end || case when ps then '<%>' else '' end || line from l)
 select cast(row_number() over (order by page, num, k) as int) as place, value from v""")
 def transcription_lines(spark, sf_dir):
-    """Lines of forty pages as a transcription file."""
-    lines = C.loci(spark, sf_dir).filter("page < 40").withColumn("pe", F.lit(False)).withColumn("loc", F.lit("@"))
+    """The lines of all pages as a transcription file."""
+    lines = C.loci(spark, sf_dir).withColumn("pe", F.lit(False)).withColumn("loc", F.lit("@"))
     return C.numbered_by(K.transcription(lines), "place", "row").select("place", "value")
 
 
@@ -371,9 +371,9 @@ def learned_rare(spark, sf_dir):
 # --- facts of pages ---
 
 
-@query("select source as value, string_agg(cast(doc_id as varchar), ' ' order by doc_id desc) as pages from documents where doc_id < 500 group by source")
+@query("select source as value, string_agg(cast(doc_id as varchar), ' ' order by doc_id desc) as pages from documents group by source")
 def facet_to_pages(spark, sf_dir):
-    d = C.documents(spark, sf_dir).filter("doc_id < 500")
+    d = C.documents(spark, sf_dir)
     return G.facet_pages(d.select(F.col("doc_id").alias("page"), "source"), d.select(F.col("doc_id").alias("page"), (-F.col("doc_id")).alias("pos")), "source")
 
 

@@ -224,21 +224,6 @@ def overlay(leaves: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFr
     return values, known.groupBy("value").agg(F.count("*").alias("leaves"))
 
 
-def find_page(panels: DataFrame, name: str) -> DataFrame:
-    """The side that shows a page: an exact shown panel first, then any panel, then the leaf's bare number."""
-    fit = F.when(F.col("shown") & (F.col("panel") == name), 0).when(F.col("panel") == name, 1).when(F.regexp_extract("panel", r"^f?(\d+)", 1) == name.removeprefix("f"), 2)
-    return panels.withColumn("prio", fit).filter("prio is not null").agg(F.min(F.struct("prio", "side")).alias("m")).select("m.side")
-
-
-def layers(folds: list[tuple[int, int]]) -> list[int]:
-    """Order of panels from bottom to top after folds (panel, over): each folded panel goes right above the one it folds over."""
-    stack: list[int] = []
-    for panel, over in folds:
-        at = stack.index(over) + 1 if over in stack else len(stack)
-        stack.insert(at, panel)
-    return stack
-
-
 def contacts(panels: DataFrame) -> DataFrame:
     """a, b: each panel's nearest one above that overlaps it; panels(sheet, panel, x0, x1, z)."""
     low, high = panels.alias("l"), panels.alias("h")

@@ -88,8 +88,9 @@ def store_lines(docs: DataFrame, path: str) -> None:
     width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
     lines = split_lines(docs).withColumn("range", F.coalesce(F.floor((F.col("page") - F.lit(low or 0)) / width), F.lit(-1)).cast("int"))
     lines.write.partitionBy("range").option("compression", "zstd").parquet(path)
-    # the manifest: pages with lines, and where they are
-    lines.groupBy("page", "range").agg(F.count("*").alias("lines"), F.count_if(F.col("line") != "").alias("written")).write.parquet(f"{path}-pages")
+    # the manifest, from what is stored: pages with lines, and where they are
+    stored = docs.sparkSession.read.schema(f"{_LINES}, range int").parquet(path)
+    stored.groupBy("page", "range").agg(F.count("*").alias("lines"), F.count_if(F.col("line") != "").alias("written")).write.parquet(f"{path}-pages")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

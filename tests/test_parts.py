@@ -56,7 +56,6 @@ def test_edits():
     assert h.edit(O.step(BOOK, "a", 1)) and not h.edit(None) and h.undo() and h.book == BOOK and h.redo() and not h.redo()
     v = O.keep_version([], BOOK)
     assert O.keep_version(v, BOOK) == v and len(O.keep_version([{"n": i} for i in range(20)], BOOK)) == 20
-    assert O.layers([(1, 0), (2, 9), (3, 1)]) == [1, 3, 2]
     assert O.describe_gathering(["a", "b", "d"], {"a": "X", "b": "Y", "d": "Y"}, {"a": "1", "b": "1", "d": "2"}) == {"section": "Y", "quire": "1", "extras": ["d"]}
 
 
@@ -86,7 +85,6 @@ def test_matching():
     boxes = ["qokeedy", "dal", "daiin", "shedy", "okar"]
     assert G.greedy_match(words, boxes) == [(0, 0), (1, 1), (3, 2), (4, 3), (5, 4)]
     assert G.greedy_match([], boxes) == [] and G.local_alignment(["a"], ["zzz"])[0] == 0
-    assert G.share_boxes([2, 3], [1, 1, 1, 1, 1]) == [2, 5] and G.share_boxes([5], [1, 2]) == [2]
 
 
 def test_store(spark):
