@@ -8,12 +8,11 @@ says which pages have lines at all.
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.sources.cached import table_of
+
 #: What counts as a letter.
 LETTERS = r"\pL\pM"
 #: The table of lines has about so many rows a range of pages, and at most so many ranges.
@@ -51,31 +50,17 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return raw.select("page", "num", normalise(F.col("raw")).alias("line"), kind.alias("kind"), (F.col("num") == 0).alias("ps"), F.concat_ws(".", "page", "num").alias("locus_id"))
 
 
-def _mark(spark: SparkSession, path: str) -> str:
-    """What names the state of a table: its path, and its files' names, sizes and times."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files = sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(where))
-    return hashlib.md5("\n".join([path, *files]).encode()).hexdigest()
-
-
 def loci(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """page, num, line, kind, ps, locus_id: a row for each line of the documents, or of those in lang.
 
     Read from the stored table of lines, which the first use in a session writes to spark.checkpoint.dir; where that is
-    not set, lines are made anew. Files that changed since make a table of their own.
+    not set, lines are made anew. Files that changed since, in folders within folders too, make a table of their own.
     """
     if lang is not None:
         return split_lines(documents(spark, sf_dir).filter(F.col("lang") == lang))
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not spark.conf.get("spark.checkpoint.dir", None):
         return split_lines(documents(spark, sf_dir))
-    held = spark.sparkContext.__dict__.setdefault("_glyphmill_lines", {})
-    mark = _mark(spark, f"{sf_dir}/documents.parquet")
-    if mark not in held:
-        held[mark] = f"{root.rstrip('/')}/lines-{uuid.uuid4().hex}"
-        store_lines(documents(spark, sf_dir), held[mark])
-    return read_lines(spark, held[mark])
+    return read_lines(spark, table_of(spark, f"{sf_dir}/documents.parquet", "lines", lambda path: store_lines(documents(spark, sf_dir), path)))
 
 
 _LINES = "page bigint, num int, line string, kind string, ps boolean, locus_id string"

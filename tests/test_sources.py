@@ -135,3 +135,32 @@ def test_places_of_words(spark):
     lines = spark.createDataFrame([(1, 0, "ab.c,größe.x", "P", True), (1, 1, "", "P", False), (2, 0, "и" * 3, "L", True)], "page long, num int, line string, kind string, ps boolean")
     got = {(r.page, r.wi): (r.s, r.start, r.n) for r in corpus.placed_words(lines).collect()}
     assert got == {(1, 0): ("ab", 0, 4), (1, 1): ("c", 3, 4), (1, 2): ("größe", 5, 4), (1, 3): ("x", 11, 4), (2, 0): ("иии", 0, 1)}
+
+
+def test_tables_of_sources_are_kept_made_anew_and_forgotten(spark, tmp_path):
+    from glyphmill.sources import cached
+
+    source, made = tmp_path / "in", []
+    spark.range(3).withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(str(source))
+
+    def write(path):
+        made.append(path)
+        if len(made) == 3:
+            raise OSError("the source is away")
+        spark.read.parquet(str(source)).write.parquet(path)
+
+    count = lambda: spark.read.parquet(cached.table_of(spark, str(source), "copy", write)).count()
+    assert count() == 3 and count() == 3 and len(made) == 1
+    # a file in a folder within the folder
+    spark.range(5).coalesce(1).write.mode("append").parquet(str(source / "part=0"))
+    assert count() == 8 and len(made) == 2
+    # a load that fails is tried again; one that keeps failing is forgotten
+    spark.range(1).coalesce(1).write.mode("append").parquet(str(source / "part=1"))
+    assert count() == 9 and len(made) == 4
+    spark.range(1).coalesce(1).write.mode("append").parquet(str(source / "part=1"))
+    with pytest.raises(ZeroDivisionError):
+        cached.table_of(spark, str(source), "copy", lambda path: 1 / 0)
+    assert count() == 10 and len(made) == 5
+    old = made[-1]
+    assert cached.release(spark, str(source)) == 1 and cached.release(spark, str(source)) == 0
+    assert count() == 10 and made[-1] != old
