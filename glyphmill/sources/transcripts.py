@@ -263,7 +263,10 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
         return spark.read.csv(path, header=True)
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = spark.read.schema(schema).csv(path, header=False, escape='"')
-    return rows.filter(~F.array(*columns).eqNullSafe(F.array(*map(F.lit, columns))))
+    header = F.array(*columns).eqNullSafe(F.array(*map(F.lit, columns)))
+    # one such row is the header; others are data that read the same
+    again = rows.filter(header).groupBy(*columns).agg(F.count("*").alias("_n")).filter("_n > 1")
+    return rows.filter(~header).unionByName(again.select(*columns, F.explode(F.sequence(F.lit(2).cast("long"), "_n")).alias("_k")).drop("_k"))
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -164,3 +164,9 @@ def test_tables_of_sources_are_kept_made_anew_and_forgotten(spark, tmp_path):
     old = made[-1]
     assert cached.release(spark, str(source)) == 1 and cached.release(spark, str(source)) == 0
     assert count() == 10 and made[-1] != old
+
+
+def test_a_row_that_reads_like_the_header_is_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\nx,y\nx,y\n")
+    (tmp_path / "b.csv").write_text("3,\n")
+    assert sorted(map(str, (tuple(r) for r in R.read_csv(spark, str(tmp_path), ["x", "y"]).collect()))) == sorted(map(str, [("1", "2"), ("x", "y"), ("x", "y"), ("3", None)]))
