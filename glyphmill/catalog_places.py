@@ -141,6 +141,10 @@ placed as (select w.*, case
     else 'run' end as how from words w)"""
 
 
+def _joined(name):
+    return F.array_join(F.col(name).cast("array<string>"), " ").alias(name)
+
+
 def _letters(*parts):
     return F.translate(F.substring(F.md5(F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)).cast("binary")), 1, 20), "0123456789", "ghijklmnop")
 
@@ -176,12 +180,12 @@ def _page_boxes(words):
     return listed.select("page", box.alias("box"), "text", "x", "y", F.lit(20.0).alias("h"))
 
 
-@query(f"""with {WORDS_SQL} select p.page, p.line, cast(p.pos as int) as pos, list(cast(box as int) order by part) as boxes, how
+@query(f"""with {WORDS_SQL} select p.page, p.line, cast(p.pos as int) as pos, string_agg(cast(box as varchar), ' ' order by part) as boxes, how
 from placed p join numbered b on b.page = p.page and b.line = p.line and b.pos = p.pos and b.place <> 1 where how is not null group by all""")
 def boxes_matched(spark, sf_dir):
     words = _page_words(spark, sf_dir)
     told = B.match_boxes(words.select("page", "line", "pos", "text", (F.col("n") == 1).alias("label")), _page_boxes(words))
-    return told.select("page", "line", "pos", "boxes", "how")
+    return told.select("page", "line", "pos", _joined("boxes"), "how")
 
 
 # three words of five letters, and their letters cut into three to five boxes at even places, some letters changed
@@ -191,14 +195,14 @@ f as (select *, translate(words[1] || words[2] || words[3], 'gk', 'zz') as flat
 b as (select line, words, m, list_transform(range(m), lambda i: substring(flat, cast(i * 15 // m as bigint) + 1, cast((i + 1) * 15 // m - i * 15 // m as bigint))) as boxes from f),
 cuts as (select line, words, boxes, m, c, d from b, (select unnest(range(1, 4)) as c), (select unnest(range(2, 5)) as d) where c < d and d < m),
 cost as (select line, [c, d - c, m - d] as sizes, c, d, levenshtein(words[1], list_aggregate(boxes[1:c], 'string_agg', '')) + levenshtein(words[2], list_aggregate(boxes[c + 1:d], 'string_agg', '')) + levenshtein(words[3], list_aggregate(boxes[d + 1:], 'string_agg', '')) as far from cuts)
-select line, list_transform(arg_min(sizes, (far, d, c)), lambda x: cast(x as int)) as sizes from cost group by line""")
+select line, list_aggregate(list_transform(arg_min(sizes, (far, d, c)), lambda x: cast(x as varchar)), 'string_agg', ' ') as sizes from cost group by line""")
 def boxes_shared(spark, sf_dir):
     words = _page_words(spark, sf_dir).filter("pos <= 3").withColumn("five", F.substring(_letters("line", "pos"), 1, 5))
     rows = words.groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "five"))), lambda x: x["five"]).alias("words")).filter("size(words) = 3")
     m, flat = 3 + F.col("line") % 3, F.translate(F.array_join("words", ""), "gk", "zz")
     at = lambda i: F.floor(i * 15 / m).cast("int")
     boxes = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda i: F.substring(flat, at(i) + 1, at(i + 1) - at(i)))
-    return B.boxes_shared_out(rows.withColumn("boxes", boxes)).select("line", "sizes")
+    return B.boxes_shared_out(rows.withColumn("boxes", boxes)).select("line", _joined("sizes"))
 
 
 # an order is a line, an item a word of one to four glyphs that no other word has. The other reading leaves out every
@@ -366,7 +370,7 @@ SHEET_SQL = """told as (select o_custkey as page, l_orderkey as line, row_number
 kinds as (select *, case when line % 11 = 0 then 'none' when pos = 2 and n >= 3 and line % 3 = 0 then 'split' when pos in (4, 5) and n >= 5 and line % 5 = 0 then 'join' when pos = 3 and line % 7 = 3 then 'none' else 'whole' end as kind from told)"""
 
 
-@query(f"""with {SHEET_SQL} select page, line, cast(pos as int) as pos, case when kind = 'join' then [line || ':4:0'] when kind = 'split' then [line || ':2:0', line || ':2:1'] else [line || ':' || pos || ':0'] end as readings, kind,
+@query(f"""with {SHEET_SQL} select page, line, cast(pos as int) as pos, case when kind = 'join' then line || ':4:0' when kind = 'split' then line || ':2:0 ' || line || ':2:1' else line || ':' || pos || ':0' end as readings, kind,
   case when kind = 'join' and pos = 5 then 0.5 else 0.0 end::double as first, case when kind = 'join' and pos = 4 then 0.5 else 1.0 end::double as last from kinds where kind <> 'none'""")
 def sheet_matched(spark, sf_dir):
     words = _page_words(spark, sf_dir).select("page", "line", "pos", "n", _letters("line", "pos").alias("text"))
@@ -380,7 +384,7 @@ def sheet_matched(spark, sf_dir):
     read = words.select("page", F.md5(line.cast("string").cast("binary")).alias("run"), "line", "pos", "y", F.explode(parts).alias("p"))
     read = read.select("page", "run", (pos * 2 + F.col("p.part")).alias("at"), F.concat_ws(":", "line", "pos", "p.part").alias("id"), "p.text", (40.0 * pos).alias("x"), "y", F.lit(None).cast("string").alias("region"))
     placed = words.select("page", "line", "pos", "text", F.lit(100.0).alias("x"), "y", F.lit(None).cast("double").alias("sure"), F.lit(None).cast("string").alias("region"))
-    return T.match_sheet(placed, read)
+    return T.match_sheet(placed, read).withColumn("readings", _joined("readings"))
 
 
 # a customer is a line of eight letters in an order of its own, with ab in the middle, told by four witnesses; one of them
