@@ -183,7 +183,7 @@ def _page_boxes(words):
 @query(f"""with {WORDS_SQL} select p.page, p.line, cast(p.pos as int) as pos, string_agg(cast(box as varchar), ' ' order by part) as boxes, how
 from placed p join numbered b on b.page = p.page and b.line = p.line and b.pos = p.pos and b.place <> 1 where how is not null group by all""")
 def boxes_matched(spark, sf_dir):
-    words = _page_words(spark, sf_dir)
+    words = stored(_page_words(spark, sf_dir), "words")  # read several times
     told = B.match_boxes(words.select("page", "line", "pos", "text", (F.col("n") == 1).alias("label")), _page_boxes(words))
     return told.select("page", "line", "pos", _joined("boxes"), "how")
 
@@ -377,7 +377,7 @@ def sheet_matched(spark, sf_dir):
     line, pos = F.col("line"), F.col("pos")
     kind = F.when(line % 11 == 0, "none").when((pos == 2) & (F.col("n") >= 3) & (line % 3 == 0), "split").when(pos.isin(4, 5) & (F.col("n") >= 5) & (line % 5 == 0), "join").when((pos == 3) & (line % 7 == 3), "none").otherwise("whole")
     row = F.dense_rank().over(Window.partitionBy("page").orderBy("line"))
-    words = words.withColumns({"kind": kind, "y": 100.0 * row, "next": F.lead("text").over(Window.partitionBy("line").orderBy("pos"))})
+    words = stored(words.withColumns({"kind": kind, "y": 100.0 * row, "next": F.lead("text").over(Window.partitionBy("line").orderBy("pos"))}), "words")
     half = lambda k: F.struct(F.lit(k).alias("part"), F.substring("text", 1 + 10 * k, 10).alias("text"))
     whole = lambda t: F.array(F.struct(F.lit(0).alias("part"), t.alias("text")))
     parts = F.when(F.col("kind") == "split", F.array(half(0), half(1))).when(F.col("kind") == "join", F.when(pos == 4, whole(F.concat("text", "next"))).otherwise(F.array())).when(F.col("kind") == "whole", whole(F.col("text"))).otherwise(F.array())

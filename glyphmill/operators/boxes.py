@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.glyphs import glyph_map
+from glyphmill.functions.grouped import each_group
 from glyphmill.functions.shipping import ship, spread
 
 # What a pair scores by its share of edits, what a step over a word or box costs, and distances on the
@@ -25,6 +26,10 @@ REACH, FAR_AWAY, JUMP = 120.0, 600.0, 9
 SPARE, AROUND = 3, 3
 #: The least part of a word that another reading's box takes from it, and what counts as all of it.
 SLIVER, START, END = 0.15, 0.05, 0.95
+#: Pairs of neighbouring letters are told apart by so many hashes.
+GRAMS = 1024
+#: Up to so many points a run is found without arrays.
+FEW = 24
 
 
 def edits(a: list[str], b: list[str]) -> np.ndarray:
@@ -46,20 +51,76 @@ def edits(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of texts, and their code points in rows that end in -1."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), int(size.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return size, out
+
+
+def _grams(x: np.ndarray) -> np.ndarray:
+    """How often each text has each pair of neighbouring letters, by hash."""
+    pair = (x[:, :-1] >= 0) & (x[:, 1:] >= 0)
+    g = (x[:, :-1] * 31 + x[:, 1:])[pair] % GRAMS
+    return np.bincount(np.nonzero(pair)[0] * GRAMS + g, minlength=GRAMS * len(x)).reshape(len(x), GRAMS).astype(np.float32)
+
+
+def close_pairs(a: list[str], b: list[str], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i, j, edits) of a text of a and one of b whose edits are at most share of the longer's letters.
+
+    An edit touches two neighbouring pairs of letters at most, so texts that share too few of these are further apart
+    and needn't be set against each other; the others are, a letter at a time.
+    """
+    (na, x), (nb, y) = _points(a), _points(b)
+    held, has = _grams(x), (_grams(y) > 0).astype(np.float32).T
+    told = [(np.zeros(0, np.int64),) * 3]
+    for k in range(0, len(a), 64):  # a bounded block of texts against those of the page
+        longer = np.maximum(na[k : k + 64, None], nb)
+        most = np.floor(share * longer + 1e-9).astype(np.int64)
+        can = (held[k : k + 64] @ has >= longer - 1 - 2 * most) & (np.abs(na[k : k + 64, None] - nb) <= most)
+        i, j = np.nonzero(can)
+        for m in range(0, len(i), 4096):
+            p, q = i[m : m + 4096], j[m : m + 4096]
+            d = np.zeros(len(p), np.int64)
+            w = min(x.shape[1], y.shape[1])
+            unlike = np.flatnonzero((na[p + k] != nb[q]) | (x[p + k, :w] != y[q, :w]).any(axis=1))
+            d[unlike] = _edits_of(x[p[unlike] + k], na[p[unlike] + k], y[q[unlike]], nb[q[unlike]])
+            near = d <= most[p, q]
+            told.append((p[near] + k, q[near], d[near]))
+    i, j, d = (np.concatenate(c) for c in zip(*told, strict=True))
+    return i, j, d
+
+
+def _edits_of(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Edit distances of rows of letters, each of x to its own of y."""
+    y = y[:, : int(ny.max(initial=0))]
+    place = np.arange(y.shape[1] + 1)
+    row = np.broadcast_to(place, (len(x), len(place)))
+    out = np.where(nx == 0, ny, 0)
+    for i in range(int(nx.max(initial=0))):
+        new = np.empty((len(x), len(place)), np.int64)
+        new[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (x[:, i, None] != y), out=new[:, 1:])
+        row = np.minimum.accumulate(new - place, axis=1) + place
+        done = np.flatnonzero(nx == i + 1)
+        out[done] = row[done, ny[done]]
+    return out
+
+
 def scores(words: list[str], boxes: list[str]) -> dict[int, list[tuple[int, float]]]:
     """For each word the boxes that read alike, in order, with their scores; texts are compared once each."""
     a, b = list(dict.fromkeys(words)), list(dict.fromkeys(boxes))
     where = defaultdict(list)
     for k, t in enumerate(boxes):
         where[t].append(k)
-    found: dict[str, list] = {}
-    for k in range(0, len(a), 64):  # a bounded block of texts against those of the page
-        some = a[k : k + 64]
-        d = edits(some, b)
-        share = d / np.maximum(1, np.maximum(np.array([len(t) for t in some])[:, None], np.array([len(t) for t in b])[None, :]))
-        for i, t in enumerate(some):
-            near = np.flatnonzero(share[i] <= CLOSE_SHARE)
-            found[t] = sorted((x, EXACT if d[i, j] == 0 else NEAR if share[i, j] <= NEAR_SHARE else CLOSE) for j in near.tolist() for x in where[b[j]])
+    found: dict[str, list] = {t: [] for t in a}
+    for i, j, d in zip(*(c.tolist() for c in close_pairs(a, b, CLOSE_SHARE)), strict=True):
+        share = d / max(1, len(a[i]), len(b[j]))
+        if share <= CLOSE_SHARE:
+            found[a[i]] += [(x, EXACT if d == 0 else NEAR if share <= NEAR_SHARE else CLOSE) for x in where[b[j]]]
+    for near in found.values():
+        near.sort()
     return {k: found[t] for k, t in enumerate(words)}
 
 
@@ -70,6 +131,8 @@ def best_chain(points: list[tuple[int, int, float]]) -> list[tuple[int, int, flo
     than leaving both out. Of equal ends the first counts; of equal ways back the nearest.
     """
     points = sorted(points)
+    if len(points) <= FEW:
+        return _best_of_few(points)
     i, j, s = (np.array(c, float) for c in zip(*points, strict=True))
     best, back = s.copy(), np.full(len(points), -1)
     for k in range(1, len(points)):
@@ -87,6 +150,25 @@ def best_chain(points: list[tuple[int, int, float]]) -> list[tuple[int, int, flo
     return out[::-1]
 
 
+def _best_of_few(points: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """best_chain of sorted points, one by one."""
+    best, back = [p[2] for p in points], [-1] * len(points)
+    for k, (i, j, _) in enumerate(points):
+        top = 0.0
+        for c in range(k):
+            p = points[c]
+            if p[0] < i and p[1] < j:
+                way = best[c] - GAP * ((i - p[0] - 1) + (j - p[1] - 1))
+                if way > 0 and way >= top:
+                    top, back[k] = way, c
+        best[k] += top
+    k, out = best.index(max(best)), []
+    while k >= 0:
+        out.append(points[k])
+        k = back[k]
+    return out[::-1]
+
+
 def shared_out(boxes: list[str], words: list[str]) -> list[int]:
     """How many of the boxes, in order, each word gets, one at least, so that their texts set together differ least from the words."""
     n = len(boxes)
@@ -186,6 +268,9 @@ class Page:
                     groups.append(row)
                 row = []
         told: dict[int, tuple] = {}
+        could = [[x for w in group for x, _ in self.alike[w]] for group in groups]
+        reach = [(min(c), max(c)) if c else None for c in could]
+        on = [{self.words[w][0] for w in group} for group in groups]
         while True:
             for g, group in enumerate(groups):
                 if g not in told:
@@ -199,9 +284,8 @@ class Page:
             # a group's run may change if its words were placed, or boxes between those it could take
             words, boxes = {w for w, _ in taken}, [x for _, x in taken]
             lines = {self.words[w][0] for w in words}
-            for k, group in enumerate(groups):
-                could = [x for w in group for x, _ in self.alike[w]]
-                if could and (any(self.words[w][0] in lines for w in group) or any(min(could) <= x <= max(could) for x in boxes)):
+            for k, r in enumerate(reach):
+                if r and (on[k] & lines or any(r[0] <= x <= r[1] for x in boxes)):
                     told.pop(k, None)
 
     def between(self) -> None:
@@ -273,27 +357,16 @@ def match_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     their centres. how is run, between or one. A page is a group: what one reader sees. Null texts read as empty and
     match nothing but empty ones; pages without boxes or words give no rows.
     """
-    ship(words.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
 
     def one(left, right):
-        import pyarrow as pa
+        rows = sorted(zip(*(left[n] for n in ("line", "pos", "text", "label")), strict=True), key=lambda r: [(v is None, v if v is not None else 0) for v in r[:2]])
+        listed = sorted(zip(*(right[n] for n in ("box", "text", "x", "y", "h")), strict=True), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0))
+        told = Page([(line, pos, text or "", label) for line, pos, text, label in rows], [(t or "", x, y, h) for _, t, x, y, h in listed]).matched()
+        return [(*rows[k][:2], [listed[x][0] for x in xs], how) for k, xs, how in told]
 
-        right = right.rename_columns([c.removesuffix("_") for c in right.column_names])
-        left, right = left.sort_by([("line", "ascending"), ("pos", "ascending")]), right.sort_by("box")
-        cols = lambda t, names: list(zip(*(t.column(n).to_pylist() for n in names), strict=True))
-        rows = [(line, pos, text or "", label) for line, pos, text, label in cols(left, ("line", "pos", "text", "label"))]
-        box = right.column("box").to_pylist()
-        told = Page(rows, [(t or "", x, y, h) for t, x, y, h in cols(right, ("text", "x", "y", "h"))]).matched() if rows and box else []
-        at = pa.array([k for k, _, _ in told], pa.int64())
-        keys = [left.column(n).take(at) for n in ("page", "line", "pos")]
-        return pa.Table.from_arrays([*keys, pa.array([[box[x] for x in xs] for _, xs, _ in told], pa.list_(right.schema.field("box").type)), pa.array([h for *_, h in told], pa.string())], ["page", "line", "pos", "boxes", "how"])
-
-    # under names of their own, also where boxes are made from words
-    right = boxes.select(*(F.col(c).alias(f"{c}_") for c in ("page", "box", "text", "x", "y", "h")))
-    out = f"page {kinds['page']}, line {kinds['line']}, pos {kinds['pos']}, boxes array<{boxes.schema['box'].dataType.simpleString()}>, how string"
-    left, right = spread(words.select("page", "line", "pos", "text", "label"), "page"), spread(right, "page_")
-    return left.groupBy("page").cogroup(right.groupBy("page_")).applyInArrow(one, out)
+    out = f"line {kinds['line']}, pos {kinds['pos']}, boxes array<{boxes.schema['box'].dataType.simpleString()}>, how string"
+    return each_group(words.select("page", "line", "pos", "text", "label"), boxes.select("page", "box", "text", "x", "y", "h"), "page", one, out)
 
 
 def transfer_by_glyphs(lines: DataFrame, boxes: DataFrame, bin_size: int = 8) -> DataFrame:
