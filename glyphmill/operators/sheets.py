@@ -12,11 +12,10 @@ from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from glyphmill.functions.distances import likeness
-from glyphmill.functions.shipping import ship, spread
-from glyphmill.operators.boxes import edits
+from glyphmill.functions.grouped import each_group
+from glyphmill.operators.boxes import close_pairs
 
 # What a pair of words scores by its likeness, what a step over one costs, the share of a line's words and the
 # score that convince, what another region costs; and for what is left the least likeness of one word and of joined or split
@@ -26,14 +25,12 @@ PART_OF_LINE, CONVINCING, ELSEWHERE = 0.4, 0.6, 1.5
 ONE, TWO, LEAST, SURE = 0.75, 0.8, 0.4, 1200.0
 
 
-def likes(a: list[str], b: list[str]) -> np.ndarray:
-    """likeness of each text of a to each of b, in blocks; those with ? or * one by one."""
+def likes(a: list[str], b: list[str], least: float = 0.0) -> np.ndarray:
+    """likeness of each text of a to each of b, 0 where it is below least; those with ? or * one by one."""
     out = np.zeros((len(a), len(b)))
-    size = np.array([len(t) for t in b])
-    for k in range(0, len(a) if b else 0, 64):
-        some = a[k : k + 64]
-        own = np.array([len(t) for t in some])[:, None]
-        out[k : k + 64] = np.where((own > 0) & (size > 0), 1 - edits(some, b) / np.maximum(1, np.maximum(own, size)), 0.0)
+    i, j, d = close_pairs(a, b, 1 - least)
+    own, size = np.array([len(t) for t in a], np.int64)[i], np.array([len(t) for t in b], np.int64)[j]
+    out[i, j] = np.where((own > 0) & (size > 0), 1 - d / np.maximum(1, np.maximum(own, size)), 0.0)
     wild = lambda t: "?" in t or "*" in t
     marked = [j for j, t in enumerate(b) if wild(t)]
     for i, t in enumerate(a):
@@ -74,9 +71,10 @@ class Sheet:
         self.got: dict[tuple[int, int], tuple[str, list, float, float]] = {}
         self.at = [(r, j) for r, (_, row) in enumerate(runs) for j in range(len(row))]
         self.first = np.cumsum([0, *(len(row) for _, row in runs)])
+        self.run_of = np.array([r for r, _ in self.at], np.int64)
         self.text = [runs[r][1][j][1] for r, j in self.at]
         own = list(dict.fromkeys(t for _, ws, *_ in lines for t in ws))
-        self.like = dict(zip(own, likes(own, self.text), strict=True))
+        self.like = dict(zip(own, likes(own, self.text, SCORES[-1][0]), strict=True))
 
     def away(self, hint, x: float, y: float) -> float:
         return math.hypot(x - hint[0], y - hint[1]) / (hint[2] or SURE) if hint else 0.0
@@ -91,10 +89,11 @@ class Sheet:
         for k in sorted(range(len(self.lines)), key=lambda k: -len(self.lines[k][1])):
             _, words, hint, region = self.lines[k]
             best = None
-            for r, (where, readings) in enumerate(self.runs):
-                if not words or not self.free[r].any():
-                    continue
-                score, pairs = aligned(np.array([self.like[w][self.first[r] : self.first[r + 1]] for w in words]) * self.free[r])
+            table = np.array([self.like[w] for w in words]).reshape(len(words), len(self.at)) * np.concatenate([*self.free, np.zeros(0, bool)])
+            # a run without a free reading that is like one of the words has no pairs to give
+            for r in np.unique(self.run_of[(table >= SCORES[-1][0]).any(axis=0)]).tolist():
+                where, readings = self.runs[r]
+                score, pairs = aligned(table[:, self.first[r] : self.first[r + 1]])
                 if not pairs:
                     continue
                 x, y = np.mean([readings[j][2:4] for _, j in pairs], axis=0)
@@ -115,9 +114,9 @@ class Sheet:
                 free = np.flatnonzero(np.concatenate(self.free)) if self.at else np.zeros(0, int)
                 # what a reading and its free neighbour say together
                 pairs = [n for n in free.tolist() if n + 1 < len(self.at) and self.at[n + 1][0] == self.at[n][0] and self.free[self.at[n][0]][self.at[n][1] + 1]]
-                tries = [(free.tolist(), self.like[text][free], ONE, "whole"), (pairs, likes([text], [self.text[n] + self.text[n + 1] for n in pairs])[0], TWO, "split")]
+                tries = [(free.tolist(), self.like[text][free], ONE, "whole"), (pairs, likes([text], [self.text[n] + self.text[n + 1] for n in pairs], TWO)[0], TWO, "split")]
                 if after:
-                    tries.insert(0, (free.tolist(), likes([text + after], [self.text[n] for n in free])[0], TWO, "join"))
+                    tries.insert(0, (free.tolist(), likes([text + after], [self.text[n] for n in free], TWO)[0], TWO, "join"))
                 offers = []
                 for at, values, least, kind in tries:
                     for n, v in zip(at, values.tolist(), strict=True):
@@ -142,32 +141,22 @@ def match_sheet(words: DataFrame, readings: DataFrame) -> DataFrame:
     known; readings(page, run, at, id, text, x, y, region) are in order of (run, at). kind is whole, join or split.
     Null texts are empty and like nothing; pages without words or readings give no rows.
     """
-    ship(words.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
     id_kind = readings.schema["id"].dataType.simpleString()
 
     def one(left, right):
-        import pyarrow as pa
-
-        right = right.rename_columns([c.removesuffix("_") for c in right.column_names])
-        left, right = left.sort_by([("line", "ascending"), ("pos", "ascending")]), right.sort_by([("run", "ascending"), ("at", "ascending")])
+        rows = lambda cols, *by: sorted((dict(zip(cols, r, strict=True)) for r in zip(*cols.values(), strict=True)), key=lambda r: [(r[n] is None, r[n] if r[n] is not None else 0) for n in by])
         by_line, by_run = defaultdict(list), defaultdict(list)
-        for n, row in enumerate(left.to_pylist()):
-            by_line[row["line"]].append((n, row))
-        for row in right.to_pylist():
+        for row in rows(left, "line", "pos"):
+            by_line[row["line"]].append(row)
+        for row in rows(right, "run", "at"):
             by_run[row["run"]].append(row)
         place = lambda r: (r["x"], r["y"], r["sure"]) if r["x"] is not None and r["y"] is not None else None
-        lines = [(line, [r["text"] or "" for _, r in rows], place(rows[0][1]), rows[0][1]["region"]) for line, rows in by_line.items()]
-        sheet = Sheet(lines, [(rows[0]["region"], [(r["id"], r["text"] or "", r["x"], r["y"]) for r in rows]) for rows in by_run.values()])
+        lines = [(line, [r["text"] or "" for r in words_], place(words_[0]), words_[0]["region"]) for line, words_ in by_line.items()]
+        sheet = Sheet(lines, [(run[0]["region"], [(r["id"], r["text"] or "", r["x"], r["y"]) for r in run]) for run in by_run.values()])
         sheet.runs_of_lines()
         sheet.leftovers()
-        told = [(by_line[lines[k][0]][w][0], *v) for (k, w), v in sorted(sheet.got.items())]
-        at = pa.array([t[0] for t in told], pa.int64())
-        cols = [pa.array([t[2] for t in told], pa.list_(right.schema.field("id").type)), pa.array([t[1] for t in told], pa.string()), *(pa.array([t[k] for t in told], pa.float64()) for k in (3, 4))]
-        return pa.Table.from_arrays([*(left.column(n).take(at) for n in ("page", "line", "pos")), *cols], ["page", "line", "pos", "readings", "kind", "first", "last"])
-
-    left = spread(words.select("page", "line", "pos", "text", "x", "y", "sure", "region"), "page")
-    # under names of their own, also where readings are made from words
-    right = spread(readings.select(*(F.col(c).alias(f"{c}_") for c in ("page", "run", "at", "id", "text", "x", "y", "region"))), "page_")
-    out = f"page {kinds['page']}, line {kinds['line']}, pos {kinds['pos']}, readings array<{id_kind}>, kind string, first double, last double"
-    return left.groupBy("page").cogroup(right.groupBy("page_")).applyInArrow(one, out)
+        return [(lines[k][0], by_line[lines[k][0]][w]["pos"], ids, kind, first, last) for (k, w), (kind, ids, first, last) in sorted(sheet.got.items())]
+
+    left, right = words.select("page", "line", "pos", "text", "x", "y", "sure", "region"), readings.select("page", "run", "at", "id", "text", "x", "y", "region")
+    return each_group(left, right, "page", one, f"line {kinds['line']}, pos {kinds['pos']}, readings array<{id_kind}>, kind string, first double, last double")
