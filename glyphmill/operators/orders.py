@@ -8,12 +8,14 @@ size is a book's, are pure functions on lists of gatherings.
 from __future__ import annotations
 
 import string
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.shipping import ship
+from glyphmill.functions.shipping import ship, spread
 
 
 def resolve(orders: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -224,12 +226,52 @@ def overlay(leaves: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFr
     return values, known.groupBy("value").agg(F.count("*").alias("leaves"))
 
 
+#: A sheet's panels are dealt to stretches of so much of its width, over its mean panel's.
+STRETCH = 16
+
+
 def contacts(panels: DataFrame) -> DataFrame:
-    """a, b: each panel's nearest one above that overlaps it; panels(sheet, panel, x0, x1, z)."""
-    low, high = panels.alias("l"), panels.alias("h")
-    over = (F.col("l.sheet") == F.col("h.sheet")) & (F.col("h.z") > F.col("l.z")) & (F.col("h.x0") < F.col("l.x1")) & (F.col("l.x0") < F.col("h.x1"))
-    near = low.join(high, over).groupBy(F.col("l.sheet").alias("sheet"), F.col("l.panel").alias("a")).agg(F.min_by(F.col("h.panel"), F.col("h.z")).alias("b"))
-    return near
+    """a, b: each panel's nearest one above that overlaps it; panels(sheet, panel, x0, x1, z).
+
+    Sheets are cut into stretches. In one, panels are laid down from the highest z to the lowest: what shows at a place
+    is the nearest one above, so a panel looks at what shows where it lies and then covers it. Panels without width,
+    which cover nothing, are joined.
+    """
+    ship(panels.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in panels.schema.fields}
+    wide = panels.filter("x1 > x0").groupBy("sheet").agg((F.avg(F.col("x1") - F.col("x0")) * STRETCH).alias("_wide"))
+    at = lambda c: F.floor(F.col(c) / F.col("_wide"))
+    cut = panels.filter("x1 > x0 and z is not null").join(wide, "sheet")
+    cut = cut.select("sheet", "panel", F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), "z", F.explode(F.sequence(at("x0"), at("x1"))).alias("_at"))
+
+    def laid(table):
+        import pyarrow as pa
+
+        x0, x1, z = (table.column(c).to_pylist() for c in ("x0", "x1", "z"))
+        # what shows from each place on, -1 for nothing; of one z none is above the other
+        starts, shows, rows, above = [float("-inf")], [-1], [], []
+        for _, same in groupby(sorted(range(len(z)), key=lambda n: z[n], reverse=True), key=lambda n: z[n]):
+            same = list(same)
+            for n in same:
+                seen = [k for k in shows[bisect_right(starts, x0[n]) - 1 : bisect_left(starts, x1[n])] if k >= 0]
+                if seen:
+                    rows.append(n)
+                    above.append(min(seen, key=lambda k: z[k]))
+            for n in same:
+                a, b = bisect_left(starts, x0[n]), bisect_right(starts, x1[n])
+                starts[a:b], shows[a:b] = [x0[n], x1[n]], [n, shows[b - 1]]
+        rows, above = pa.array(rows, pa.int64()), pa.array(above, pa.int64())
+        return pa.Table.from_arrays([table.column("sheet").take(rows), table.column("panel").take(rows), table.column("panel").take(above), table.column("z").take(above)], ["sheet", "a", "b", "z"])
+
+    near = spread(cut, "sheet", "_at").groupBy("sheet", "_at").applyInArrow(laid, f"sheet {kinds['sheet']}, a {kinds['panel']}, b {kinds['panel']}, z {kinds['z']}")
+    flat = panels.filter("not x1 > x0")
+
+    def joined(low, high):
+        over = (F.col("l.sheet") == F.col("h.sheet")) & (F.col("h.z") > F.col("l.z")) & (F.col("h.x0") < F.col("l.x1")) & (F.col("l.x0") < F.col("h.x1"))
+        return low.alias("l").join(high.alias("h"), over).select("l.sheet", F.col("l.panel").alias("a"), F.col("h.panel").alias("b"), "h.z")
+
+    every = near.unionByName(joined(panels, flat)).unionByName(joined(flat, panels.filter("x1 > x0")))
+    return every.groupBy("sheet", "a").agg(F.min_by("b", "z").alias("b"))
 
 
 # edits: a book is a list of gatherings {"quire", "type", "bifolia"} and a list set aside; each returns a new book, or None if nothing changes
