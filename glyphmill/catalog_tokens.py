@@ -50,7 +50,7 @@ def find_wild(spark, sf_dir):
 
 @query(ON_SQL + ', p as (select *, lead(s) over w as t, lead(s, 2) over w as u, lead("on") over w as o from tok window w as (partition by page order by num, wi)) select page, num, wi from p where s = \'of\' and t = \'the\' and "on" and o and u = \'and\'')
 def phrase_over_lines(spark, sf_dir):
-    return T.phrase(_tokens(spark, sf_dir), "of", "the", "and").select("page", "num", "wi")
+    return T.phrase_in_lines(C.loci(spark, sf_dir), "of", "the", "and")
 
 
 @query(ON_SQL + ", p as (select t.*, line, lead(s) over (partition by t.page, t.num order by wi) as nx from tok t join loci l on t.page = l.page and t.num = l.num) select page, num, wi, s || nx as s from p where nx is not null and substring(line, start + length(s) + 1, 1) = ','")
@@ -63,7 +63,7 @@ def joined_words(spark, sf_dir):
 c as (select page, num, wi, s, concat_ws(' ', case when o1 and o2 then b2 end, case when o1 then b1 end) as before, concat_ws(' ', case when "on" then a1 end, case when "on" and p1 then a2 end) as after from p where s like 'oust%')
 select *, cast(row_number() over (order by case when split_part(after, ' ', 1) = '' then '~' else split_part(after, ' ', 1) end, page, num, wi) as int) as row from c""")
 def places_context(spark, sf_dir):
-    return T.ordered_places(T.context(_tokens(spark, sf_dir), F.col("s").startswith("oust"), 2), "after")
+    return T.ordered_places(T.context_in_lines(C.loci(spark, sf_dir), lambda s: s.startswith("oust"), 2), "after")
 
 
 @query(ON_SQL + """ select count(*) as places, count(*) filter (kind = 'P' and first) as first, count(*) filter (kind = 'P' and last) as last, count(*) filter (kind = 'P' and not first and not last) as inside, count(*) filter (kind <> 'P') as elsewhere,

@@ -6,6 +6,7 @@ numbers tokens with `numbered`, whose window is one page; `on` says whether the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,6 +67,36 @@ def context(tokens: DataFrame, hit: Column, reach: int) -> DataFrame:
     return told.filter("_hit").drop("_hit")
 
 
+def context_in_lines(lines: DataFrame, hit: Callable[[Column], Column], reach: int) -> DataFrame:
+    """context of tokens(lines) at words that hit holds for: page, num, wi, s, before, after.
+
+    Lines meet the ends of the lines around them, and only lines with a hit are cut into words.
+    """
+    w = Window.partitionBy("page").orderBy("num")
+    pieces = F.split("line", "[.,]")
+    some = lines.filter("line <> ''").select(
+        "page", "num", "kind", "ps", F.slice(pieces, 1, reach).alias("head"), F.reverse(F.slice(F.reverse(pieces), 1, reach)).alias("tail"), F.when(F.exists(pieces, hit), F.col("line")).alias("held")
+    )
+    some = some.withColumn("on", F.coalesce((F.col("kind") == "P") & (F.lead("kind").over(w) == "P") & ~F.lead("ps").over(w), F.lit(False)))
+    none = F.array().cast("array<string>")
+    before, after = none, none
+    for k in range(reach, 0, -1):
+        before = F.when(F.lag("on", k).over(w), F.concat(before, F.lag("tail", k).over(w))).otherwise(none)
+        after = F.when(F.col("on") if k == 1 else F.lead("on", k - 1).over(w), F.concat(F.lead("head", k).over(w), after)).otherwise(none)
+    told = some.select("page", "num", "held", before.alias("b"), after.alias("a")).filter("held is not null")
+    words = F.split("held", "[.,]")
+    told = told.select("page", "num", F.size("b").alias("n"), F.concat("b", words, "a").alias("all"), F.posexplode(words).alias("wi", "s")).filter(hit(F.col("s")))
+    at = F.col("n") + F.col("wi")
+    joined = lambda first, many: F.array_join(F.slice("all", first, many), " ")
+    return told.select("page", "num", "wi", "s", joined(F.greatest(F.lit(1), at - reach + 1), F.least(at, F.lit(reach))).alias("before"), joined(at + 2, F.lit(reach)).alias("after"))
+
+
+def phrase_in_lines(lines: DataFrame, *words: str) -> DataFrame:
+    """page, num, wi of phrase in tokens(lines); only lines with the first word are cut into words."""
+    told = context_in_lines(lines, lambda s: s == words[0], max(1, len(words) - 1))
+    return told.filter((F.col("after") == " ".join(words[1:])) if len(words) > 1 else F.lit(True)).select("page", "num", "wi")
+
+
 def ordered_places(told: DataFrame, by: str) -> DataFrame:
     """context rows numbered by the word before or after; rows without one last."""
     near = F.element_at(F.split("before", " "), -1) if by == "before" else F.element_at(F.split("after", " "), 1)
