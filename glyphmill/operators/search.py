@@ -129,6 +129,8 @@ def search(lines: DataFrame, query: str | Query, reading: Reading = Reading(), f
     word = query.items[0].literal if len(query.items) == 1 and hasattr(query.items[0], "literal") else None
     if reading.near and word:
         near = [r["w"] for r in near_words(lines, word, reading.near).orderBy("cost", "w").collect()]  # distinct spellings within two edits of a word
+        # a part that is near by itself is the hit, not the spelling with an uncertain space around it
+        near = [w for w in near if "," not in w or not {*w.split(",")} & {*near}]
         pattern = near_pattern(near, word)
     else:
         pattern = compile_query(query, reading, "java" if seconds is None else "python")
