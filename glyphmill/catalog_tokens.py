@@ -125,9 +125,8 @@ b as (select g.*, row_number() over (partition by page, num order by n desc, wei
 select page, num, x, wi, n, weight from b where best = 1 order by n desc, weight desc, page, num limit 12""")
 def shared_runs(spark, sf_dir):
     lines = C.loci(spark, sf_dir)
-    tok = C.tokens(lines)
     first = lines.filter("line <> ''").agg(F.min(F.struct("page", "num")).alias("l")).first()["l"]
-    return T.shared_runs(tok, (first["page"], first["num"]), T.weights(tok))
+    return T.shared_runs(lines, (first["page"], first["num"]))
 
 
 @query(ON_SQL + ", p as (select substring(s, i, 2) as pair, count(*) as n from (select s, unnest(range(1, length(s))) as i from tok where length(s) > 1) group by 1), c as (select *, sum(n) over (order by n desc, pair rows unbounded preceding) as upto, sum(n) over () as m from p) select pair, n, cast(upto / m as double) as share from c where upto - n < 0.995 * m")

@@ -189,26 +189,49 @@ def repeats(tokens: DataFrame) -> DataFrame:
     return runs.groupBy("page", "num", "stride", "run").agg(F.min("wi").alias("a"), F.count("*").alias("n")).select("page", "num", "a", (F.col("a") + F.col("stride")).cast("int").alias("b"), "n")
 
 
-def shared_runs(tokens: DataFrame, line: tuple, idf: DataFrame, top: int = 12, reach: int = 10_000) -> DataFrame:
+def shared_runs(lines: DataFrame, line: tuple, top: int = 12, reach: int = 10_000) -> DataFrame:
     """The longest runs that line (page, num) shares with other lines, over their line ends where the text runs on.
 
     The line's words (more than reach raise, since they are broadcast) meet equal words; matches that follow each other
     by one stride, without a break of the text, are a stretch. A line takes part in a stretch from its first word in it
     to the stretch's end. Three words count, or two of at least three letters whose idf adds up to 4; a line's best is
     its longest, then weightiest, then the one that begins first.
+
+    Places and breaks are running sums over lines; only lines with one of the words are cut into words, and only words
+    whose neighbour is met too go on.
     """
     here = (F.col("page") == line[0]) & (F.col("num") == line[1])
-    own = tokens.filter(here).select(F.col("wi").alias("x"), "s")
-    if own.limit(reach + 1).count() > reach:
+    pieces = F.split("line", "[.,]")
+    some = lines.filter("line <> ''")
+    asked = some.filter(here).select(pieces.alias("own"))
+    if (asked.select(F.size("own")).first() or [0])[0] > reach:
         raise ValueError(f"this line has more than {reach} words")
-    w = Window.partitionBy("page").orderBy("num", "wi")
-    broken = F.coalesce(F.sum((~F.col("on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    text = tokens.withColumn("i", F.row_number().over(w)).withColumn("broken", broken)
-    met = text.join(F.broadcast(own), "s").join(idf.select("s", "idf"), "s").withColumn("stride", F.col("i") - F.col("x"))
-    met = met.withColumn("stretch", F.col("i") - F.row_number().over(Window.partitionBy("page", "broken", "stride").orderBy("i")))
+    near = F.arrays_zip(F.col("own").alias("s"), F.concat(F.array(F.lit(None).cast("string")), "own").alias("b"), F.slice("own", 2, F.size("own")).alias("a"))
+    own = asked.select(F.posexplode(near).alias("x", "o")).select("x", "o.s", F.col("o.b").alias("own_b"), F.col("o.a").alias("own_a")).filter("s is not null")
+    w = Window.partitionBy("page").orderBy("num")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    met = some.join(F.broadcast(asked))  # one row
+    text = met.select(
+        "page", "num", "kind", "ps", F.size(pieces).alias("n"), F.get(pieces, F.lit(0)).alias("head"), F.element_at(pieces, -1).alias("tail"), F.when(F.arrays_overlap(pieces, "own"), F.col("line")).alias("held")
+    )
+    text = text.withColumn("on", F.coalesce((F.col("kind") == "P") & (F.lead("kind").over(w) == "P") & ~F.lead("ps").over(w), F.lit(False)))
+    text = text.select(
+        "page", "num", "held", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), F.coalesce(F.sum((~F.col("on")).cast("int")).over(before), F.lit(0)).alias("broken"),
+        F.when(F.lag("on").over(w), F.lag("tail").over(w)).alias("b"), F.when(F.col("on"), F.lead("head").over(w)).alias("a"),
+    ).filter("held is not null")
+    words = F.split("held", "[.,]")
+    each = F.arrays_zip(words.alias("s"), F.concat(F.array("b"), words).alias("b"), F.concat(F.slice(words, 2, F.size(words)), F.array("a")).alias("a"))
+    told = text.select("page", "num", "at", "broken", F.posexplode(each).alias("wi", "t")).select("page", "num", "wi", "broken", (F.col("at") + F.col("wi") + 1).alias("i"), "t.s", "t.b", "t.a")
+    pages = some.select("page").distinct().agg(F.count("*").alias("pages"))
+    df = met.select("page", F.explode(F.array_intersect(pieces, "own")).alias("s")).distinct().groupBy("s").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(pages)).select("s", F.log(F.col("pages") / F.col("df")).alias("idf"))  # a row for each of the line's words
+    told = told.join(F.broadcast(own), "s").filter((F.col("b") == F.col("own_b")) | (F.col("a") == F.col("own_a"))).join(F.broadcast(idf), "s").withColumn("stride", F.col("i") - F.col("x"))
+    told = told.select("page", "num", "broken", "stride", "i", "x", "wi", "idf", F.length("s").alias("size"))
+    told = told.withColumn("stretch", F.col("i") - F.row_number().over(Window.partitionBy("page", "broken", "stride").orderBy("i")))
     stretch = ("page", "broken", "stride", "stretch")
-    on = Window.partitionBy(*stretch).orderBy("i").rowsBetween(0, Window.unboundedFollowing)
-    told = met.select("page", "num", "x", "wi", F.row_number().over(Window.partitionBy(*stretch, "num").orderBy("i")).alias("nth"), F.count("*").over(on).alias("n"), F.round(F.sum("idf").over(on), 6).alias("weight"), F.min(F.length("s")).over(on).alias("short"))
+    # from a word to the stretch's end, added up from the end
+    on = Window.partitionBy(*stretch).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    told = told.select("page", "num", "x", "wi", F.row_number().over(Window.partitionBy(*stretch, "num").orderBy("i")).alias("nth"), F.count("*").over(on).alias("n"), F.round(F.sum("idf").over(on), 6).alias("weight"), F.min("size").over(on).alias("short"))
     told = told.filter((F.col("nth") == 1) & ~here & ((F.col("n") >= 3) | ((F.col("n") == 2) & (F.col("weight") >= 4) & (F.col("short") >= 3))))
     best = Window.partitionBy("page", "num").orderBy(F.desc("n"), F.desc("weight"), "x", "wi")
     told = told.withColumn("best", F.row_number().over(best)).filter("best = 1")
