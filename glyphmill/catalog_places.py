@@ -300,6 +300,7 @@ def word_shapes(spark, sf_dir):
         "page", "word", "mid", "ray", F.lit(0).alias("line"), F.when(kind == 0, "C").when(kind == 1, "R").otherwise("P").alias("kind"), F.lit(6).alias("glyphs"),
         F.col("b.x").alias("x0"), F.col("b.y").alias("y0"), (F.col("b.x") + F.col("b.w")).alias("x1"), (F.col("b.y") + F.col("b.h")).alias("y1"), ((kind == 0) & (j % 4 == 3)).alias("est"),
     )
+    words = stored(words, "drawn")  # read several times
     out = H.shapes(words.drop("mid", "ray")).join(words.select("page", "word", "mid", "ray"), ["page", "word"])
     p = lambda k: F.get("p", F.lit(k))
     arc = (F.hypot(p(0) - 500, p(1) - 500) <= 5) & (F.abs((p(2) + p(3)) / 2 - 300) <= 12) & (F.abs(G.wrapped((p(4) + p(5)) / 2 - F.col("mid"))) <= 3)

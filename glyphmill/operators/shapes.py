@@ -18,6 +18,8 @@ from glyphmill.operators.spatial import circle_fit, lower_third, wrapped
 # heights, how far and in how many steps a word's own radius may differ, margin in text heights, how well its arc must fit.
 RING_WORDS, RING_PLACED, RING_MISS, RING_SPAN, RING_HEIGHTS = 4, 3, 0.12, 60.0, 3.0
 WANDER, STEPS, MARGIN, ARC_FIT = 0.9, 13, 0.08, 0.45
+# Radii and angles of words that are tried at a time.
+ARC_CELLS = 200_000
 # Between words: part of a glyph, degrees behind what is reached that count as another round, and the widest guess.
 SPACE, BACK, WIDEST = 0.6, 30.0, 90.0
 # A turned box: how well it must fill its own; a slanted line: words of a paragraph's and of a label's, its length in text
@@ -29,37 +31,64 @@ def _arcs(batches):
     """Each word's radius, ends and fit on its line's circle: the radius whose arc within the box fills the box best.
 
     Angles are tried by half degrees, around that of the box's middle; a radius's arc is the run of them within the box
-    that holds the middle's, or is nearest to it.
+    that holds the middle's, or is nearest to it. Of a box that doesn't hold the circle's centre, only the angles that it
+    is seen under are tried.
     """
     import pyarrow as pa
 
-    turns, cols = np.arange(-360, 360) / 2, np.arange(720)
-    quarter = np.arange(-8, 9) * 90.0
-    radii = np.linspace(-WANDER, WANDER, STEPS)
     for batch in batches:
-        told = []
-        for fx, fy, r, t, x0, y0, x1, y1 in zip(*(batch.column(n).to_pylist() for n in ("fx", "fy", "fr", "t", "x0", "y0", "x1", "y1")), strict=True):
-            angle = np.round(2 * np.degrees(np.arctan2((y0 + y1) / 2 - fy, (x0 + x1) / 2 - fx))) / 2 + turns
-            rr, m = (r + radii * t)[:, None], MARGIN * t
-            px, py = fx + rr * np.cos(np.radians(angle)), fy + rr * np.sin(np.radians(angle))
-            inside = (px >= x0 - m) & (px <= x1 + m) & (py >= y0 - m) & (py <= y1 + m)
-            k = np.where(inside, np.abs(cols - 360), 720).argmin(axis=1)[:, None]
-            last = np.where(~inside & (cols > k), cols, 720).min(axis=1) - 1
-            first = np.where(~inside & (cols < k), cols, -1).max(axis=1) + 1
-            a0, a1 = angle[first], angle[np.minimum(last, 719)]
-            # the box around the ring's part between these angles
-            ends = np.concatenate([np.stack([a0, a1], axis=1), np.where((quarter > a0[:, None]) & (quarter < a1[:, None]), quarter, a0[:, None])], axis=1)
-            c, s = np.cos(np.radians(ends)), np.sin(np.radians(ends))
-            xs, ys = (np.concatenate([o + (rr - t / 2) * f, o + (rr + t / 2) * f], axis=1) for o, f in ((fx, c), (fy, s)))
-            across = np.minimum(x1, xs.max(axis=1)) - np.maximum(x0, xs.min(axis=1))
-            down = np.minimum(y1, ys.max(axis=1)) - np.maximum(y0, ys.min(axis=1))
-            both = np.maximum(0, across) * np.maximum(0, down)
-            fit = both / np.maximum(1e-9, (x1 - x0) * (y1 - y0) + np.ptp(xs, axis=1) * np.ptp(ys, axis=1) - both)
-            fit[~inside.any(axis=1)] = -1
-            n = int(fit.argmax())
-            told.append((float(rr[n, 0]), float(a0[n]), float(a1[n]), float(fit[n])))
-        more = list(zip(*told, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, pa.float64()) for v in more)], [*batch.schema.names, "rr", "a0", "a1", "fit"])
+        at = [batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("fx", "fy", "fr", "t", "x0", "y0", "x1", "y1")]
+        told = np.zeros((batch.num_rows, 4))
+        reach = _reach(*at)
+        order = np.argsort(reach, kind="stable")
+        first = 0
+        while first < len(order):  # words whose boxes reach about as far go together
+            some = order[first : first + max(1, ARC_CELLS // (STEPS * (2 * int(reach[order[first]]) + 1)))]
+            some = some[reach[some] <= 2 * reach[some[0]]]
+            told[some] = _best_arcs(*(x[some] for x in at), int(reach[some[-1]]))
+            first += len(some)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, told.T.copy())], [*batch.schema.names, "rr", "a0", "a1", "fit"])
+
+
+def _middle(fx, fy, x0, y0, x1, y1) -> np.ndarray:
+    """The angle of each box's middle, to half a degree."""
+    return np.round(2 * np.degrees(np.arctan2((y0 + y1) / 2 - fy, (x0 + x1) / 2 - fx))) / 2
+
+
+def _reach(fx, fy, r, t, x0, y0, x1, y1) -> np.ndarray:
+    """How many half degrees from its middle each box with its margin may reach, seen from the circle's centre: all 360 if that lies in it."""
+    m, base = MARGIN * t, _middle(fx, fy, x0, y0, x1, y1)
+    corners = np.stack([np.degrees(np.arctan2(y - fy, x - fx)) - base for x in (x0 - m, x1 + m) for y in (y0 - m, y1 + m)])
+    far = np.ceil(2 * np.abs((corners + 180) % 360 - 180).max(axis=0)) + 2
+    apart = (fx < x0 - m) | (fx > x1 + m) | (fy < y0 - m) | (fy > y1 + m)
+    return np.where(apart & (far < 350), far, 360).astype(np.int64)
+
+
+def _best_arcs(fx, fy, r, t, x0, y0, x1, y1, reach: int) -> np.ndarray:
+    """Radius, ends and fit of some words' arcs; angles further than reach half degrees from a box's middle are in none of the boxes."""
+    turn = np.arange(-360, 360) if reach >= 360 else np.arange(-reach, reach + 1)
+    cols, quarter = np.arange(len(turn)), np.arange(-8, 9) * 90.0
+    angle = _middle(fx, fy, x0, y0, x1, y1)[:, None] + turn / 2
+    rr = r[:, None] + np.linspace(-WANDER, WANDER, STEPS) * t[:, None]
+    fx, fy, t, x0, y0, x1, y1 = (v[:, None] for v in (fx, fy, t, x0, y0, x1, y1))
+    m = (MARGIN * t)[:, :, None]
+    px, py = (o[:, :, None] + rr[:, :, None] * f(np.radians(angle))[:, None, :] for o, f in ((fx, np.cos), (fy, np.sin)))
+    inside = (px >= x0[:, :, None] - m) & (px <= x1[:, :, None] + m) & (py >= y0[:, :, None] - m) & (py <= y1[:, :, None] + m)
+    k = np.where(inside, np.abs(turn), 720).argmin(axis=2)[:, :, None]
+    last = np.where(~inside & (cols > k), cols, len(cols)).min(axis=2) - 1
+    first = np.where(~inside & (cols < k), cols, -1).max(axis=2) + 1
+    a0, a1 = (np.take_along_axis(angle, n, 1)[:, :, None] for n in (first, last))
+    # the box around the ring's part between these angles
+    ends = np.concatenate([a0, a1, np.where((quarter > a0) & (quarter < a1), quarter, a0)], axis=2)
+    low, high = (rr - t / 2)[:, :, None], (rr + t / 2)[:, :, None]
+    xs, ys = (np.concatenate([o[:, :, None] + low * f, o[:, :, None] + high * f], axis=2) for o, f in ((fx, np.cos(np.radians(ends))), (fy, np.sin(np.radians(ends)))))
+    across = np.minimum(x1, xs.max(axis=2)) - np.maximum(x0, xs.min(axis=2))
+    down = np.minimum(y1, ys.max(axis=2)) - np.maximum(y0, ys.min(axis=2))
+    both = np.maximum(0, across) * np.maximum(0, down)
+    fit = both / np.maximum(1e-9, (x1 - x0) * (y1 - y0) + np.ptp(xs, axis=2) * np.ptp(ys, axis=2) - both)
+    fit[~inside.any(axis=2)] = -1
+    n = fit.argmax(axis=1)[:, None]
+    return np.concatenate([np.take_along_axis(v, n, 1) for v in (rr, a0[:, :, 0], a1[:, :, 0], fit)], axis=1)
 
 
 def _turned(w: Column, h: Column, angle: Column, t: Column) -> tuple[Column, Column]:
