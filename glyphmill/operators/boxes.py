@@ -169,17 +169,28 @@ def _best_of_few(points: list[tuple[int, int, float]]) -> list[tuple[int, int, f
     return out[::-1]
 
 
+def _grown(word: str, boxes: list[str]) -> list[int]:
+    """Edits of word to the first box, the first two set together, and so on: one table that grows a letter at a time."""
+    row, out = list(range(len(word) + 1)), []
+    for box in boxes:
+        for y in box:
+            over, row[0] = row[0], row[0] + 1
+            for i, x in enumerate(word, 1):
+                over, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, over + (x != y))
+        out.append(row[-1])
+    return out
+
+
 def shared_out(boxes: list[str], words: list[str]) -> list[int]:
     """How many of the boxes, in order, each word gets, one at least, so that their texts set together differ least from the words."""
     n = len(boxes)
     cost, came = {0: 0}, []
     for k, word in enumerate(words):
-        spans = [(p, q) for p in cost for q in range(p + 1, n - (len(words) - k - 1) + 1)]
-        far = edits([word], ["".join(boxes[p:q]) for p, q in spans])[0].tolist()
         new, via = {}, {}
-        for (p, q), d in zip(spans, far, strict=True):
-            if q not in new or cost[p] + d < new[q]:
-                new[q], via[q] = cost[p] + d, p
+        for p in cost:
+            for q, d in enumerate(_grown(word, boxes[p : n - (len(words) - k - 1)]), p + 1):
+                if q not in new or cost[p] + d < new[q]:
+                    new[q], via[q] = cost[p] + d, p
         cost = new
         came.append(via)
     sizes, q = [], n

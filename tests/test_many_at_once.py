@@ -1,8 +1,11 @@
 """Work on words that is done many at a time, held against what it says word by word."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
+from glyphmill.operators import boxes as B
 from glyphmill.operators import shapes as H
 
 
@@ -47,3 +50,21 @@ def test_arcs_of_many_words_are_those_of_each():
     reach = H._reach(*at)
     assert np.median(reach) < 60 and (reach == 360).sum() >= 5
     assert next(H._arcs(iter([batch.slice(0, 0)]))).num_rows == 0
+
+
+def test_boxes_are_shared_out_without_a_table_for_each_span(monkeypatch):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(300):
+        k = rng.randint(1, 4)
+        rows.append(tuple(["".join(rng.choices("abc", k=rng.randint(0, 5))) for _ in range(n)] for n in (rng.randint(k, k + 3), k)))
+    for boxes, words in rows:
+        far = lambda w, p, q, b=boxes: int(edits([w], ["".join(b[p:q])])[0, 0])
+        least = lambda k, p, b=boxes, w=words: (0 if p == len(b) else 10**9) if k == len(w) else min((far(w[k], p, q) + least(k + 1, q) for q in range(p + 1, len(b) + 1)), default=10**9)  # noqa: B023, E731
+        edits = B.edits
+        with monkeypatch.context() as m:
+            m.setattr(B, "edits", None)  # no arrays for a few letters
+            sizes = B.shared_out(boxes, words)
+        ends = np.cumsum([0, *sizes]).tolist()
+        assert min(sizes) > 0 and ends[-1] == len(boxes)
+        assert sum(far(w, p, q) for w, p, q in zip(words, ends, ends[1:], strict=False)) == least(0, 0)
