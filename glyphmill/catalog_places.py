@@ -58,23 +58,23 @@ def _contacts_sql(t: str = "", way: str = "case when l_returnflag = 'R' then -1
     return (PIECES_SQL + (",\n" + TOUCH_SQL if touched else "")).format(t=t, way=way)
 
 
-def _leaves(spark, sf_dir, way=None):
+def _leaves(spark, sf_dir):
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     page = lambda key, side: F.concat(F.lit("p"), F.col(key) % 3, F.lit(side))
     low = F.col("l_tax") * 100
     told = li.withColumn("j", j).withColumn("fp", page("l_partkey", "r")).withColumn("bp", page("l_suppkey", "v"))
     name = lambda c: F.concat(c, F.lit(" ("), F.col("j"), F.lit(")"))
-    own = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) if way is None else F.lit(way)
+    own = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     piece = F.struct("j", F.col("l_quantity").alias("width"), own.alias("way"), low.alias("low"), (low + 2 + F.col("l_discount") * 100).alias("high"), name("fp").alias("front"), name("bp").alias("back"), F.col("fp").alias("front_page"), F.col("bp").alias("back_page"))
     return told.groupBy(F.col("l_orderkey").alias("sheet")).agg(F.array_sort(F.collect_list(piece)).alias("pieces")).withColumn("leaf", F.lit(0))
 
 
-def _touches(spark, sf_dir, stacks):
+def _touches(spark, sf_dir, leaves):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("sheet"), (F.col("o_orderstatus") == "F").alias("every"))
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     third = F.filter(F.array(pair(F.get("pieces", F.lit(0))["front"], F.get("pieces", F.lit(2))["back"])), lambda x: x["b"].isNotNull())
-    return orders.join(stacks.select("sheet", F.concat(F.array(pair(F.lit("p0r"), F.lit("p1r"))), third).alias("touch")), "sheet")
+    return orders.join(leaves.select("sheet", F.concat(F.array(pair(F.lit("p0r"), F.lit("p1r"))), third).alias("touch")), "sheet")
 
 
 @query(f"with recursive {_contacts_sql()} select sheet, j as piece, cast(layer as int) as layer, up, cast(x0 as double) as x0, cast(x1 as double) as x1 from lain")
@@ -84,8 +84,8 @@ def fold_stacks(spark, sf_dir):
 
 @query(f"with recursive {_contacts_sql(touched=True)} select sheet, a, a_face, a_name, b, b_face, b_name, fold from told")
 def sheet_contacts(spark, sf_dir):
-    stacks = stored(L.stacked(_leaves(spark, sf_dir)), "stacks")
-    return L.sheet_contacts(stacks, _touches(spark, sf_dir, stacks)).drop("leaf")
+    leaves = stored(_leaves(spark, sf_dir), "leaves")
+    return L.sheet_contacts(L.stacked(leaves), _touches(spark, sf_dir, leaves)).drop("leaf")
 
 
 # a customer's orders by date make an order of leaves, by key its base, where all folds go in
@@ -101,9 +101,10 @@ union all
 select n.order_id, n.n + 0.5, 'fold', fold, a_name, b_name, not exists (select 1 from base b where b.sheet = t.sheet and b.low = least(a_name, b_name) and b.high = greatest(a_name, b_name))
 from told t join numbered n using (sheet)""")
 def order_contacts(spark, sf_dir):
-    stacks, base = stored(L.stacked(_leaves(spark, sf_dir)), "stacks"), stored(L.stacked(_leaves(spark, sf_dir, way=1)), "stacks")
+    folded = stored(_leaves(spark, sf_dir), "leaves")
+    base = folded.withColumn("pieces", F.transform("pieces", lambda p: p.withField("way", F.lit(1))))
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("order_id"), F.col("o_orderkey").alias("sheet"), "o_orderdate")
-    first = stacks.select("sheet", F.concat(F.col("pieces")[0]["back"], F.lit("/"), "sheet").alias("name"))
+    first = folded.select("sheet", F.concat(F.col("pieces")[0]["back"], F.lit("/"), "sheet").alias("name"))
 
     def facing(*by):
         w = Window.partitionBy("order_id").orderBy(*by)
@@ -112,7 +113,8 @@ def order_contacts(spark, sf_dir):
         return named.select("order_id", "pos", F.col("name").alias("a_name")).join(nxt, ["order_id", "pos"])
 
     leaves = orders.withColumn("n", F.row_number().over(Window.partitionBy("order_id").orderBy("o_orderdate", "sheet"))).select("order_id", "sheet", F.lit(0).alias("leaf"), "n")
-    inside = [L.sheet_contacts(x, _touches(spark, sf_dir, x)) for x in (stacks, base)]
+    touches = _touches(spark, sf_dir, folded)
+    inside = [L.sheet_contacts(L.stacked(x), touches) for x in (folded, base)]
     return L.contacts_in_order(facing("o_orderdate", "sheet"), facing("sheet"), *inside, leaves)
 
 
