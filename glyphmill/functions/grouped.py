@@ -1,4 +1,4 @@
-"""Two frames' rows by group, many groups in an Arrow batch: for small groups, where a batch for each costs more than the work."""
+"""Rows by group, many groups in an Arrow batch: for small groups, where a batch for each costs more than the work; and a batch in slices of bounded size."""
 
 from __future__ import annotations
 
@@ -13,6 +13,22 @@ from glyphmill.functions.shipping import ship, spread
 #: So many groups are Python objects at a time.
 GROUPS = 64
 
+#: So many bytes of text are cut at a time.
+CUT_BYTES = 4 << 20
+
+
+def slices(batch, column: str, most: int = CUT_BYTES):
+    """The rows of batch in turn, of which the column has at most so many bytes at a time, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
 
 def each_group(left: DataFrame, right: DataFrame, key: str, one: Callable[[dict, dict], list[tuple]], out: str) -> DataFrame:
     """key and what one tells of each group: one(left, right) has the columns of its rows as lists, in no order, and gives rows of out.

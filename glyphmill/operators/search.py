@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.distances import near_cost
-from glyphmill.plans.language import KINDS, Query, QueryError, Reading, compile_query, near_pattern, parse
+from glyphmill.functions.grouped import slices
+from glyphmill.functions.shipping import ship
+from glyphmill.plans.language import KINDS, Query, QueryError, Reading, compile_query, family, near_pattern, parse
 from glyphmill.sources.corpus import numbered_by
 
 
@@ -36,7 +38,6 @@ def matches(lines: DataFrame, pattern: str) -> DataFrame:
 
 def matches_python(lines: DataFrame, pattern: str) -> DataFrame:
     """The same by an Arrow batch function; pattern is in Python's dialect."""
-    from glyphmill.functions.shipping import ship
 
     ship(lines.sparkSession)
 
@@ -109,12 +110,29 @@ def counts(lines: DataFrame, pattern: str) -> DataFrame:
 def near_words(lines: DataFrame, word: str, near: int) -> DataFrame:
     """w and cost: the words of lines within near edits of word, where an edit inside a family costs half.
 
-    Words are cut at certain spaces only and compared without uncertain ones, by length first.
+    Words are cut at certain spaces only and compared without uncertain ones. Only different words of a fitting length
+    leave a slice of lines, so that edits are counted for spellings, not for every place.
     """
-    vocabulary = lines.select(F.explode(F.split("line", r"\.")).alias("w")).filter("w <> ''").distinct()
+    ship(lines.sparkSession)
+    low, high = len(word) - near, len(word) + near
+
+    def fitting(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for some in slices(batch, "line"):
+                w = pc.unique(pc.list_flatten(pc.split_pattern(some.column("line"), ".")))
+                size = pc.utf8_length(pc.replace_substring(w, ",", ""))
+                fit = pc.and_(pc.not_equal(w, ""), pc.and_(pc.greater_equal(size, low), pc.less_equal(size, high)))
+                yield pa.RecordBatch.from_arrays([w.filter(fit)], ["w"])
+
+    close = lines.select("line").mapInArrow(fitting, "w string").distinct()
     bare = F.replace("w", F.lit(","), F.lit(""))
-    close = vocabulary.filter(F.abs(F.length(bare) - len(word)) <= near)
-    return close.select("w", near_cost(bare, word).alias("cost")).filter(F.col("cost") <= near)
+    # an edit costs half at most once for each letter with a family, so plain edits rule out most spellings at little cost
+    edits = near + sum(bool(set(family(c) or "") - {c}) for c in word) // 2
+    some = close.filter(F.levenshtein(bare, F.lit(word), edits) >= 0)
+    return some.select("w", near_cost(bare, word).alias("cost")).filter(F.col("cost") <= near)
 
 
 def search(lines: DataFrame, query: str | Query, reading: Reading = Reading(), facts: DataFrame | None = None, order: DataFrame | None = None, sets: DataFrame | None = None, seconds: float | None = None) -> DataFrame:
