@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.grouped import slices
+from glyphmill.functions.shipping import ship
 from glyphmill.sources.cached import table_of
 
 #: What counts as a letter.
@@ -112,14 +114,15 @@ def words(lines: DataFrame, *keep: str) -> DataFrame:
 
 
 def placed_words(lines: DataFrame, *keep: str) -> DataFrame:
-    """words plus start, the place in the line. Places are running sums over a whole Arrow batch, linear in its words."""
+    """words plus start, the place in the line. Places are running sums over a slice of lines, linear in its words; a line's words come together, in order."""
+    ship(lines.sparkSession)
 
     def scan(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, "line")):
             cut = pc.split_pattern_regex(batch.column("line"), "[.,]")
             row, s = pc.list_parent_indices(cut).to_numpy().astype(np.int64), pc.list_flatten(cut)
             size = np.concatenate([[0], np.cumsum(pc.utf8_length(s).to_numpy(zero_copy_only=False) + 1)])
