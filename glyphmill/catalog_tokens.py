@@ -55,8 +55,7 @@ def phrase_over_lines(spark, sf_dir):
 
 @query(ON_SQL + ", p as (select t.*, line, lead(s) over (partition by t.page, t.num order by wi) as nx from tok t join loci l on t.page = l.page and t.num = l.num) select page, num, wi, s || nx as s from p where nx is not null and substring(line, start + length(s) + 1, 1) = ','")
 def joined_words(spark, sf_dir):
-    lines = C.loci(spark, sf_dir)
-    return T.joined_words(C.placed_words(lines, "line"))
+    return T.joined_words(C.loci(spark, sf_dir))
 
 
 @query(ON_SQL + """, p as (select *, lag(s) over w as b1, lag(s, 2) over w as b2, lag("on") over w as o1, lag("on", 2) over w as o2, lead(s) over w as a1, lead(s, 2) over w as a2, lead("on") over w as p1 from tok window w as (partition by page order by num, wi)),
@@ -113,7 +112,7 @@ def similar_spellings(spark, sf_dir):
 @query(ON_SQL + """, a as (select page, num, wi, lead(wi) over (partition by page, num, s order by wi) as b from tok), d as (select *, b - wi as stride, wi - row_number() over (partition by page, num, b - wi order by wi) as run from a where b is not null)
 select page, num, min(wi) as a, cast(min(wi) + stride as int) as b, count(*) as n from d group by page, num, stride, run""")
 def ring_repeats(spark, sf_dir):
-    return T.repeats(C.words(C.loci(spark, sf_dir)))
+    return T.repeats(C.loci(spark, sf_dir))
 
 
 @query(IDF_SQL + """, l as (select page as p, num as q from loci where line <> '' order by page, num limit 1), own as (select wi as x, s from tok join l on page = p and num = q),

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.grouped import slices
+from glyphmill.functions.shipping import ship
 from glyphmill.plans.language import FAMILIES
 from glyphmill.sources.corpus import numbered_by
 
@@ -45,12 +47,29 @@ def phrase(tokens: DataFrame, *words: str) -> DataFrame:
     return tokens.withColumn("_fit", reduce(lambda a, b: a & b, fit)).filter("_fit").drop("_fit")
 
 
-def joined_words(words: DataFrame) -> DataFrame:
-    """page, num, wi, s: words on both sides of an uncertain space as one, at the first one's place; words has start and line."""
-    w = Window.partitionBy("page", "num").orderBy("wi")
-    told = words.withColumn("comma", F.substring("line", F.col("start") + F.length("s") + 1, F.lit(1)) == ",").drop("line")
-    told = told.withColumn("next", F.lead("s").over(w))
-    return told.filter(F.col("comma") & F.col("next").isNotNull()).select("page", "num", "wi", F.concat("s", "next").alias("s"))
+def joined_words(lines: DataFrame) -> DataFrame:
+    """page, num, wi, s: words on both sides of an uncertain space as one, at the first one's place."""
+    ship(lines.sparkSession)
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in (some for whole in batches for some in slices(whole, "line")):
+            sure = pc.split_pattern(batch.column("line"), ".")
+            parts = pc.split_pattern(pc.list_flatten(sure), ",")
+            piece, s = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
+            row = pc.list_parent_indices(sure).to_numpy()[piece]
+            # words of one piece have uncertain spaces between them
+            at = np.flatnonzero(piece[1:] == piece[:-1])
+            wi = (at - np.searchsorted(row, row[at])).astype(np.int32)
+            told, first = pa.array(row[at].astype(np.int64)), pa.array(at, pa.int64())
+            both = pc.binary_join_element_wise(s.take(first), s.take(pc.add(first, 1)), "")
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(told), batch.column("num").take(told), pa.array(wi), both], ["page", "num", "wi", "s"])
+
+    kind = lambda c: lines.schema[c].dataType.simpleString()
+    return lines.filter("line <> ''").select("page", "num", "line").mapInArrow(scan, f"page {kind('page')}, num {kind('num')}, wi int, s string")
 
 
 def context(tokens: DataFrame, hit: Column, reach: int) -> DataFrame:
@@ -122,9 +141,19 @@ def where_it_sits(tokens: DataFrame, hit: Column, facts: DataFrame | None = None
     return hits.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()))
 
 
-def weights(tokens: DataFrame) -> DataFrame:
-    """s, tf, df, idf: occurrences, pages, and log of pages over df."""
-    held = tokens.groupBy("page", "s").agg(F.count("*").alias("n"))
+#: So many words are sent to every task.
+FEW_WORDS = 100_000
+
+
+def few(words: DataFrame) -> bool:
+    """Whether these words can be sent to every task."""
+    return words.limit(FEW_WORDS + 1).count() <= FEW_WORDS
+
+
+def weights(tokens: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """s, tf, df, idf: occurrences, pages, and log of pages over df; with only(s), of these words, which go to every task."""
+    some = tokens if only is None else tokens.join(F.broadcast(only), "s", "left_semi")  # behind a count
+    held = some.groupBy("page", "s").agg(F.count("*").alias("n"))
     pages = tokens.select("page").distinct().agg(F.count("*").alias("pages"))
     each = held.groupBy("s").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     return each.join(F.broadcast(pages)).select("s", "tf", "df", F.log(F.col("pages") / F.greatest(F.col("df"), F.lit(1))).alias("idf"))  # one row
@@ -133,12 +162,18 @@ def weights(tokens: DataFrame) -> DataFrame:
 def pages_with(tokens: DataFrame, words: DataFrame, idf: DataFrame, near: bool = False) -> DataFrame:
     """page, n, score, weight: how many of words(w) a page holds, and the sum of their idf; a near spelling counts half.
 
-    Near spellings are one edit apart. They are found by joining on spellings with one letter left out.
+    Near spellings are one edit apart. They are found by joining on spellings with one letter left out. Without them, few
+    words go to the pages, so that only what meets them is shuffled.
     """
     exact = words.select("w", F.col("w").alias("s"), F.lit(1.0).alias("share"))
+    if not near and few(words):
+        held = tokens.select("page", "s").join(F.broadcast(exact), "s")  # behind a count
+    else:
+        held = None
     if near:
         exact = exact.unionByName(near_spellings(words, tokens.select("s").distinct()).select("w", "s", F.lit(0.5).alias("share")))
-    held = tokens.select("page", "s").distinct().join(exact, "s").groupBy("page", "w").agg(F.max("share").alias("share"))
+    held = tokens.select("page", "s").distinct().join(exact, "s") if held is None else held
+    held = held.groupBy("page", "w").agg(F.max("share").alias("share"))
     scored = held.join(idf.select(F.col("s").alias("w"), "idf"), "w", "left").groupBy("page").agg(F.count("*").alias("n"), F.sum(F.col("share") * F.coalesce("idf", F.lit(0.0))).alias("score"))
     return scored.withColumn("weight", F.col("n") / F.max("n").over(Window.partitionBy()))
 
@@ -167,7 +202,8 @@ def expected_pages(tokens: DataFrame, words: list[str]) -> DataFrame:
 def similar_pages(tokens: DataFrame, page, top: int = 10) -> DataFrame:
     """The pages that share most with page, by summed idf; words on more than half of all pages weigh little by idf."""
     words = tokens.filter(F.col("page") == page).select(F.col("s").alias("w")).distinct()
-    told = pages_with(tokens.filter(F.col("page") != page), words, weights(tokens))
+    idf = weights(tokens, words.withColumnRenamed("w", "s") if few(words) else None)
+    told = pages_with(tokens.filter(F.col("page") != page), words, idf)
     return told.orderBy(F.col("score").desc(), F.col("n").desc(), "page").limit(top)
 
 
@@ -177,16 +213,38 @@ def shared_words(tokens: DataFrame, a, b, top: int = 8) -> DataFrame:
     return weights(tokens).join(both, "s").orderBy("df", "s").limit(top).select("s", "df")
 
 
-def repeats(tokens: DataFrame) -> DataFrame:
+def repeats(lines: DataFrame) -> DataFrame:
     """page, num, a, b, n: arcs from a word to its next occurrence in the line, and how many words repeat from there on.
 
-    An arc inside a longer one of the same stride is left out: only the first word of each diagonal run stays.
+    An arc inside a longer one of the same stride is left out: only the first word of each diagonal run stays. All lines
+    of a slice are looked at together, by sorting its words.
     """
-    w = Window.partitionBy("page", "num", "s").orderBy("wi")
-    arcs = tokens.select("page", "num", "wi", F.lead("wi").over(w).alias("b")).filter("b is not null").withColumn("stride", F.col("b") - F.col("wi"))
-    d = Window.partitionBy("page", "num", "stride").orderBy("wi")
-    runs = arcs.withColumn("run", F.col("wi") - F.row_number().over(d))
-    return runs.groupBy("page", "num", "stride", "run").agg(F.min("wi").alias("a"), F.count("*").alias("n")).select("page", "num", "a", (F.col("a") + F.col("stride")).cast("int").alias("b"), "n")
+    ship(lines.sparkSession)
+
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in (some for whole in batches for some in slices(whole, "line")):
+            cut = pc.split_pattern_regex(batch.column("line"), "[.,]")
+            row = pc.list_parent_indices(cut).to_numpy().astype(np.int64)
+            wi = np.arange(len(row)) - np.searchsorted(row, row)
+            word = pc.list_flatten(cut).dictionary_encode().indices.to_numpy()
+            by = np.lexsort((wi, word, row))
+            next_ = np.flatnonzero((row[by][1:] == row[by][:-1]) & (word[by][1:] == word[by][:-1]))
+            row, a, stride = row[by[next_]], wi[by[next_]], wi[by[next_ + 1]] - wi[by[next_]]
+            by = np.lexsort((a, stride, row))
+            row, a, stride = row[by], a[by], stride[by]
+            on = (row[1:] == row[:-1]) & (stride[1:] == stride[:-1]) & (a[1:] == a[:-1] + 1)
+            head = np.flatnonzero(~np.concatenate([[False], on])[: len(row)])
+            n = np.diff(np.append(head, len(row)))
+            told = pa.array(row[head])
+            cols = [pa.array(a[head], pa.int32()), pa.array((a + stride)[head], pa.int32()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(told), batch.column("num").take(told), *cols], ["page", "num", "a", "b", "n"])
+
+    kind = lambda c: lines.schema[c].dataType.simpleString()
+    return lines.filter("line <> ''").select("page", "num", "line").mapInArrow(scan, f"page {kind('page')}, num {kind('num')}, a int, b int, n bigint")
 
 
 def shared_runs(lines: DataFrame, line: tuple, top: int = 12, reach: int = 10_000) -> DataFrame:
