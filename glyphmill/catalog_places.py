@@ -241,11 +241,9 @@ def boxes_by_glyphs(spark, sf_dir):
     of = F.sum(brk.cast("int")).over(Window.partitionBy("line").orderBy("j", "i")).cast("int")
     code = F.concat(F.char(65 + j), i)
     own = F.concat(F.when((line + j * 5 + i) % 7 != 0, F.array(code)).otherwise(F.array()), F.when((line * 3 + j + i * 2) % 11 == 0, F.array(F.concat(F.lit("Z"), j, F.lit("."), i))).otherwise(F.array()))
-    rows = each.withColumns({"of": of, "code": code, "own": own}).groupBy("line").agg(F.array_sort(F.collect_list(F.struct("j", "i", "of", "code", "own"))).alias("g"))
-    lines = rows.select(
-        "line", F.flatten(F.transform("g", lambda x: x["own"])).alias("own"), F.flatten(F.transform("g", lambda x: F.array_repeat(x["of"], F.size(x["own"])))).alias("own_word"),
-        F.transform("g", lambda x: x["code"]).alias("shown"), F.transform("g", lambda x: x["j"]).alias("shown_word"),
-    )
+    told_each = each.withColumns({"of": of, "code": code, "own": own}).withColumn("own_of", F.array_repeat("of", F.size("own")))
+    rows = told_each.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("j", "i", "code", "own", "own_of"))).alias("g"))
+    lines = rows.select("line", F.flatten("g.own").alias("own"), F.flatten("g.own_of").alias("own_word"), F.col("g.code").alias("shown"), F.col("g.j").alias("shown_word"))
     tall = F.col("l_partkey") % 9 == 0
     boxes = told.filter("l_partkey % 10 <> 3").select(
         "line", F.col("j").alias("word"), F.when((F.col("line") % 13 == 0) & (F.col("j") >= 3), "b").otherwise("a").alias("panel"), (100.0 * F.col("j")).alias("x"), (10.0 * (F.col("line") % 10)).alias("y"),
@@ -330,26 +328,27 @@ def _two_readings(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("page"), F.col("o_orderpriority").alias("section"))
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     j = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
-    names = F.explode(F.array(F.struct(F.lit(0).alias("m"), F.lit("VT").alias("name")), F.struct(F.lit(1).alias("m"), F.lit("RF").alias("name")))).alias("v")
-    told = li.withColumn("j", j).select(F.col("l_orderkey").alias("k"), "page", "section", "j", names).select("k", "page", "section", "j", "v.m", "v.name")
-    k, j, m = F.col("k"), F.col("j"), F.col("m")
+    told = li.select(F.col("l_orderkey").alias("k"), "page", "section", j.alias("j"))
+    k, j = F.col("k"), F.col("j")
     x, y = F.char(97 + 2 * j), F.char(98 + 2 * j)
     sep = F.when(j == 0, "").when((k + j) % 4 == 0, ",").otherwise(".")
-    other = F.concat(F.when((k + 2 * j + m) % 7 == 0, "").otherwise(sep), x, F.when((k * 3 + j + m) % 5 == 0, "").when((k + j * 2 + m) % 9 == 0, "7").otherwise(y))
-    items = told.select("name", "page", "section", F.col("k").alias("locus"), "m", F.struct("j", F.concat(sep, x, y).alias("c"), other.alias("o")).alias("i"))
-    lines = items.groupBy("name", "page", "section", "locus", "m").agg(F.array_sort(F.collect_list("i")).alias("i"))
-    joined = lambda c: F.array_join(F.transform("i", lambda i: i[c]), "")
-    return lines.select("name", "page", "section", "locus", joined("c").alias("c"), F.when((F.col("locus") + F.col("m")) % 10 != 0, joined("o")).alias("o"))
+    other = lambda m: F.concat(F.when((k + 2 * j + m) % 7 == 0, "").otherwise(sep), x, F.when((k * 3 + j + m) % 5 == 0, "").when((k + j * 2 + m) % 9 == 0, "7").otherwise(y))
+    items = told.select("page", "section", F.col("k").alias("locus"), F.struct("j", F.concat(sep, x, y).alias("c"), other(0).alias("o0"), other(1).alias("o1")).alias("i"))
+    lines = items.groupBy("page", "section", "locus").agg(F.array_sort(F.collect_list("i")).alias("i"))
+    joined = lambda c: F.array_join(F.col(f"i.{c}"), "")
+    lines = lines.select("page", "section", "locus", joined("c").alias("c"), joined("o0").alias("o0"), joined("o1").alias("o1"))
+    told = lambda m, name: F.struct(F.lit(name).alias("name"), F.when((F.col("locus") + m) % 10 != 0, F.col(f"o{m}")).alias("o"))
+    return lines.select("page", "section", "locus", "c", F.explode(F.array(told(0, "VT"), told(1, "RF"))).alias("v")).select("v.name", "page", "section", "locus", "c", "v.o")
 
 
 @query(f"with {LINES_SQL} select name, section, {TOTALS_SQL} group by name, section")
 def comparison_by_section(spark, sf_dir):
-    return M.totals(M.compared(_two_readings(spark, sf_dir)), "name", "section")
+    return M.totals(M.compared(_two_readings(spark, sf_dir), edits=False), "name", "section")
 
 
 @query(f"with {LINES_SQL} select name, page, section, {TOTALS_SQL} group by name, page, section")
 def comparison_by_page(spark, sf_dir):
-    return M.totals(M.compared(_two_readings(spark, sf_dir)), "name", "page", "section")
+    return M.totals(M.compared(_two_readings(spark, sf_dir), edits=False), "name", "page", "section")
 
 
 _PERCENT = "case when {w} > 0 then ((2000 * {p} + {w}) // (2 * {w})) // 10 || '.' || ((2000 * {p} + {w}) // (2 * {w})) % 10 || '%' else '-' end"

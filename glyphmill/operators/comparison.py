@@ -7,6 +7,7 @@ for each measure, section or change, never lines.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from glyphmill.sources import sinks
 IN_BETWEEN, LISTED = "@22", 14
 MEASURES = ("words", "differ", "joined_words", "joined_differ", "glyphs", "match")
 _FACTS = "missing boolean, words int, same boolean, joined_same boolean, same_glyphs boolean, match int, glyphs int, differ int, joined_words int, joined_differ int"
+#: So many pairs of lines of at most so many letters are kept with their facts by a worker, for pairs that come again.
+KEPT, SHORT = 1 << 15, 200
 _EDITS = "array<struct<kind:string,x:string,y:string,weight:int>>"
 
 
@@ -45,12 +48,20 @@ def _facts(c: str | None, o: str | None) -> tuple:
     return (False, len(own), own == other, joined == other, bare(c or "") == bare(o), match, glyphs, sum(len(a) for _, a, _ in edits), len(joined), changed(joined, words(o, False)), told)
 
 
-def compared(lines: DataFrame) -> DataFrame:
+_kept_facts = lru_cache(KEPT)(_facts)
+
+
+def facts_of(c: str | None, o: str | None) -> tuple:
+    """_facts; those of short lines are kept for pairs that come again."""
+    return _kept_facts(c, o) if len(c or "") + len(o or "") <= SHORT else _facts(c, o)
+
+
+def compared(lines: DataFrame, edits: bool = True) -> DataFrame:
     """lines(name, page, section, locus, c, o) without c and o, with the facts of each: what the record's line c and the transcription's o share.
 
     A null or empty o is missing. differ counts words of c in changed stretches; joined_ is the same with uncertain
     spaces as none; match and glyphs are glyphs in matching blocks and the longer length, spaces aside; edits lists the
-    changes (kind, x, y, weight).
+    changes (kind, x, y, weight), where they are asked for.
     """
     ship(lines.sparkSession)
     kept = ("name", "page", "section", "locus")
@@ -62,13 +73,15 @@ def compared(lines: DataFrame) -> DataFrame:
         edit = pa.list_(pa.struct([("kind", pa.string()), ("x", pa.string()), ("y", pa.string()), ("weight", pa.int32())]))
         names = [f.split()[0] for f in _FACTS.split(", ")]
         for b in batches:
-            rows = [_facts(c, o) for c, o in zip(b.column("c").to_pylist(), b.column("o").to_pylist(), strict=True)]
+            rows = [facts_of(c, o) for c, o in zip(b.column("c").to_pylist(), b.column("o").to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 11
-            changes = pa.array([[dict(zip(("kind", "x", "y", "weight"), e, strict=True)) for e in es] for es in cols[10]], edit)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(v, k) for v, k in zip(cols, kinds, strict=False)), changes], [*kept, *names, "edits"])
+            if edits:
+                told = pa.array([[dict(zip(("kind", "x", "y", "weight"), e, strict=True)) for e in es] for es in cols[10]], edit)
+            more = [told] if edits else []
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(v, k) for v, k in zip(cols, kinds, strict=False)), *more], [*kept, *names, *(["edits"] if edits else [])])
 
     head = ", ".join(f"{n} {lines.schema[n].dataType.simpleString()}" for n in kept)
-    return lines.select(*kept, "c", "o").mapInArrow(scan, f"{head}, {_FACTS}, edits {_EDITS}")
+    return lines.select(*kept, "c", "o").mapInArrow(scan, f"{head}, {_FACTS}" + (f", edits {_EDITS}" if edits else ""))
 
 
 def totals(facts: DataFrame, *by: str) -> DataFrame:

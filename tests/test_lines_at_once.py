@@ -120,3 +120,16 @@ def test_similar_pages_shuffle_only_words_of_the_page(spark, lines):
     # all joins by word send the page's words to the text
     by_word = [line for line in plan.splitlines() if "Join LeftSemi, (s#" in line or "Join Inner, (s#" in line]
     assert len(by_word) == 2 and all("broadcast" in line for line in by_word)
+
+
+def test_equal_pairs_of_lines_are_compared_once(spark, monkeypatch):
+    from glyphmill.operators import comparison as M
+
+    plain = M._facts
+    seen = []
+    monkeypatch.setattr(M, "_kept_facts", M.lru_cache(M.KEPT)(lambda c, o: seen.append((c, o)) or plain(c, o)))
+    pairs = [("ab.c,d", "ab.cd"), ("ab", None), (None, "x"), ("ab", ""), ("x" * 300, "x" * 299)] * 3
+    assert [M.facts_of(*p) for p in pairs] == [plain(*p) for p in pairs] and len(seen) == 4
+    frame = spark.createDataFrame([("VT", 1, "s", k, *p) for k, p in enumerate(pairs)], "name string, page int, section string, locus int, c string, o string")
+    bare = M.compared(frame, edits=False)
+    assert sorted(map(tuple, bare.collect()), key=str) == sorted(map(tuple, M.compared(frame).drop("edits").collect()), key=str) and "edits" not in bare.columns
