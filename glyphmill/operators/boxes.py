@@ -380,6 +380,116 @@ def match_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     return each_group(words.select("page", "line", "pos", "text", "label"), boxes.select("page", "box", "text", "x", "y", "h"), "page", one, out)
 
 
+def _ranks(*arrays):
+    """Equal values of arrays of one type as equal numbers, which are in the values' order; -1 is null. And the values."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    values = pc.unique(pa.concat_arrays([a.drop_null() for a in arrays]))
+    values = values.take(pc.array_sort_indices(values))
+    return *(pc.fill_null(pc.index_in(a, values), -1).to_numpy(zero_copy_only=False).astype(np.int64) for a in arrays), values
+
+
+def _of_lists(lists):
+    """The list and the place in it of each element of lists."""
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(n)])
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - starts[of], starts
+
+
+def _firsts(*keys):
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _repeated(n):
+    """0 to n[0] - 1, 0 to n[1] - 1, ..., and which of n each belongs to."""
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - (np.cumsum(n) - n)[of], of
+
+
+def _transferred(batch, bin_size: int):
+    """line, word, panel, x0, y0, x1, y1, est of many lines; glyphs are aligned line by line, spans and boxes by sorting.
+
+    Spans meet by bins of their line, a pair in the bin where its overlap begins.
+    """
+    import pyarrow as pa
+
+    own, own_word, shown, shown_word, boxes = (batch.column(c) for c in ("own", "own_word", "shown", "shown_word", "boxes"))
+    bx = boxes.flatten()
+    a, b, _ = _ranks(own.flatten(), shown.flatten())
+    a, b, i, j = a.tolist(), b.tolist(), _of_lists(own)[2].tolist(), _of_lists(shown)[2].tolist()
+    at = np.array([x for k in range(batch.num_rows) for x in glyph_map(b[j[k] : j[k + 1]], a[i[k] : i[k + 1]])], float)
+    # the span of each word of either reading
+    sw, bw, _ = _ranks(shown_word.flatten(), bx.field("word"))
+    line, k, _ = _of_lists(shown_word)
+    by = np.lexsort((k, sw, line))
+    line, sw, k = line[by], sw[by], k[by]
+    first = _firsts(line, sw)
+    wide = max(int(bw.max(initial=0)), int(sw.max(initial=0))) + 2
+    has, low, high = line[first] * wide + sw[first] + 1, k[first], k[np.append(first[1:], len(k))[: len(first)] - 1] + 1
+    ow, of_values = _ranks(own_word.flatten())
+    line = _of_lists(own_word)[0]
+    by = np.lexsort((at, ow, line))
+    line, ow, at = line[by], ow[by], at[by]
+    first = _firsts(line, ow)
+    w_line, w_of, j0, j1 = line[first], ow[first], at[first], at[np.append(first[1:], len(at))[: len(first)] - 1] + 1
+    # boxes of words that have a span, by bins
+    b_line = _of_lists(boxes)[0]
+    spot = np.searchsorted(has, b_line * wide + bw + 1)
+    box = np.flatnonzero((bw >= 0) & (spot < len(has)) & (has[np.minimum(spot, len(has) - 1)] == b_line * wide + bw + 1)) if len(has) else np.array([], np.int64)
+    lo, hi = np.zeros(len(bw), np.int64), np.zeros(len(bw), np.int64)
+    lo[box], hi[box] = low[spot[box]], high[spot[box]]
+    more, which = _repeated(hi[box] // bin_size - lo[box] // bin_size + 1)
+    entry = box[which]
+    bins = lo[entry] // bin_size + more
+    many = int(max(bins.max(initial=0), j1.max(initial=0) // bin_size)) + 3
+    key = b_line[entry] * many + bins + 1
+    by = np.argsort(key, kind="stable")
+    entry, key = entry[by], key[by]
+    start = np.floor(j0 / bin_size).astype(np.int64)
+    more, want = _repeated(np.floor(j1 / bin_size).astype(np.int64) - start + 1)
+    bins = start[want] + more
+    asked = w_line[want] * many + bins + 1
+    from_ = np.searchsorted(key, asked)
+    more, which = _repeated(np.searchsorted(key, asked, "right") - from_)
+    want, bins, x = want[which], bins[which], entry[from_[which] + more]
+    n = hi[x] - lo[x]
+    f0, f1 = np.maximum(0.0, (j0[want] - lo[x]) / np.maximum(n, 1)), np.minimum(1.0, (j1[want] - lo[x]) / np.maximum(n, 1))
+    fit = (hi[x] > j0[want]) & (lo[x] < j1[want]) & (np.floor(np.maximum(lo[x], j0[want]) / bin_size) == bins) & (f1 - f0 >= SLIVER)
+    want, x, f0, f1 = want[fit], x[fit], f0[fit], f1[fit]
+    # the panel that most of a word's parts are in; of equals the one with the first word
+    panel, panels = _ranks(bx.field("panel"))
+    by = np.lexsort((bw[x], panel[x], want))
+    want, x, f0, f1 = want[by], x[by], f0[by], f1[by]
+    first = _firsts(want, panel[x])
+    count = np.diff(np.append(first, len(want)))
+    best = np.lexsort((panel[x][first], bw[x][first], -count, want[first]))
+    best = best[_firsts(want[first][best])]
+    main, whole = np.full(len(w_of), -1), np.ones(len(w_of), bool)
+    main[want[first][best]] = panel[x][first][best]
+    np.logical_and.at(whole, want, (f0 <= START) & (f1 >= END))
+    kept = (main[want] >= 0) & (panel[x] == main[want])
+    want, x, f0, f1 = want[kept], x[kept], f0[kept], f1[kept]
+    first = _firsts(want)
+    told = want[first]
+    left, top, w, h = (bx.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False)[x] for c in ("x", "y", "w", "h"))
+    flat, tall = w >= h, w < h
+    low_of = lambda v, size, along: np.fmin.reduceat(v + np.where(along, size * f0, 0.0), first) if len(first) else np.array([])
+    high_of = lambda v, size, along: np.fmax.reduceat(v + np.where(along, size * f1, size), first) if len(first) else np.array([])
+    sides = low_of(left, w, flat), low_of(top, h, tall), high_of(left, w, flat), high_of(top, h, tall)
+    est = bx.field("est").cast(pa.int8()).fill_null(-1).to_numpy(zero_copy_only=False)[x]
+    est = np.maximum.reduceat(est, first) if len(first) else np.array([])
+    sure = (est == 1) | ~whole[told]
+    take = lambda values, at: values.take(pa.array(at.astype(np.int64)))
+    return [take(batch.column("line"), w_line[told]), pa.array(w_of[told], pa.int64(), mask=w_of[told] < 0), take(panels, main[told]), *(pa.array(v, pa.float64(), from_pandas=True) for v in sides), pa.array(sure, pa.bool_(), mask=(est == -1) & ~sure)], of_values
+
+
 def transfer_by_glyphs(lines: DataFrame, boxes: DataFrame, bin_size: int = 8) -> DataFrame:
     """line, word, panel, x0, y0, x1, y1, est: boxes for the words of another reading of each line, from the words' boxes of the first.
 
@@ -390,32 +500,16 @@ def transfer_by_glyphs(lines: DataFrame, boxes: DataFrame, bin_size: int = 8) ->
     or a box is itself estimated.
     """
     ship(lines.sparkSession)
+    kind = {f.name: f.dataType for f in lines.schema.fields}
+    told = boxes.select("line", F.struct(F.col("word").cast(kind["shown_word"].elementType).alias("word"), "panel", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")), "est").alias("box"))
+    held = lines.select("line", "own", "own_word", "shown", "shown_word").join(told.groupBy("line").agg(F.collect_list("box").alias("boxes")), "line")
 
-    def placed(batches):
+    def scan(batches):
         import pyarrow as pa
 
-        for b in batches:
-            pos = [glyph_map(s or [], o or []) for s, o in zip(b.column("shown").to_pylist(), b.column("own").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("line"), b.column("own_word"), b.column("shown_word"), pa.array(pos, pa.list_(pa.float64()))], ["line", "own_word", "shown_word", "at"])
-
-    kind = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    told = lines.select("line", "own", "own_word", "shown", "shown_word").mapInArrow(placed, f"line {kind['line']}, own_word {kind['own_word']}, shown_word {kind['shown_word']}, at array<double>")
-    has = told.select("line", F.posexplode("shown_word").alias("k", "word")).groupBy("line", "word").agg(F.min("k").alias("a"), (F.max("k") + 1).alias("b"))
-    wants = told.select("line", F.explode(F.arrays_zip("own_word", "at")).alias("g")).groupBy("line", F.col("g.own_word").alias("of")).agg(F.min("g.at").alias("j0"), (F.max("g.at") + 1).alias("j1"))
-    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bin_size), F.floor(F.col(hi) / bin_size))).alias("bin")
-    held = has.join(boxes, ["line", "word"])
-    left, right = held.select("*", bins("a", "b")), wants.select("line", "of", "j0", "j1", bins("j0", "j1"))
-    # a pair counts in the bin where its overlap begins
-    met = left.join(right, ["line", "bin"]).filter((F.col("b") > F.col("j0")) & (F.col("a") < F.col("j1")) & (F.floor(F.greatest("a", "j0") / bin_size) == F.col("bin")))
-    n = F.col("b") - F.col("a")
-    f0, f1 = F.greatest(F.lit(0.0), (F.col("j0") - F.col("a")) / n), F.least(F.lit(1.0), (F.col("j1") - F.col("a")) / n)
-    parts = met.withColumns({"f0": f0, "f1": f1}).filter(F.col("f1") - F.col("f0") >= SLIVER)
-    by = Window.partitionBy("line", "of")
-    whole = F.min((F.col("f0") <= START) & (F.col("f1") >= END)).over(by)
-    parts = parts.withColumn("whole", whole).withColumn("n_panel", F.count("*").over(Window.partitionBy("line", "of", "panel"))).withColumn("first", F.min("word").over(Window.partitionBy("line", "of", "panel")))
-    parts = parts.withColumn("main", F.first("panel").over(by.orderBy(F.desc("n_panel"), "first").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).filter("panel = main")
-    wide = F.col("w") >= F.col("h")
-    low = lambda at, size, along: F.min(F.col(at) + F.when(along, F.col(size) * F.col("f0")).otherwise(0.0))
-    high = lambda at, size, along: F.max(F.col(at) + F.when(along, F.col(size) * F.col("f1")).otherwise(F.col(size)))
-    sides = (low("x", "w", wide).alias("x0"), low("y", "h", ~wide).alias("y0"), high("x", "w", wide).alias("x1"), high("y", "h", ~wide).alias("y1"))
-    return parts.groupBy("line", F.col("of").alias("word")).agg(F.first("main").alias("panel"), *sides, (F.max("est") | ~F.min("whole")).alias("est"))
+        for batch in batches:
+            (line, word, *rest), words = _transferred(batch, bin_size)
+            yield pa.RecordBatch.from_arrays([line, words.take(word), *rest], ["line", "word", "panel", "x0", "y0", "x1", "y1", "est"])
+
+    word, panel = kind["own_word"].elementType.simpleString(), boxes.schema["panel"].dataType.simpleString()
+    return held.mapInArrow(scan, f"line {kind['line'].simpleString()}, word {word}, panel {panel}, x0 double, y0 double, x1 double, y1 double, est boolean")
