@@ -30,8 +30,9 @@ def slices(batch, column: str, most: int = CUT_BYTES):
         at = to
 
 
-def each_group(left: DataFrame, right: DataFrame, key: str, one: Callable[[dict, dict], list[tuple]], out: str) -> DataFrame:
+def each_group(left: DataFrame, right: DataFrame, key: str, one: Callable, out: str, together: bool = False) -> DataFrame:
     """key and what one tells of each group: one(left, right) has the columns of its rows as lists, in no order, and gives rows of out.
+    With together it has a list of such pairs, of up to GROUPS groups, and gives the rows of each.
 
     A null key is a group as well. Groups without rows on one of the sides give none.
     """
@@ -62,8 +63,8 @@ def each_group(left: DataFrame, right: DataFrame, key: str, one: Callable[[dict,
             for k in range(0, batch.num_rows, GROUPS):
                 some = batch.slice(k, GROUPS)
                 at, told = [], []
-                for n, (x, y) in enumerate(zip(columns(some.column("a")), columns(some.column("b")), strict=True)):
-                    rows = one(x, y)
+                pairs = list(zip(columns(some.column("a")), columns(some.column("b")), strict=True))
+                for n, rows in enumerate(one(pairs) if together else (one(x, y) for x, y in pairs)):
                     at += [n] * len(rows)
                     told += rows
                 cols = list(zip(*told, strict=True)) or [()] * len(kinds)
